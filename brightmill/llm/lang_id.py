@@ -150,31 +150,27 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_language
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text", max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """``docs`` with three more columns: the language, the distance, and whether the row is rejected.
+    """``docs`` with three more columns: the language, the distance, and whether the row is kept.
 
-    The columns are named ``lang_id``, ``distance`` and ``rejected``, with underscores added where the
+    The columns are named ``lang_id``, ``distance`` and ``kept``, with underscores added where the
     input has such names already. One pass over the data, no shuffle.
     """
-    names = fresh(docs, "lang_id", "distance", "rejected")
+    names = fresh(docs, "lang_id", "distance", "kept")
     schema = T.StructType(list(docs.schema.fields))
     for name, kind in zip(names, ("string", "double", "boolean")):
         schema.add(name, kind)
-    given = spark_broadcast(docs, profiles)
+    given = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
         model = given.value
         for batch in rebatch(batches, 1024, 4 << 20):
             found, distance, letters = model.score(batch.column(batch.schema.get_field_index(text)))
-            bad = (distance > max_distance) | ~letters if model.names else ~letters
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(distance), pa.array(bad)], names=[*batch.schema.names, *names])
+            kept = letters & (distance <= max_distance) if model.names else letters
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(distance), pa.array(kept)], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
-def spark_broadcast(df: DataFrame, value):
-    return df.sparkSession.sparkContext.broadcast(value)
-
-
 def language_rows(docs: DataFrame) -> DataFrame:
     """Train and identify: one row per document."""
     model = train(docs)
@@ -184,5 +180,4 @@ def language_rows(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with the columns of ``docs``."""
     out = identify(docs, train(docs))
-    rejected = out.columns[-1]
-    return out.filter(~F.col(rejected)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.filter(F.col(out.columns[-1])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,17 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id
+from . import decontam, lang_id, packing, topk, toxicity, url_filter
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_url_filters": url_filter.SQL, "op6_exact_top_k": topk.SQL}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_read(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filtered(_read(spark, sf_dir, "pages"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.language_rows(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_language_id": op8_language_id}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op4_toxicity, op5_url_filters, op6_exact_top_k, op8_language_id)}
