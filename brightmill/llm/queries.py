@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lang_id, ngram_join, packing, topk, toxicity, url_filter, warc
+from . import chat, decontam, lang_id, ngram_join, packing, suffix_dedup, topk, toxicity, url_filter, warc
 
-SQL: dict[str, str] = {"op5_url_filters": url_filter.SQL, "op6_exact_top_k": topk.SQL, "op10_chat_formatting": chat.SQL}
+SQL: dict[str, str] = {"op5_url_filters": url_filter.SQL, "op6_exact_top_k": topk.SQL, "op9_suffix_array_dedup": suffix_dedup.SQL, "op10_chat_formatting": chat.SQL}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,8 +46,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.language_rows(_read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(_read(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_ngram_jaccard_join, op4_toxicity, op5_url_filters, op6_exact_top_k, op7_warc_writer, op8_language_id, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_ngram_jaccard_join, op4_toxicity, op5_url_filters, op6_exact_top_k, op7_warc_writer, op8_language_id, op9_suffix_array_dedup, op10_chat_formatting)}
