@@ -1,0 +1,5 @@
+"""Fact arrays as relations."""
+
+from ..functions.parser import parse, view
+
+__all__ = ["parse", "view"]

@@ -1,0 +1,161 @@
+"""Whole scans: from files to tagged findings, entry points, risks and a report."""
+
+from __future__ import annotations
+
+from datetime import UTC, datetime
+from functools import cached_property
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rules as R
+from ..functions.parser import parse
+from ..operators import call_graph, detectors, entry_points, findings, reachability, registry, ts_entry_points
+from ..session import stored
+from ..sources import files as sources
+from ..sources.targets import package_root, resolve
+
+VERSION = "0.1.0"
+
+
+class Scan:
+    """The relations of a scan of files(project, path, rel, content); each is built when first asked for.
+
+    ``single`` marks a scan of one file, which no exclusion keeps out. Facts are parsed once and stored.
+    """
+
+    def __init__(self, files: DataFrame, more_skips: tuple[str, ...] = (), single: bool = False):
+        self.files, self.more, self.single = files, more_skips, single
+
+    def _read(self, d: DataFrame) -> DataFrame:
+        return d.filter(sources.is_python(F.col("path")) if self.single else sources.scanned(F.col("path"), self.more))
+
+    @cached_property
+    def all_facts(self) -> DataFrame:
+        wanted = sources.searched(F.col("path")) | (sources.is_python(F.col("path")) if self.single else sources.scanned(F.col("path"), self.more))
+        return stored(parse(self.files.filter(wanted)), "facts")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._read(self.all_facts)
+
+    @cached_property
+    def every(self) -> DataFrame:
+        return self.files.filter(sources.is_python(F.col("path"))).select("project", "rel")
+
+    @cached_property
+    def raw_findings(self) -> DataFrame:
+        calls = detectors.calls(self.facts)
+        parts = [plan(self.facts, calls).withColumn("detector", F.lit(name)) for name, plan in detectors.BUILT_IN.items()]
+        found = findings.union_all(parts)
+        if registry.get_detectors():
+            found = found.unionByName(registry.custom_findings(self._read(self.files)), allowMissingColumns=True)
+        return findings.with_ids(findings.enrich(found))
+
+    @cached_property
+    def python_entry_points(self) -> DataFrame:
+        return entry_points.python_entry_points(self.all_facts.filter(sources.searched(F.col("path"))))
+
+    @cached_property
+    def scripts(self) -> DataFrame:
+        return self.files.filter(sources.is_script(F.col("path")))
+
+    @cached_property
+    def ts_entry_points(self) -> DataFrame:
+        return ts_entry_points.ts_entry_points(self.scripts.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return call_graph.edges(self.facts, self.every)
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        return call_graph.spans(self.facts)
+
+    @cached_property
+    def tagged(self) -> DataFrame:
+        """Findings with their reachability."""
+        return reachability.tag(self.raw_findings, self.python_entry_points, self.spans, call_graph.nodes(self.facts), stored(self.edges, "edges"))
+
+
+def scan_path(spark: SparkSession, path: str | Path, more_skips: tuple[str, ...] = ()) -> dict:
+    """Scan a directory or file and return its report (on the driver, for one project)."""
+    path = Path(path)
+    scan = Scan(sources.read_tree(spark, path), more_skips, path.is_file())
+    return report_of(scan, str(path), path)
+
+
+def report_of(scan: Scan, target: str, root: Path | None = None) -> dict:
+    tagged = scan.tagged.cache()
+    order = {name: n for n, name in enumerate(R.DETECTORS)}
+    found = sorted(tagged.collect(), key=lambda r: (r.path, order.get(r.detector, len(order)), r.detector, r.step, r.ord))
+    reached: dict[int, list[str]] = {}
+    for r in found:
+        if r.ep_ord is not None:
+            reached.setdefault(r.ep_ord, []).append(r.finding_id)
+    eps = sorted(scan.python_entry_points.collect(), key=lambda r: (r.rel, r.step, r.ord, r["sub"], r.lineno, r.name))
+    fields = "capability evidence lineno confidence explanation impact risk_level reachability entry_point_name reachability_path reachability_files reachability_path_truncated finding_id finding_ref".split()
+    n_python = scan._read(scan.files.select("path")).count()
+    risks = findings.risks(tagged).orderBy("nth").collect()
+    out = {
+        "target": target,
+        "num_files_scanned": n_python,
+        "findings": [{"detector": r.detector, "finding": {"file": r.path, "relative_file": r.rel} | {f: r[f] for f in fields}} for r in found],
+        "capabilities": sorted({r.capability for r in found if r.capability}),
+        "risks": [{k: r[k] for k in ("id", "title", "severity", "why", "capabilities_triggered")} for r in risks],
+        "num_ts_files_scanned": scan.scripts.count(),
+        "ts_entry_points": [{"name": r.name, "file": r.path, "lineno": r.lineno, "pattern_type": r.pattern_type, "confidence": r.confidence} for r in scan.ts_entry_points.orderBy("path", "lineno", "step").collect()],
+        "py_entry_points": [{"name": r.name, "file": r.path, "lineno": r.lineno, "framework": r.framework, "pattern_type": r.pattern_type, "confidence": r.confidence, "reachable_findings": reached.get(n, [])} for n, r in enumerate(eps, 1)],
+        "other_languages": [{"language": r.language, "count": r["count"]} for r in findings.languages(scan.files).orderBy(F.desc("count"), "language").collect()] if not n_python and not scan.single else [],
+    }
+    tagged.unpersist()
+    return out
+
+
+def scan_target(spark: SparkSession, target: str | Path, **how) -> dict:
+    """Scan a local or remote target; paths of remote ones are made relative."""
+    with resolve(target, **how) as t:
+        root = package_root(t.path) if t.kind == "pypi" else t.path
+        out = scan_path(spark, root, tuple(R.PACKAGE_SKIPS) if t.kind == "pypi" else ())
+        out |= {"target": t.shown, "source_type": t.kind} | ({"resolved_version": t.version} if t.version else {})
+        if t.kind != "local":
+            head = str(root.resolve()) + "/"
+            for x in [*(f["finding"] for f in out["findings"]), *out["py_entry_points"], *out["ts_entry_points"]]:
+                x["file"] = x["file"].removeprefix(head)
+        return out
+
+
+def _normal(f: dict) -> dict:
+    def number(kind, x):
+        try:
+            return None if x is None else kind(x)
+        except (TypeError, ValueError):
+            return None
+
+    risk, sure = f.get("risk_level"), number(float, f.get("confidence"))
+    level = risk.lower() if isinstance(risk, str) and risk.lower() in ("high", "medium", "low", "info") else None if risk is None else "medium"
+    return f | ({"risk_level": level} if "risk_level" in f else {}) | ({"confidence": None if sure is None else max(0.0, min(1.0, sure))} if "confidence" in f else {}) | ({"lineno": number(int, f["lineno"])} if "lineno" in f else {})
+
+
+def v1_report(results: dict) -> dict:
+    """The report object of schema version 1."""
+    python, scripts = results.get("py_entry_points", []), results.get("ts_entry_points", [])
+    return {
+        "schema_version": "1",
+        "generated_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"),
+        "tool_version": VERSION,
+        "target": results.get("target", ""),
+        "source_type": results.get("source_type", "local"),
+        "resolved_version": results.get("resolved_version"),
+        "num_files_scanned": results.get("num_files_scanned", 0),
+        "num_ts_files_scanned": results.get("num_ts_files_scanned", 0),
+        "entry_points_detected": len(python) + len(scripts),
+        "py_entry_points": python,
+        "ts_entry_points": scripts,
+        "capabilities": results.get("capabilities", []),
+        "risks": results.get("risks", []),
+        "findings": [{"detector": x.get("detector"), "finding": _normal(x.get("finding", {}))} for x in results.get("findings", [])],
+        "other_languages": results.get("other_languages", []),
+        "static_analysis_note": R.REPORT_NOTE,
+    }
