@@ -40,6 +40,12 @@ def starts(entry_points: DataFrame, spans: DataFrame) -> DataFrame:
     return exact.filter("qual is not null").select("project", "rel", "qual", F.col("name").alias("ep"), "ep_ord").unionByName(late)
 
 
+def numbered(entry_points: DataFrame) -> DataFrame:
+    """Entry points with ``ep_ord``, their place in the project."""
+    w = Window.partitionBy("project").orderBy("rel", "step", "ord", "sub", "lineno", "name")
+    return entry_points.withColumn("ep_ord", F.row_number().over(w))
+
+
 def closure(begin: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Functions met within ``depth`` calls: project, rel, qual, ep, ep_ord, hops, path and files (names and
     files from the entry point to the function). Of paths of one length and entry point the least counts."""
@@ -62,14 +68,13 @@ def closure(begin: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame
 def tag(found: DataFrame, entry_points: DataFrame, facts_spans: DataFrame, graph_nodes: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``found`` with reachability, entry_point_name, ep_ord, reachability_path, reachability_files and
     reachability_path_truncated."""
-    w = Window.partitionBy("project").orderBy("rel", "step", "ord", "sub", "lineno", "name")
-    eps = entry_points.withColumn("ep_ord", F.row_number().over(w))
+    eps = numbered(entry_points)
     any_ep = eps.select("project").distinct().withColumn("has_ep", F.lit(True))
-    reach = closure(starts(eps, facts_spans), edges, depth)
+    reach = closure(starts(eps, facts_spans), edges, depth).withColumnRenamed("path", "chain")
     rows = enclosing(found, facts_spans).join(any_ep, "project", "left").join(reach, ["project", "rel", "qual"], "left").join(graph_nodes.withColumn("is_node", F.lit(True)), ["project", "rel", "qual"], "left")
     state = (
         F.when(F.col("has_ep").isNull(), "no_entry_points").when(F.col("qual").isNull(), "unknown").when(F.col("qual") == MODULE, "module_level")
-        .when(F.col("path").isNotNull(), "reachable").when(F.col("is_node").isNull(), "unknown").otherwise("unreachable")
+        .when(F.col("chain").isNotNull(), "reachable").when(F.col("is_node").isNull(), "unknown").otherwise("unreachable")
     )
     hit = state == "reachable"
     return rows.withColumns(
@@ -77,11 +82,11 @@ def tag(found: DataFrame, entry_points: DataFrame, facts_spans: DataFrame, graph
             "reachability": state,
             "entry_point_name": F.when(hit, F.col("ep")),
             "ep_ord": F.when(hit, F.col("ep_ord")),
-            "reachability_path": F.when(hit, F.col("path")),
+            "reachability_path": F.when(hit, F.col("chain")),
             "reachability_files": F.when(hit, F.col("files")),
-            "reachability_path_truncated": F.when(hit, F.size("path") > SHOWN).otherwise(False),
+            "reachability_path_truncated": F.when(hit, F.size("chain") > SHOWN).otherwise(False),
         }
-    ).drop("has_ep", "is_node", "path", "files", "ep", "hops")
+    ).drop("has_ep", "is_node", "chain", "files", "ep", "hops")
 
 
 def reachable_findings(found: DataFrame, entry_points: DataFrame) -> DataFrame:
