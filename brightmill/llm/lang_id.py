@@ -38,7 +38,8 @@ _NOT_LETTERS = r"[^\p{L}\p{M}]+"
 def _normal(texts: pa.Array) -> pa.Array:
     x = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     x = pc.utf8_trim_whitespace(pc.replace_substring_regex(x, _NOT_LETTERS, " "))
-    return pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), x, pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))
+    padded = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), x, pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))
+    return pc.if_else(pc.equal(x, ""), x, padded)  # what has no letters has no n-grams
 
 
 def _ranked(texts: pa.Array, max_n: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
