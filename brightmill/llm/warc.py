@@ -121,7 +121,7 @@ def write(pages: DataFrame, path: str | None = None, limit: int = FILE_BYTES, da
             )
 
         seen = 0
-        for batch in rebatch(batches, 512, 4 << 20):
+        for batch in rebatch(batches, 512, min(limit, 4 << 20)):
             ids.append(batch.column(0))
             for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 body = (html or "").encode()
