@@ -3,7 +3,7 @@
 Bins hold ``capacity`` tokens. N(g) counts the open bins with residual gap g. Every piece goes where
 the sum of N(g)**2 over 0 < g < capacity becomes smallest: into some open bin whose gap is at least its
 size, or into a new bin. Ties go to the placement that leaves the smallest gap, an open bin before a
-new one; of the open bins with one gap, the one opened first gets the piece. A document longer than
+new one; of the open bins with one gap, the one that came to it first gets the piece. A document longer than
 ``capacity`` is cut into full pieces, which fill bins of their own, and a remainder that is packed.
 
 The rule is sequential, so documents are spread by a hash over shards of about ``per_shard`` documents
