@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +15,12 @@ from ..operators.findings import excluded
 def read_tree(spark: SparkSession, root: str | Path, project: str = "") -> DataFrame:
     """All files of a directory tree, or one file (whose rel is ``.``)."""
     root = Path(root).resolve()
+    location = "file://" + re.sub(r"([\\{}\[\]*?])", r"\\\1", str(root))  # these are patterns to the reader
     if root.is_file():
-        rows = spark.read.format("binaryFile").load(root.as_uri())
+        rows = spark.read.format("binaryFile").load(location)
         return rows.select(F.lit(project).alias("project"), F.lit(str(root)).alias("path"), F.lit(".").alias("rel"), "content")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root.as_uri())
-    path = F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location)
+    path = F.regexp_replace("path", "^file:/+", "/")
     return rows.select(F.lit(project).alias("project"), path.alias("path"), F.substr(path, F.lit(len(str(root)) + 2)).alias("rel"), "content")
 
 
