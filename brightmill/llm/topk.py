@@ -1,15 +1,18 @@
 """Exact top-k inner-product search by distributed histogram selection.
 
-Every row is a query and is compared with every other row. Vectors are cut into blocks; a task scores
-one block of queries against one block of vectors. Round by round each such cell counts, for every query,
-its scores into a histogram of the query's current interval; the histograms are added up over all cells,
-and the interval shrinks to the bin that holds the kth best score. When no more than ``slack`` scores lie
-from an interval's lower edge up (or the interval cannot shrink further) the edge is the query's cut. A
-last pass keeps the scores at or above the cut, and the best ``k`` are ranked, ties by id.
+Every row is a query and is compared with every other row. Vectors are cut into blocks, stored one file each
+in the shared folder. A cell is one block of queries against a slab of blocks; the task that works on it
+reads the blocks one after the other, so its memory is bounded by two blocks and a part of their scores,
+and no vectors are shuffled or broadcast. Round by round each cell counts, for every query that is
+still open, its scores into a histogram of the query's current interval; the histograms are added up over all
+cells, and the interval shrinks to the bin that holds the kth best score. When no more than ``slack`` scores
+lie from an interval's lower edge up (or its bins are one unit wide) the edge is the query's cut. A last
+pass keeps the scores at or above the cut (of one block the first k by score and id, as no others can be
+among the best), and the best ``k`` are ranked, ties by id.
 
 Scores are sums of products in double precision, rounded to whole multiples of 1e-9, so equal vectors tie
-exactly and each pass sees the same integers. Memory per task is one cell; what is shuffled per round is
-one histogram per query and vector block, in a compact form.
+exactly and each pass sees the same integers. What is shuffled per round is one compact histogram
+per query and slab.
 
 Defined results: NULL vectors, vectors with a NULL or non-finite element, rows with a NULL id, and vectors
 whose size differs from the most common size (ties: the smaller) take no part; a row is never its own
@@ -21,26 +24,40 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, small, written
+from ._shared import discard, scratch, written
 from ._text import segments
 
 K = 10
-#: Vectors in a block; a cell scores BLOCK x BLOCK pairs.
-BLOCK = 2048
-BINS = 256
+#: Vectors in a block, blocks in a slab, and queries that are scored at once.
+BLOCK, SLAB, STEP = 2048, 16, 256
+BITS = 8
 UNIT = 1e9
-ROUNDS = 8
+_LOWEST = -(1 << 62)
 
 
-def _blocks(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """One row per block: number, ids, row numbers and the matrix, as bytes."""
+class Blocks:
+    """The stored blocks: ids and vectors by block number."""
+
+    def __init__(self, folder: str):
+        self.system, self.root = pafs.FileSystem.from_uri(folder)
+
+    def __getitem__(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        t = pq.read_table(f"{self.root}/b={b}", columns=["ids", "m"], filesystem=self.system, partitioning=None)
+        ids = np.frombuffer(t["ids"][0].as_py(), np.int64)
+        return ids, np.frombuffer(t["m"][0].as_py()).reshape(len(ids), -1)
+
+
+def _store(vectors: DataFrame, key: str, vector: str) -> tuple[str, list[tuple[int, int]], float] | None:
+    """Write the blocks; their folder, numbers and sizes, and the largest norm."""
+    spark = vectors.sparkSession
     v = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
     v = v.filter(F.size("v") > 0).filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
-    sizes = v.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.orderBy(F.desc("n"), "d").first()
+    top = v.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     if top is None:
         return None
     n, d = top.n, top.d
@@ -56,134 +73,135 @@ def _blocks(vectors: DataFrame, key: str, vector: str) -> DataFrame:
             {
                 "b": pa.array([base + parts * i for i in range(len(rows))], pa.int64()),
                 "n": pa.array([len(r) for r in rows], pa.int32()),
+                "norm": pa.array([float(np.linalg.norm(m[r], axis=1).max()) for r in rows]),
                 "ids": pa.array([ids[r].tobytes() for r in rows], pa.binary()),
                 "m": pa.array([np.ascontiguousarray(m[r]).tobytes() for r in rows], pa.binary()),
             }
         )
 
-    return written(v.groupBy("b").applyInArrow(pack, "b bigint, n int, ids binary, m binary"), "blocks")
+    folder = scratch(spark, "blocks")
+    v.groupBy("b").applyInArrow(pack, "b bigint, n int, norm double, ids binary, m binary").write.partitionBy("b").parquet(folder)
+    known = spark.read.schema("n int, norm double, b bigint").parquet(folder).collect()  # a few numbers a block
+    return folder, sorted((r.b, r.n) for r in known), max(r.norm for r in known)
 
 
-def _matrix(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw).reshape(n, -1)
+def _scores(q: np.ndarray, x: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """Rounded scores as integers; a row against itself (``own``: its place in x) gets the lowest value."""
+    s = q @ x.T
+    s *= UNIT
+    s = np.rint(s, out=s).astype(np.int64)
+    if own is not None:
+        s[np.arange(len(q)), own] = _LOWEST
+    return s
 
 
-def _scores(q: np.ndarray, x: np.ndarray, same: bool) -> np.ndarray:
-    """Rounded scores as integers; a row against itself gets the lowest value."""
-    s = np.rint((q @ x.T) * UNIT).astype(np.int64)
-    if same:
-        np.fill_diagonal(s, np.iinfo(np.int64).min)
-    return s
+_STATE = "qb bigint, low binary, shift binary, above binary, done binary, open boolean"
+
+
+def _state(b, low, shift, above, done):
+    return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (low, shift, above, done)), pa.array([not bool(done.all())])], names=["qb", "low", "shift", "above", "done", "open"])
 
 
-def _cells(blocks: DataFrame, limits: DataFrame, columns: list[str], rows: int, size: int) -> DataFrame:
-    """Every pair of blocks, with the query block's limits. The other side is broadcast while all vectors
-    are below the limit; beyond it the pairs are formed by a partitioned cross join."""
-    left = blocks.select(F.col("b").alias("qb"), F.col("n").alias("qn"), F.col("m").alias("qm")).join(limits.hint("shuffle_hash"), "qb")
-    right = blocks.select(F.col("b").alias("xb"), F.col("n").alias("xn"), F.col("m").alias("xm"))
-    return left.crossJoin(small(right, rows, size)).select("qb", "xb", "qn", "xn", "qm", "xm", *columns)
+def _rows(batches, *kinds):
+    """(qb, slab, arrays of the further columns) of every cell."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *(np.frombuffer(batch.column(2 + j)[i].as_py(), kind) for j, kind in enumerate(kinds))
 
 
-def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", bins: int = BINS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", bits: int = BITS) -> DataFrame:
     """The k best neighbours of every row: query_id, neighbor_id, rank (from 1), score."""
     spark = vectors.sparkSession
     schema = "query_id bigint, neighbor_id bigint, rank int, score double"
-    blocks = _blocks(vectors, key, vector)
-    if blocks is None:
+    stored = _store(vectors, key, vector)
+    if stored is None:
         return spark.createDataFrame([], schema)
-    slack = 4 * k
-
-    # interval of every query: [low, low + width * bins), `above` scores lie beyond it
-    def widest(batches):
-        for batch in batches:
-            for b, n, m in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([float(np.linalg.norm(_matrix(m, n), axis=1).max())])], names=["qb", "norm"])
-
-    norm = blocks.select("b", "n", "m").mapInArrow(widest, "qb bigint, norm double").agg(F.max("norm").alias("norm")).first().norm
-    sizes = blocks.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("m")).alias("m")).first()
+    folder, sizes, norm = stored
+    slack, bins, step = 4 * k, 1 << bits, STEP
+    slabs = [[b for b, _ in sizes[i : i + SLAB]] for i in range(0, len(sizes), SLAB)]
     reach = int(norm * norm * UNIT) + 2
+    widest = max(0, (2 * reach).bit_length() - bits)
+
+    def cells(limits: DataFrame, *columns: str) -> DataFrame:
+        """Every open query block against every slab; rows are small, as vectors are read by the tasks."""
+        rows = limits.select("qb", *columns).crossJoin(spark.range(len(slabs)).select(F.col("id").alias("slab"))).select("qb", "slab", *columns)
+        return rows.repartition(min(len(sizes) * len(slabs), 8 * spark.sparkContext.defaultParallelism), "qb", "slab")
 
     def first(batches):
         for batch in batches:
             for b, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                low, width, above = np.full(n, -reach, np.int64), np.full(n, -(-(2 * reach + 1) // bins), np.int64), np.zeros(n, np.int64)
-                yield _state(b, low, width, above, np.zeros(n, bool))
-
-    state_schema = "qb bigint, low binary, width binary, above binary, done binary, open boolean"
+                yield _state(b, np.full(n, -reach, np.int64), np.full(n, widest, np.int64), np.zeros(n, np.int64), np.zeros(n, bool))
 
-    def _state(b, low, width, above, done):
-        return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (low, width, above, done)), pa.array([not bool(done.all())])], names=["qb", "low", "width", "above", "done", "open"])
-
-    limits = written(blocks.select("b", "n").mapInArrow(first, state_schema), "limits")
+    limits = written(spark.createDataFrame(sizes, "qb bigint, n int").mapInArrow(first, _STATE), "limits")
 
     def count(batches):
-        for batch in batches:
-            for qb, xb, qn, xn, qm, xm, low, width, done in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                s = _scores(_matrix(qm, qn), _matrix(xm, xn), qb == xb)
-                low, width, done = np.frombuffer(low, np.int64), np.frombuffer(width, np.int64), np.frombuffer(done, bool)
-                at = (s - low[:, None]) // width[:, None]
-                ok = (s >= low[:, None]) & (at < bins) & ~done[:, None]
-                flat = (np.arange(qn)[:, None] * bins + at)[ok]
-                h = np.bincount(flat, minlength=qn * bins)
-                some = np.flatnonzero(h)
-                yield pa.RecordBatch.from_arrays([pa.array([qb], pa.int64()), pa.array([qn], pa.int32()), pa.array([some.astype(np.int32).tobytes()], pa.binary()), pa.array([h[some].astype(np.int32).tobytes()], pa.binary())], names=["qb", "n", "i", "c"])
+        blocks = Blocks(folder)
+        for qb, slab, low, shift, done in _rows(batches, np.int64, np.int64, bool):
+            open_ = np.flatnonzero(~done)
+            q, h = blocks[qb][1], np.zeros(len(low) * bins, np.int64)
+            for xb in slabs[slab]:
+                x = blocks[xb][1]
+                for at in range(0, len(open_), step):
+                    i = open_[at : at + step]
+                    s = _scores(q[i], x, i if qb == xb else None)
+                    s -= low[i, None]
+                    s >>= shift[i, None]
+                    inside = np.flatnonzero(s.view(np.uint64) < bins)  # below the interval wraps round
+                    s += (i * bins)[:, None]
+                    h += np.bincount(s.ravel()[inside], minlength=len(h))
+            some = np.flatnonzero(h)
+            yield pa.RecordBatch.from_arrays([pa.array([qb], pa.int64()), pa.array([some.astype(np.int32).tobytes()], pa.binary()), pa.array([h[some].tobytes()], pa.binary())], names=["qb", "i", "c"])
 
     def refine(key_, left: pa.Table, right: pa.Table) -> pa.Table:
-        low, width, above, done = (np.frombuffer(right[c][0].as_py(), t).copy() for c, t in (("low", np.int64), ("width", np.int64), ("above", np.int64), ("done", bool)))
+        low, shift, above, done = (np.frombuffer(right[c][0].as_py(), t).copy() for c, t in (("low", np.int64), ("shift", np.int64), ("above", np.int64), ("done", bool)))
         n = len(low)
         h = np.zeros(n * bins, np.int64)
         for i, c in zip(left["i"].to_pylist(), left["c"].to_pylist()):
-            h[np.frombuffer(i, np.int32)] += np.frombuffer(c, np.int32)
+            h[np.frombuffer(i, np.int32)] += np.frombuffer(c, np.int64)
         h = h.reshape(n, bins)
         tail = h[:, ::-1].cumsum(1)[:, ::-1] + above[:, None]  # scores from each bin's lower edge up
         enough = tail >= k
-        j = np.where(enough.any(1), bins - 1 - enough[:, ::-1].argmax(1), 0)
-        rows = np.arange(n)
         few = ~enough.any(1)
-        new_low = np.where(few, low, low + j * width)
+        j = np.where(few, 0, bins - 1 - enough[:, ::-1].argmax(1))
+        rows = np.arange(n)
         beyond = np.where(j + 1 < bins, tail[rows, np.minimum(j + 1, bins - 1)], above)
-        finished = few | (tail[rows, j] <= slack) | (width == 1)
-        low = np.where(done, low, new_low)
-        above = np.where(done, above, beyond)
-        width = np.where(done | finished, width, -(-width // bins))
-        return pa.Table.from_batches([_state(int(right["qb"][0].as_py()), low, width, above, done | finished)])
-
-    for _ in range(ROUNDS):
-        cells = _cells(blocks, limits.filter("open").select("qb", "low", "width", "done"), ["low", "width", "done"], sizes.n, sizes.m)
-        histograms = cells.mapInArrow(count, "qb bigint, n int, i binary, c binary")
-        moved = histograms.groupBy("qb").cogroup(limits.filter("open").groupBy("qb")).applyInArrow(refine, state_schema)
+        finished = few | (tail[rows, j] <= slack) | (shift == 0)
+        low, above = np.where(done, low, low + (j << shift)), np.where(done, above, beyond)
+        shift = np.where(done | finished, shift, np.maximum(shift - bits, 0))
+        return pa.Table.from_batches([_state(int(right["qb"][0].as_py()), low, shift, above, done | finished)])
+
+    while limits.filter("open").head(1):
+        still = limits.filter("open")
+        histograms = cells(still, "low", "shift", "done").mapInArrow(count, "qb bigint, i binary, c binary")
+        moved = histograms.groupBy("qb").cogroup(still.groupBy("qb")).applyInArrow(refine, _STATE)
         new = written(moved.unionByName(limits.filter("not open")), "limits")
         discard(limits)
         limits = new
-        if not limits.filter("open").head(1):
-            break
 
     def keep(batches):
-        for batch in batches:
-            for qb, xb, qn, xn, qm, xm, low in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                s = _scores(_matrix(qm, qn), _matrix(xm, xn), qb == xb)
-                q, x = np.nonzero((s >= np.frombuffer(low, np.int64)[:, None]) & (s > np.iinfo(np.int64).min))
-                yield pa.RecordBatch.from_arrays([pa.array([qb] * len(q), pa.int64()), pa.array(q.astype(np.int32)), pa.array([xb] * len(q), pa.int64()), pa.array(x.astype(np.int32)), pa.array(s[q, x])], names=["qb", "q", "xb", "x", "s"])
+        blocks = Blocks(folder)
+        for qb, slab, low in _rows(batches, np.int64):
+            own, q = blocks[qb]
+            for xb in slabs[slab]:
+                ids, x = blocks[xb]
+                for at in range(0, len(q), step):
+                    i = np.arange(at, min(at + step, len(q)))
+                    s = _scores(q[i], x, i if qb == xb else None)
+                    r, c = np.nonzero((s >= low[i, None]) & (s > _LOWEST))
+                    v = s[r, c]
+                    best = np.lexsort((c, -v, r))  # within a block places are in order of id
+                    r, c, v = r[best], c[best], v[best]
+                    begin = np.searchsorted(r, np.arange(len(i)))
+                    some = np.arange(len(r)) - begin[r] < k
+                    r, c, v = r[some], c[some], v[some]
+                    yield pa.RecordBatch.from_arrays([pa.array([qb] * len(r), pa.int64()), pa.array(i[r].astype(np.int32)), pa.array(own[i[r]]), pa.array(ids[c]), pa.array([xb] * len(r), pa.int64()), pa.array(c.astype(np.int32)), pa.array(v)], names=["qb", "q", "query_id", "neighbor_id", "xb", "x", "s"])
 
     def rank(batches):
         for table in segments(batches, "qb"):
             yield from _ranked(table, k).to_batches()
 
-    found = _cells(blocks, limits.select("qb", "low"), ["low"], sizes.n, sizes.m).mapInArrow(keep, "qb bigint, q int, xb bigint, x int, s bigint")
-    ids = blocks.select("b", "n", "ids")
-
-    def name(batches):
-        for batch in batches:
-            for b, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                yield pa.RecordBatch.from_arrays([pa.array([b] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.frombuffer(raw, np.int64))], names=["b", "r", "id"])
-
-    named = ids.mapInArrow(name, "b bigint, r int, id bigint")
-    best = (
-        found.join(named.select(F.col("b").alias("xb"), F.col("r").alias("x"), F.col("id").alias("neighbor_id")), ["xb", "x"])
-        .join(named.select(F.col("b").alias("qb"), F.col("r").alias("q"), F.col("id").alias("query_id")), ["qb", "q"])
-        .select("qb", "q", "query_id", "neighbor_id", "xb", "x", "s").repartition("qb").sortWithinPartitions("qb", "q", F.desc("s"), "neighbor_id", "xb", "x")
-    )
-    return best.mapInArrow(rank, schema)
+    found = cells(limits, "low").mapInArrow(keep, "qb bigint, q int, query_id bigint, neighbor_id bigint, xb bigint, x int, s bigint")
+    return found.repartition("qb").sortWithinPartitions("qb", "q", F.desc("s"), "neighbor_id", "xb", "x").mapInArrow(rank, schema)
 
 
 def _ranked(table: pa.Table, k: int) -> pa.Table:

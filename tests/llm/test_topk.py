@@ -19,6 +19,8 @@ def brute(rows, k):
 @pytest.mark.parametrize("block", [16, 2048])
 def test_like_brute_force_with_ties_and_copies(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "SLAB", 2)
+    monkeypatch.setattr(topk, "STEP", 7)
     rng = np.random.default_rng(2)
     v = rng.normal(size=(90, 8)).astype(np.float32)
     v[40:70] = v[3]
