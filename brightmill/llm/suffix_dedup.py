@@ -41,7 +41,7 @@ MIN_TOKENS = 50
 GRAM = 10
 COLLECTION = 4096
 #: Longest piece, in windows.
-PIECE = 192
+PIECE = 48
 
 
 # ---- column-wise construction ----------------------------------------------------------------------------
@@ -111,46 +111,58 @@ def suffix_order(symbols: np.ndarray, first: np.ndarray, files: Files) -> tuple[
     """
     length = np.diff(first)
     m = len(length)
+    # the narrowest types that hold the values, as all of this is written again each round
+    name, who, count = (np.min_scalar_type(int(x)) for x in (symbols.max(initial=0), max(m - 1, 0), length.max(initial=0)))
 
     def before(seq: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The symbol before the suffix of length n (0 if there is none)."""
         at = first[seq + 1] - n - 1
-        return np.where(n < length[seq], symbols[np.maximum(at, 0)], 0).astype(np.int32)
-
-    files.write("own", np.arange(m, dtype=np.int32))
-    files.write("size", np.zeros(m, np.int16))
-    files.write("bwt", before(np.arange(m), np.zeros(m, np.int64)))
-    files.write("lcp", np.zeros(m, np.int16))
+        return np.where(n < length[seq], symbols[np.maximum(at, 0)] if len(symbols) else 0, 0).astype(name)
+
+    bwt = before(np.arange(m), np.zeros(m, np.int64))
+    files.write("own", np.arange(m, dtype=who))
+    files.write("size", np.zeros(m, count))
+    files.write("bwt", bwt)
+    files.write("lcp", np.zeros(m, count))
+    # last-to-first mapping: (symbol, place) of the entries, sorted; the kth stands for the suffix at place m + k
+    new = np.flatnonzero(bwt)
+    keys = np.sort((bwt[new].astype(np.int64) << 32) | new)
+    new = np.arange(len(keys))
     for j in range(1, int(length.max()) + 1 if m else 1):
-        bwt, lcp = files.read("bwt", np.int32), files.read("lcp", np.int16)
-        own, size = files.read("own", np.int32), files.read("size", np.int16)
-        some = np.flatnonzero(bwt)
-        keys = np.sort((bwt[some].astype(np.int64) << 32) | some)  # last-to-first mapping of every entry
+        bwt, lcp, own, size = files.read("bwt", name), files.read("lcp", count), files.read("own", who), files.read("size", count)
         tail, symbol = keys & 0xFFFFFFFF, keys >> 32
-        new = np.flatnonzero(size[tail] == j - 1)
-        fresh_ = tail[new]
-        into = np.zeros(len(bwt) + len(new), bool)
+        into = np.zeros(m + len(keys), bool)
         into[m + new] = True
-        old = ~into
+        old = np.flatnonzero(~into)
 
         def merged(column, values):
             out = np.empty(len(into), column.dtype)
             out[old] = column
-            out[into] = values
+            out[m + new] = values
             return out
 
-        lcp = merged(lcp, 0)
+        seq = own[tail[new]]
+        symbols_now = before(seq.astype(np.int64), np.full(len(new), j, np.int64))
         touch = np.unique(np.concatenate([new, new[new + 1 < len(keys)] + 1]))
-        same = touch[(touch > 0) & (symbol[touch] == symbol[touch - 1])]
-        value = np.zeros(len(touch), np.int16)
-        if len(same):
-            value[np.isin(touch, same, assume_unique=True)] = 1 + range_min(files.read("lcp", np.int16), tail[same - 1] + 1, tail[same])
+        same = (touch > 0) & (symbol[touch] == symbol[np.maximum(touch, 1) - 1])
+        value = np.zeros(len(touch), count)
+        if same.any():
+            at = touch[same]
+            value[same] = 1 + range_min(lcp, tail[at - 1] + 1, tail[at])
+        lcp = merged(lcp, 0)
         lcp[m + touch] = value
         files.write("lcp", lcp)
-        files.write("bwt", merged(bwt, before(own[fresh_], np.full(len(new), j, np.int64))))
+        files.write("bwt", merged(bwt, symbols_now))
         files.write("size", merged(size, j))
-        files.write("own", merged(own, own[fresh_]))
-    return files.read("own", np.int32), files.read("size", np.int16), files.read("lcp", np.int16)
+        files.write("own", merged(own, seq))
+        # places move up but keep their order; only the new entries are sorted in
+        keys = (symbol << 32) | old[tail]
+        more = np.flatnonzero(symbols_now)
+        more = np.sort((symbols_now[more].astype(np.int64) << 32) | (m + new[more]))
+        at = np.searchsorted(keys, more)
+        keys = np.insert(keys, at, more)
+        new = at + np.arange(len(more))
+    return files.read("own", who).astype(np.int64), files.read("size", count).astype(np.int64), files.read("lcp", count).astype(np.int64)
 
 
 # ---- pieces --------------------------------------------------------------------------------------------------
