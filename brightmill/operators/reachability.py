@@ -65,10 +65,21 @@ def closure(begin: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame
     return seen
 
 
+def warnings(reach: DataFrame, edges: DataFrame, found: DataFrame, spans: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """What limited the analysis, as (project, warning, n): functions not followed because they lie beyond
+    ``depth`` calls (``depth``), and files with findings but without facts (``no_facts``)."""
+    node = ["project", "rel", "qual"]
+    links = edges.select("project", F.col("src_rel").alias("rel"), F.col("src").alias("qual"), "dst_rel", "dst")
+    last = reach.filter(F.col("hops") == depth).join(links, node).select("project", F.col("dst_rel").alias("rel"), F.col("dst").alias("qual")).distinct()
+    beyond = last.join(reach.select(node), node, "left_anti").groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit("depth").alias("warning"), "n")
+    lost = found.select("project", "rel").distinct().join(spans.select("project", "rel").distinct(), ["project", "rel"], "left_anti")
+    return beyond.unionByName(lost.groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit("no_facts").alias("warning"), "n"))
+
+
 def tag(found: DataFrame, entry_points: DataFrame, facts_spans: DataFrame, graph_nodes: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``found`` with reachability, entry_point_name, ep_ord, reachability_path, reachability_files and
     reachability_path_truncated."""
-    eps = numbered(entry_points)
+    eps = stored(numbered(entry_points), "entry_points")  # read twice below
     any_ep = eps.select("project").distinct().withColumn("has_ep", F.lit(True))
     reach = closure(starts(eps, facts_spans), edges, depth).withColumnRenamed("path", "chain")
     rows = enclosing(found, facts_spans).join(any_ep, "project", "left").join(reach, ["project", "rel", "qual"], "left").join(graph_nodes.withColumn("is_node", F.lit(True)), ["project", "rel", "qual"], "left")

@@ -63,7 +63,9 @@ class Scan:
 
     @cached_property
     def ts_entry_points(self) -> DataFrame:
-        return ts_entry_points.ts_entry_points(self.scripts.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))))
+        text = F.col("content").cast("string")
+        readable = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))  # without its invalid bytes
+        return ts_entry_points.ts_entry_points(self.scripts.withColumn("text", readable))
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -55,3 +55,12 @@ def test_innermost_span_and_lines_without_number(spark):
     rows = spark.createDataFrame([("p", "a", n) for n in (5, 10, 13, 14, 21, None)] + [("p", "b", 1)], "project string, rel string, lineno int")
     got = {(r.rel, r.lineno): r.qual for r in reachability.enclosing(rows, spans).collect()}
     assert got == {("a", 5): "<module>", ("a", 10): "outer", ("a", 13): "inner", ("a", 14): "outer", ("a", 21): "<module>", ("a", None): None, ("b", 1): None}
+
+
+def test_warnings(spark):
+    chain = "@tool\ndef f0(): f1()\n" + "\n".join(f"def f{i}(): f{i + 1}(); eval('1')" for i in range(1, 12))
+    scan = Scan(files(spark, {"deep": chain, "flat": "@tool\ndef f(): g()\ndef g(): f()"}))
+    reach = reachability.closure(reachability.starts(reachability.numbered(scan.python_entry_points), scan.spans), scan.edges)
+    found = scan.raw_findings.select("project", "rel").union(spark.createDataFrame([("flat", "gone.py")], "project string, rel string"))
+    got = {(r.project, r.warning, r.n) for r in reachability.warnings(reach, scan.edges, found, scan.spans).collect()}
+    assert got == {("deep", "depth", 1), ("flat", "no_facts", 1)}

@@ -177,3 +177,11 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(SystemExit) as e:
         report.main([str(tmp_path / "none")])
     assert e.value.code == 2
+
+
+def test_scripts_lose_their_invalid_bytes_only(spark):
+    from brightmill.plans.scan import Scan
+    from helpers import files
+
+    rows = Scan(files(spark, {"p": {"a.ts": b'server.tool("a\xffb", f)', "b.ts": 'server.tool("\ufffd", f)'}})).ts_entry_points.collect()
+    assert sorted(r.name for r in rows) == ["ab", "\ufffd"]
