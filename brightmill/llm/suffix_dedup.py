@@ -48,19 +48,25 @@ PIECE = 48
 
 
 class Files:
-    """Named numpy columns kept as files of one folder, written and read as sequential streams."""
+    """Named numpy columns kept as files of one folder, written and read as sequential streams. A new version
+    goes to a file of its own and the old one is deleted, so short-lived versions need not reach the disk."""
 
     def __init__(self, folder: str):
         self.system, root = pafs.FileSystem.from_uri(folder)
         self.root = f"{root}/{uuid.uuid4().hex}"
         self.system.create_dir(self.root, recursive=True)
+        self.version: dict[str, int] = {}
 
     def write(self, name: str, values: np.ndarray) -> None:
-        with self.system.open_output_stream(f"{self.root}/{name}") as f:
+        n = self.version.get(name, 0)
+        with self.system.open_output_stream(f"{self.root}/{name}-{n + 1}") as f:
             f.write(memoryview(np.ascontiguousarray(values)).cast("B"))
+        self.version[name] = n + 1
+        if n:
+            self.system.delete_file(f"{self.root}/{name}-{n}")
 
     def read(self, name: str, kind) -> np.ndarray:
-        with self.system.open_input_stream(f"{self.root}/{name}") as f:
+        with self.system.open_input_stream(f"{self.root}/{name}-{self.version[name]}") as f:
             return np.frombuffer(f.read(), kind)
 
     def close(self) -> None:
