@@ -16,6 +16,7 @@ CAPABILITIES = {
     "DYNAMIC": ("high", "Runs code or loads modules chosen at run time.", "Untrusted input could turn into running code."),
     "AUTONOMY": ("medium", "Can keep acting or schedule actions without a user.", "Risky behaviour could repeat in the background."),
 }
+LEVELS = "info low medium high".split()
 OTHER_CAPABILITY = ("medium", "Has a capability that may be sensitive.", "Misuse could widen what an injected prompt can reach.")
 
 

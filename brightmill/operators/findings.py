@@ -42,7 +42,7 @@ def normalized(found: DataFrame) -> DataFrame:
     sure = F.expr("try_cast(confidence AS double)")
     return found.withColumns(
         {
-            "risk_level": F.when(F.col("risk_level").isNull(), None).when(risk.isin("high", "medium", "low", "info"), risk).otherwise("medium"),
+            "risk_level": F.when(F.col("risk_level").isNull(), None).when(risk.isin(R.LEVELS), risk).otherwise("medium"),
             "confidence": F.when(F.isnan(sure), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure))) if dict(found.dtypes)["confidence"] == "string" else F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence").cast("double"))),
             "lineno": F.expr("try_cast(lineno AS int)"),
         }

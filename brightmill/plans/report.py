@@ -13,7 +13,7 @@ _STATES = [("unreachable", "no call path leads there"), ("module_level", "run wh
 
 
 def json_report(results: dict) -> str:
-    return json.dumps(v1_report(results), indent=2, ensure_ascii=False)
+    return json.dumps(v1_report(results), ensure_ascii=False, indent=2)
 
 
 def write_json_report(results: dict, path: str | Path) -> None:
@@ -27,7 +27,10 @@ def format_path(path: list | None, truncated: bool, files: list | None = None, e
     path = path or []
     if explain:
         return "\n      → ".join(f"{p} @ {f}" if f else p for p, f in zip(path, files or [None] * len(path)))
-    return " → ".join([path[0], "…", path[-1]] if truncated and len(path) > 2 else path)
+    if truncated and len(path) > 2:
+        path = [path[0], *path[-1:]]
+        path.insert(1, "…")
+    return " → ".join(path)
 
 
 def _section(title: str) -> list[str]:
@@ -88,11 +91,12 @@ def human_report(results: dict, explain: bool = False) -> str:
         if scripts:
             out += ["⚠  Capabilities are analysed in Python only; the entry points above show what can be called.", ""]
         elif not n:
-            out.append("No Python or TypeScript files were found for analysis.")
+            out.append("Nothing to analyse: there are neither Python nor TypeScript files.")
             out += ["Detected: " + ", ".join(f"{x['language']} ({x['count']} files)" for x in other), ""] if other else [""]
     version, target = results.get("resolved_version"), results.get("target", "")
     out.append("Static analysis only.")
-    out.append(f"Scanned: {results.get('num_files_scanned', 0)} python files, {n} TypeScript/JavaScript files under {target}" + (f" (version {version})" if version and version not in target else ""))
+    python = int(results.get("num_files_scanned") or 0)
+    out.append(f"Read {python} Python and {n} TypeScript/JavaScript files under {target}" + (f" (version {version})" if version and version not in target else ""))
     return "\n".join(out)
 
 
@@ -107,22 +111,27 @@ def _bar(stage: str, percent: int, detail: str) -> None:
 
 def main(argv: list[str] | None = None) -> None:
     """Command line; exits with 0, 1 (reachable findings of the severity) or 2 (failure)."""
+    options = {
+        "path": {"default": ".", "nargs": "?", "help": "path, GitHub URL, mcp+http(s):// endpoint or pypi:name[==version]"},
+        "--json": {"dest": "as_json", "action": "store_true", "help": "the report as JSON"},
+        "--rules": {"default": "core", "choices": ["core", "all"], "help": "accepted; there is one rule set"},
+        "--severity": {"default": "high", "choices": ["high", "medium", "none"], "help": "least risk of a reachable finding that fails"},
+        "--explain": {"action": "store_true", "help": "whole call chains with files"},
+    }
     p = argparse.ArgumentParser(prog="brightmill", description="What a language model can reach through your code.")
-    p.add_argument("path", nargs="?", default=".", help="path, GitHub URL, mcp+http(s):// endpoint or pypi:name[==version]")
-    p.add_argument("--json", action="store_true", dest="as_json")
-    p.add_argument("--rules", choices=["core", "all"], default="core", help="accepted; there is one rule set")
-    p.add_argument("--severity", choices=["high", "medium", "none"], default="high")
-    p.add_argument("--explain", action="store_true", help="whole call chains with files")
+    for name, how in options.items():
+        p.add_argument(name, **how)
     args = p.parse_args(argv)
     try:
         from pyspark.sql import SparkSession
 
         results = scan_target(SparkSession.builder.appName("brightmill").getOrCreate(), args.path, tell=_bar)
     except Exception as e:  # the exit code tells
-        print(f"Error: {e}", file=sys.stderr)
+        print("Error:", e, file=sys.stderr)
         sys.exit(2)
     print(json_report(results) if args.as_json else human_report(results, args.explain))
-    sys.exit(exit_code(results, args.severity))
+    code = exit_code(results, severity=args.severity)
+    sys.exit(code)
 
 
 if __name__ == "__main__":

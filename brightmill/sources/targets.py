@@ -22,6 +22,7 @@ from pathlib import Path, PurePosixPath
 from urllib.parse import urlparse
 from urllib.request import Request, urlopen
 
+INDEX = "https://pypi.org/pypi"
 Progress = Callable[[str, int, str], None]
 
 
@@ -66,7 +67,7 @@ def unpack(name: str, data: bytes, out: Path) -> None:
         if name.endswith((".tar.gz", ".tgz", ".tar.bz2")):
             with tarfile.open(fileobj=io.BytesIO(data), mode="r:bz2" if name.endswith("bz2") else "r:gz") as t:
                 t.extractall(out, [m for m in t.getmembers() if safe(m.name) and not m.issym() and not m.islnk()], filter="data")
-        elif name.endswith((".whl", ".zip")):
+        elif Path(name).suffix in (".zip", ".whl"):
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 z.extractall(out, [m for m in z.namelist() if safe(m)])
         else:
@@ -81,7 +82,7 @@ def fetch_package(name: str, version: str | None, out: Path, get=fetch, tell: Pr
     shown = f"{name}=={version}" if version else name
     tell("pypi_download", 0, f"asking for {name}")
     try:
-        about = json.loads(get(f"https://pypi.org/pypi/{name}/{version + '/' if version else ''}json", timeout=15))
+        about = json.loads(get("/".join(filter(None, (INDEX, name, version, "json"))), timeout=15))
     except urllib.error.HTTPError as e:
         raise RuntimeError(f"PyPI: {shown!r} not found" if e.code == 404 else f"PyPI answered HTTP {e.code} for {shown!r}") from e
     except urllib.error.URLError as e:
@@ -134,7 +135,7 @@ def fetch_mcp(endpoint: str, out: Path, get=fetch) -> None:
 def clone(url: str, out: Path, tell: Progress | None = None) -> None:
     tell = tell or (lambda *_: None)
     tell("github_clone", 0, "starting")
-    subprocess.run(["git", "clone", "--depth", "1", url, str(out)], check=True, capture_output=True, text=True)
+    subprocess.run([*"git clone --depth 1".split(), url, str(out)], check=True, capture_output=True, text=True)
     tell("github_clone", 100, "done")
 
 

@@ -19,7 +19,7 @@ AGENT = "import subprocess, requests\nfrom langchain_core.tools import tool\n@to
 def tree(folder, **kinds):
     for name, text in {"agent.py": AGENT, "test_agent.py": "eval('1')", "tool.ts": 'server.tool("t", f)', "sub/.venv/x.py": "eval('1')"}.items():
         p = folder / name
-        p.parent.mkdir(parents=True, exist_ok=True)
+        p.parent.mkdir(exist_ok=True, parents=True)
         p.write_text(text)
     return folder
 
@@ -92,7 +92,7 @@ def test_package_failures(tmp_path):
     def missing(url, timeout=0):
         raise urllib.error.HTTPError(url, 404, "no", {}, None)
 
-    with pytest.raises(RuntimeError, match="not found"):
+    with pytest.raises(RuntimeError, match="1. not found"):
         targets.fetch_package("x", "1", tmp_path, missing)
     with pytest.raises(RuntimeError, match="neither"):
         targets.fetch_package("x", None, tmp_path, lambda *a, **k: b'{"urls": []}')
