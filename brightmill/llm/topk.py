@@ -5,7 +5,8 @@ in the shared folder. A cell is one block of queries against a slab of blocks; t
 reads the blocks one after the other, so its memory is bounded by two blocks and a part of their scores,
 and no vectors are shuffled or broadcast. Round by round each cell counts, for every query that is
 still open, its scores into a histogram of the query's current interval; the histograms are added up over all
-cells, and the interval shrinks to the bin that holds the kth best score. When no more than ``slack`` scores
+cells, and the interval shrinks to the bin that holds the kth best score (it reaches below that bin, never
+above, where the bin has fewer units than an interval has bins). When no more than ``slack`` scores
 lie from an interval's lower edge up (or its bins are one unit wide) the edge is the query's cut. A last
 pass keeps the scores at or above the cut (of one block the first k by score and id, as no others can be
 among the best), and the best ``k`` are ranked, ties by id.
@@ -166,8 +167,10 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
         rows = np.arange(n)
         beyond = np.where(j + 1 < bins, tail[rows, np.minimum(j + 1, bins - 1)], above)
         finished = few | (tail[rows, j] <= slack) | (shift == 0)
-        low, above = np.where(done, low, low + (j << shift)), np.where(done, above, beyond)
-        shift = np.where(done | finished, shift, np.maximum(shift - bits, 0))
+        finer = np.maximum(shift - bits, 0)
+        inner = low + ((j + 1) << shift) - (bins << finer)  # ends where the bin ends, as the scores from there up are in ``above``
+        low, above = np.where(done, low, np.where(finished, low + (j << shift), inner)), np.where(done, above, beyond)
+        shift = np.where(done | finished, shift, finer)
         return pa.Table.from_batches([_state(int(right["qb"][0].as_py()), low, shift, above, done | finished)])
 
     while limits.filter("open").head(1):

@@ -30,6 +30,16 @@ def test_like_brute_force_with_ties_and_copies(spark, monkeypatch, block):
     assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
 
 
+def test_copies_with_rounding_noise_lose_no_neighbours(spark):
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(2, 8)), 70, axis=0)
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True) + rng.normal(size=v.shape) * 1e-7).astype(np.float32)
+    rows = [(i, x.tolist(), 1, None, None) for i, x in enumerate(v)]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, SCHEMA)).select("query_id", "neighbor_id", "rank", "score").collect())
+    want = brute(rows, 10)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-12)
+
+
 def test_awkward_rows(spark):
     rows = [(1, [1.0, 0.0], 1, 1, "a"), (2, [0.5, 0.5], None, 1, "a"), (2, [0.5, 0.5], None, 1, "a"), (3, None, 1, 1, "a"), (None, [1.0, 1.0], 1, 1, "a"), (4, [1.0, None], 1, 1, "a"), (5, [1.0], 1, 1, "a"), (6, [], 1, 1, "a"), (7, [float("nan"), 1.0], 1, 1, "a")]
     df = spark.createDataFrame(rows, SCHEMA)
