@@ -201,8 +201,9 @@ def leaks(docs: DataFrame, bench: DataFrame, min_match: int = MIN_MATCH, thresho
 
 
 def _seeds(frame: DataFrame, keys: list[str], min_match: int) -> DataFrame:
-    """Distinct seeds of each row: the key columns, the seed, and how many tokens the text has."""
-    schema = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys) + ", seed bigint, n_tokens int"
+    """Distinct seeds of each row: the key columns, the seed, how many tokens of the text lie in its places, and
+    how many tokens the text has."""
+    schema = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys) + ", seed bigint, covers int, n_tokens int"
 
     def run(batches):
         for batch in rebatch(batches, 2048, 4 << 20):
@@ -212,11 +213,16 @@ def _seeds(frame: DataFrame, keys: list[str], min_match: int) -> DataFrame:
                 continue
             doc = tokens.doc()[: len(g)]
             inside = np.flatnonzero(doc == tokens.doc()[min_match - 1 :])
-            both = np.stack([doc[inside].astype(np.uint64), g[inside]], 1)
-            both = np.unique(both, axis=0)
-            row = pa.array(both[:, 0].astype(np.int64))
+            order = inside[np.lexsort((g[inside], doc[inside]))]  # places of a seed stay in order
+            if not len(order):
+                continue
+            new = np.concatenate([[True], (np.diff(doc[order]) != 0) | (g[order][1:] != g[order][:-1])])
+            first = np.flatnonzero(new)
+            covers = np.where(new, min_match, np.minimum(np.diff(order, prepend=0), min_match))
+            covers = pa.array(np.add.reduceat(covers, first).astype(np.int32))
+            row = pa.array(doc[order[first]].astype(np.int64))
             n = pa.array(tokens.counts().astype(np.int32)).take(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)).take(row) for k in keys), pa.array(both[:, 1].view(np.int64)), n], names=[*keys, "seed", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)).take(row) for k in keys), pa.array(g[order[first]].view(np.int64)), covers, n], names=[*keys, "seed", "covers", "n_tokens"])
 
     return frame.select(*keys, "text").mapInArrow(run, schema)
 
@@ -224,11 +230,11 @@ def _seeds(frame: DataFrame, keys: list[str], min_match: int) -> DataFrame:
 def _leaks_shuffled(docs: DataFrame, items: DataFrame, min_match: int, threshold: float) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     items = items.select("item_id", F.col("text").alias("item_text"), F.xxhash64("text").alias("ih"))
-    left = _seeds(docs, ["doc_id", "th"], min_match).drop("n_tokens").distinct()
+    left = _seeds(docs, ["doc_id", "th"], min_match).drop("covers", "n_tokens").distinct()
     right = _seeds(items.select("item_id", "ih", F.col("item_text").alias("text")), ["item_id", "ih"], min_match).distinct()
     pairs = (
-        left.hint("merge").join(right, "seed").groupBy("doc_id", "th", "item_id", "ih").agg(F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("size"))
-        .filter(F.col("n") * min_match >= F.col("size") * threshold).select("doc_id", "th", "item_id", "ih")
+        left.hint("merge").join(right, "seed").groupBy("doc_id", "th", "item_id", "ih").agg(F.sum("covers").alias("n"), F.max("n_tokens").alias("size"))
+        .filter(F.col("n") >= F.col("size") * threshold).select("doc_id", "th", "item_id", "ih")
     )
 
     def same(a, b, *cols):

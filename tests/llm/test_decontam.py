@@ -79,6 +79,18 @@ def test_reordered_passages_and_awkward_rows(spark, monkeypatch, limit):
     assert decontam.drop_leaks(docs, bench.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, -1])
+def test_items_that_repeat_a_phrase(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
+    chorus = " ".join(["la la la we sing the old song again"] * 20)
+    items = [(1, chorus), (2, "na " * 200), (3, "one two three four five six seven eight")]
+    docs = [(10, f"before {chorus} after"), (11, "na " * 150), (12, "la la la we sing the old song again"), (13, "one two three four x")]
+    docs, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.matched_tokens) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(10, 1, 180), (11, 2, 150), (13, 3, 4)}
+    assert [r.doc_id for r in decontam.drop_leaks(docs, bench).collect()] == [12]
+
+
 def test_table_like_brute_force(spark, data):
     data = data.replace("sf0.001", "sf0.01")
     docs, bench = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
