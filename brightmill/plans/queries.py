@@ -6,7 +6,7 @@ sees the text: it works out from the columns what must be found, so the two can
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -220,9 +220,24 @@ r(node, ep, hops) AS (SELECT * FROM s UNION SELECT dst, ep, hops + 1 FROM r JOIN
 b AS (SELECT node, min(hops) AS hops FROM r GROUP BY node)
 SELECT 'c' || node AS node, min(ep) AS entry_point, hops FROM r JOIN b USING (node, hops) GROUP BY node, hops""")
 def bounded_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_reach(spark, sf_dir, F.col("o_orderpriority") == "1-URGENT")
+
+
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer),
+k AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31 + 7) % n AS dst FROM orders, n),
+s AS (SELECT c_custkey AS node, 'ep' || c_custkey AS ep, 0 AS hops FROM customer WHERE c_acctbal > 9800),
+r(node, ep, hops) AS (SELECT * FROM s UNION SELECT dst, ep, hops + 1 FROM r JOIN k ON src = node WHERE hops < 8),
+b AS (SELECT node, min(hops) AS hops FROM r GROUP BY node)
+SELECT 'c' || node AS node, min(ep) AS entry_point, hops FROM r JOIN b USING (node, hops) GROUP BY node, hops""")
+def bounded_reach_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_reach(spark, sf_dir, F.lit(True))
+
+
+def _order_reach(spark: SparkSession, sf_dir: str, which: Column) -> DataFrame:
+    """The closure over the calls of the orders that are ``which``, from the customers of the highest balances."""
     customer = read(spark, sf_dir, "customer")
     name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
-    calls = corpus.order_edges(read(spark, sf_dir, "orders"), customer).filter("o_orderpriority = '1-URGENT'")
+    calls = corpus.order_edges(read(spark, sf_dir, "orders"), customer).filter(which)
     edges = calls.select(F.lit("p").alias("project"), F.lit("a.py").alias("src_rel"), name("src").alias("src"), F.lit("a.py").alias("dst_rel"), name("dst").alias("dst")).distinct()
     begin = customer.filter("c_acctbal > 9800").select(F.lit("p").alias("project"), F.lit("a.py").alias("rel"), name("c_custkey").alias("qual"), F.concat(F.lit("ep"), F.col("c_custkey").cast("string")).alias("ep"), F.col("c_custkey").cast("int").alias("ep_ord"))
     return reachability.closure(begin, stored(edges, "edges")).select(F.col("qual").alias("node"), F.col("ep").alias("entry_point"), "hops")

@@ -1,6 +1,7 @@
 """Call graph, imports and reachability on small projects."""
 
 from brightmill.operators import call_graph, reachability
+from brightmill.plans.queries import QUERIES
 from brightmill.plans.scan import Scan
 from helpers import files
 
@@ -64,3 +65,20 @@ def test_warnings(spark):
     found = scan.raw_findings.select("project", "rel").union(spark.createDataFrame([("flat", "gone.py")], "project string, rel string"))
     got = {(r.project, r.warning, r.n) for r in reachability.warnings(reach, scan.edges, found, scan.spans).collect()}
     assert got == {("deep", "depth", 1), ("flat", "no_facts", 1)}
+
+
+def test_reach_over_all_orders_like_breadth_first_search(spark, data):
+    customer = spark.read.parquet(f"{data}/customer.parquet").select("c_custkey", "c_acctbal").collect()
+    out = {}
+    for o in spark.read.parquet(f"{data}/orders.parquet").select("o_custkey", "o_orderkey").collect():
+        out.setdefault(o.o_custkey, set()).add((o.o_orderkey * 31 + 7) % len(customer))
+    best = {}
+    for start in (c.c_custkey for c in customer if c.c_acctbal > 9800):
+        seen, now = {start}, {start}
+        for hops in range(9):
+            for node in now:
+                best[node] = min(best.get(node, (9, "")), (hops, f"ep{start}"))
+            now = {d for node in now for d in out.get(node, ())} - seen
+            seen |= now
+    got = {r.node: (r.hops, r.entry_point) for r in QUERIES["bounded_reach_all_orders"](spark, data).collect()}
+    assert got == {f"c{node}": b for node, b in best.items()} and len(got) > QUERIES["bounded_reach"](spark, data).count()
