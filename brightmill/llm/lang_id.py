@@ -6,8 +6,8 @@ its ranked profile (ties: shorter first, then code point order). The out-of-plac
 language is the sum over the document's n-grams of the rank difference, or ``top`` where the language
 profile lacks the n-gram, divided by its largest possible value, so it lies in [0, 1].
 
-Profiles are trained on a bounded sample of labelled rows (``per_language``); every document is then
-scored over its whole text.
+Profiles are trained on a bounded sample of the distinct texts of each label (``per_language``; all of them
+where there are no more); every document is then scored over its whole text.
 
 Defined results: NULL, empty and letterless texts have language ``und``, distance 1 and are rejected;
 ties between languages go to the first in alphabetical order; repeated rows are scored alike; rows
@@ -20,15 +20,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import fresh
+from ._shared import discard, fresh, written
 from ._text import rebatch
 
 MAX_N, TOP = 3, 300
-#: Most labelled rows per language (about) that train a profile.
+#: Most distinct labelled texts per language that train a profile.
 PER_LANGUAGE = 400
 #: Documents farther than this from every profile are rejected.
 MAX_DISTANCE = 0.75
@@ -133,12 +133,13 @@ class Profiles:
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, max_n: int = MAX_N, top: int = TOP) -> Profiles:
-    """Profiles from about ``per_language`` rows of each label, chosen by a hash of the text."""
+    """Profiles from the ``per_language`` distinct texts of each label whose hashes are least, or all if there are fewer."""
     narrow = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).filter("text is not null and label is not null")
-    sizes = narrow.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    picked = narrow.join(F.broadcast(sizes) if sizes.count() < 10_000 else sizes, "label").filter(
-        F.abs(F.xxhash64("text") % F.lit(1_000_000_007)) < F.lit(1_000_000_007.0 * per_language) / F.col("n")
-    )
+    hashed = narrow.withColumn("h", F.xxhash64("text"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    last = hashed.select("label", "h").distinct().withColumn("nth", nth).filter(F.col("nth") <= per_language).groupBy("label").agg(F.max("h").alias("last"))
+    last = written(last, "last")
+    picked = hashed.join(F.broadcast(last) if last.count() < 10_000 else last, "label").filter("h <= last").select("label", "text").distinct()
 
     def profile(table: pa.Table) -> pa.Table:
         counts: dict[int, int] = {}
@@ -147,6 +148,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_language
         return pa.table({"label": pa.array([table["label"][0].as_py()]), "codes": pa.array([[int(c) for c in codes]], pa.list_(pa.int64()))})
 
     rows = picked.groupBy("label").applyInArrow(profile, "label string, codes array<bigint>").collect()
+    discard(last)
     return Profiles({r.label: r.codes for r in rows}, max_n, top)
 
 

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -55,6 +56,16 @@ def test_language_of_the_table(spark, data):
     assert sum(r.lang_id == r.declared for r in real) >= 0.95 * len(real) and len(real) > 0.9 * len(rows)
 
 
+def test_copies_train_once_and_every_language_trains(spark):
+    one, two = TEXTS["de"], TEXTS["fr"]
+    rows = [(one, "mixed")] * 500 + [(two, "mixed")] + [(f"{TEXTS['en']} {'abcdefghijkl'[i]} {k}", f"l{i}") for i in range(12) for k in range(2)] * 250
+    model = lang_id.train(spark.createDataFrame(rows, "text string, lang string"), per_language=20)
+    assert model.names == sorted(["mixed", *(f"l{i}" for i in range(12))])
+    rank = model.rank[:-1, model.names.index("mixed")]
+    at = np.flatnonzero(rank >= 0)
+    assert model.codes[at[np.argsort(rank[at])]].tolist() in [[code(g) for g in profile(f"{a} {b}")] for a, b in ((one, two), (two, one))]
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     model = lang_id.train(docs)
