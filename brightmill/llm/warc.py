@@ -60,7 +60,7 @@ def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     if len(records) < 8 or total < 8 * 1024:
         return b""
     try:
-        return zstandard.train_dictionary(min(size, max(1024, total // 10)), records, k=512, d=8, f=18, accel=4, level=LEVEL, notifications=0).as_bytes()
+        return zstandard.train_dictionary(min(size, max(1024, total // 10)), records, k=512, d=8, f=18, accel=1, level=LEVEL, notifications=0).as_bytes()
     except zstandard.ZstdError:
         return b""
 

@@ -3,6 +3,7 @@ import hashlib
 from pathlib import Path
 
 import pytest
+import zstandard
 
 from brightmill.llm import warc
 
@@ -48,6 +49,12 @@ def test_awkward_rows_and_many_files(spark, tmp_path):
     assert len(set(ids)) == 64
 
 
+def test_dictionary_skips_no_positions_or_samples():
+    records = [warc.record(f"https://e.example/{i}", f"<p>word{i % 37} of {i * i} and {i % 11}</p>".encode() * (1 + i % 9), str(i))[0] for i in range(400)]
+    trained = lambda accel: zstandard.train_dictionary(sum(map(len, records)) // 10, records, k=512, d=8, f=18, accel=accel, level=warc.LEVEL, notifications=0).as_bytes()
+    assert warc.dictionary(records) == trained(1) != trained(4)
+
+
 def test_empty_table(spark, tmp_path):
     assert warc.write(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/w").count() == 0
     with pytest.raises(ValueError):
