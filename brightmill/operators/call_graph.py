@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .findings import union_all
-from .parser_views import view
+from ..functions.parser import view
 
 MODULE = "<module>"
 

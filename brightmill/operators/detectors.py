@@ -1,13 +1,16 @@
-"""Capability detectors as plans over the fact rows.
+"""Capability detectors as one plan over the fact rows.
 
-Imports are resolved inside each file's row by array functions, so classification needs no join and no
-shuffle; only keep-first removal of repeats groups the (few) findings by file. Detector outputs have the
-columns project, path, rel, capability, evidence, lineno, confidence, step, ord: the last two give the
-order in which a file's findings are met.
+Imports are resolved inside each file's row by array functions. A detector is a list of rules over the columns of a
+site (a call, an opening ``with``, or a subscript); the rules of all detectors are evaluated in one projection that makes
+an array of candidate findings per site, so facts are read once and sites exploded once, however many detectors
+there are. One shuffle, of the (few) findings, removes repeats. Outputs have the columns project, path, rel, detector,
+capability, evidence, lineno, confidence, step, ord: the last two give the order in which a file's findings are met.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +19,6 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 
 KEYS = ["project", "path", "rel"]
-COLUMNS = [*KEYS, "capability", "evidence", "lineno", "confidence", "step", "ord"]
 
 
 def names(imports: Column) -> Column:
@@ -39,14 +41,14 @@ def dotted(full: Column, head: Column, tail: Column) -> Column:
     return F.when(head.isNotNull(), F.concat_ws(".", F.coalesce(full, head), tail))
 
 
-def calls(facts: DataFrame) -> DataFrame:
-    """Calls of strictly readable files, with ``full`` (what an imported head stands for), ``resolved`` (dotted
+def sites(facts: DataFrame) -> DataFrame:
+    """Sites of strictly readable files, with ``full`` (what an imported head stands for), ``resolved`` (dotted
     callee), ``owner`` (dotted receiver) and ``client`` (constructor of a tracked HTTP client)."""
     usable = facts.filter("strict and parsed").withColumn("names", names(F.col("imports")))
     bound = F.transform("bindings", lambda b: F.struct(b["var"].alias("var"), dotted(last_of(F.col("names"), "local", b["head"], "full"), b["head"], b["tail"]).alias("made")))
     usable = usable.withColumn("clients", F.filter(bound, lambda b: b["made"].isin(R.CLIENTS)))
     one = F.transform(
-        "calls",
+        "sites",
         lambda c: F.struct(
             c.alias("c"),
             last_of(F.col("names"), "local", c["head"], "full").alias("full"),
@@ -70,123 +72,122 @@ def _ends(c: Column, suffixes) -> Column:
     return _any([c.endswith(s) for s in suffixes])
 
 
-def _emit(rows: DataFrame, capability, evidence, confidence, step: int) -> DataFrame:
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return rows.select(*KEYS, as_col(capability).alias("capability"), as_col(evidence).alias("evidence"), F.col("line").alias("lineno"), as_col(confidence).cast("double").alias("confidence"), F.lit(step).alias("step"), "ord")
-
+@dataclass(frozen=True)
+class Rule:
+    """A site where ``when`` holds has a finding; ``step`` orders the rules of a detector."""
 
-def _union(parts) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    when: Column
+    capability: str | Column
+    evidence: str | Column
+    confidence: float | Column
+    step: int = 1
 
 
-def keep_first(found: DataFrame, *key: str) -> DataFrame:
-    """The first finding of each key in a file."""
-    w = Window.partitionBy("project", "path", *key).orderBy("step", "ord")
-    return found.withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
+def _is(kind: str) -> Column:
+    return F.col("kind") == kind
 
 
-def shell_exec(facts: DataFrame, c: DataFrame | None = None) -> DataFrame:
+def shell_exec() -> list[Rule]:
     """EXECUTE: subprocess and os calls by literal receiver, bare exec and eval. Repeats are kept."""
-    c = calls(facts) if c is None else c
-    attr = (F.col("kind") == "attr") & (((F.col("recv") == "subprocess") & F.col("name").isin("run", "Popen", "call")) | ((F.col("recv") == "os") & (F.col("name") == "system")))
-    bare = (F.col("kind") == "name") & F.col("name").isin("exec", "eval")
-    return _emit(c.filter(attr | bare), "EXECUTE", F.concat(F.when(attr, F.concat("recv", F.lit(".")).cast("string")).otherwise(""), "name", F.lit("()")), 0.95, 1)
+    attr = _is("attr") & (((F.col("recv") == "subprocess") & F.col("name").isin("run", "Popen", "call")) | ((F.col("recv") == "os") & (F.col("name") == "system")))
+    bare = _is("name") & F.col("name").isin("exec", "eval")
+    return [Rule(attr, "EXECUTE", F.concat("recv", F.lit("."), "name", F.lit("()")), 0.95), Rule(bare, "EXECUTE", F.concat("name", F.lit("()")), 0.95)]
 
 
-def network(facts: DataFrame, c: DataFrame | None = None, rules=R.NETWORK_CALLS) -> DataFrame:
+def network(rules=R.NETWORK_CALLS) -> list[Rule]:
     """SEND: known calls by dotted prefix and suffix, socket-like calls, imported HTTP names, calls on tracked
     clients, and literal URLs."""
-    c = calls(facts) if c is None else c
     r, full = F.col("resolved"), F.col("full")
-    attr, bare = c.filter("kind = 'attr' and resolved is not null"), c.filter("kind = 'name' and full is not null and full <> ''")
     label = F.coalesce(*[F.when(r.startswith(m) & r.endswith(n), f"{m}.{n}") for m, n in rules])
-    attr = attr.withColumn("label", label)
     known = _any([full.endswith(f"{m}.{n}") | full.startswith(f"{m}.{n}") for m, n in rules])
     http = full.contains("urllib.request") | (
         full.contains("http") & ~full.contains("urllib.parse") & ~full.contains("qdrant_client.http.models") & ~F.element_at(F.split(full, r"\."), -1).isin(R.HTTP_SETTINGS) & ~full.startswith("mcp.server")
     )
+    bare = _is("name") & full.isNotNull() & (full != "")
     urls = F.filter(F.transform("strings", lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s.startswith("http://") | s.startswith("https://"))
-    literal = c.filter(F.col("kind").isin("attr", "name") & F.col("name").isin(R.URL_VERBS) & (F.size(urls) > 0))
-    target = F.when(F.col("kind") == "attr", F.coalesce(r, "name")).otherwise(F.coalesce(full, "name"))
-    found = _union(
-        [
-            _emit(attr.filter("label is not null"), "SEND", F.col("label"), 0.95, 1),
-            _emit(attr.filter(F.col("label").isNull() & _ends(r, R.SOCKET_ENDS) & ~_starts(r, R.LOCAL_DATABASES)), "SEND", r, 0.85, 1),
-            _emit(bare.filter(known | http), "SEND", full, F.when(known, 0.9).otherwise(0.8), 1),
-            _emit(c.filter(F.col("client").isNotNull() & F.col("name").isin(R.CLIENT_VERBS)), "SEND", F.concat_ws(".", "client", "name"), 0.95, 2),
-            _emit(literal, "SEND", F.concat(target, F.lit(" -> "), F.element_at(urls, 1)), 0.9, 3),
-        ]
-    )
-    return keep_first(found, "evidence", "lineno")
+    target = F.when(_is("attr"), F.coalesce(r, "name")).otherwise(F.coalesce(full, "name"))
+    return [
+        Rule(_is("attr") & label.isNotNull(), "SEND", label, 0.95),
+        Rule(_is("attr") & label.isNull() & _ends(r, R.SOCKET_ENDS) & ~_starts(r, R.LOCAL_DATABASES), "SEND", r, 0.85),
+        Rule(bare & (known | http), "SEND", full, F.when(known, 0.9).otherwise(0.8)),
+        Rule(F.col("client").isNotNull() & F.col("name").isin(R.CLIENT_VERBS), "SEND", F.concat_ws(".", "client", "name"), 0.95, 2),
+        Rule((_is("attr") | _is("name")) & F.col("name").isin(R.URL_VERBS) & (F.size(urls) > 0), "SEND", F.concat(target, F.lit(" -> "), F.get(urls, F.lit(0))), 0.9, 3),
+    ]
 
 
-def file_access(facts: DataFrame, c: DataFrame | None = None) -> DataFrame:
+def file_access() -> list[Rule]:
     """READ and WRITE: open by mode, path methods, loads of open files, os and shutil writers."""
-    c = calls(facts) if c is None else c
     name, owner, full = F.col("name"), F.coalesce("owner", F.lit("None")), F.col("full")
-    attr, bare = c.filter("kind = 'attr'"), c.filter("kind = 'name'")
     writes = F.col("mode").isin(R.WRITE_MODES)
     way, sure = F.when(writes, "WRITE").otherwise("READ"), F.when(writes, 0.95).otherwise(0.9)
     call_text = F.concat(owner, F.lit("."), name, F.lit("()"))
-    opens = facts.filter("strict and parsed").select(*KEYS, F.explode("opens").alias("o")).select(*KEYS, "o.*")
-    parts = [
-        _emit(bare.filter(name == "open"), way, F.concat(F.lit("open(..., mode="), "mode_repr", F.lit(")")), sure, 1),
-        _emit(attr.filter(name.isin("read_text", "read_bytes")), "READ", call_text, 0.95, 2),
-        _emit(attr.filter(name.isin("write_text", "write_bytes")), "WRITE", call_text, 0.95, 3),
-        _emit(attr.filter(name.isin("load", "loads") & F.col("arg0_open")), "READ", F.concat(owner, F.lit("."), name, F.lit("(<open(...)>)")), 0.9, 4),
-        _emit(attr.filter(F.col("owner").startswith("shutil") & name.isin(R.SHUTIL_WRITES)), "WRITE", call_text, 0.9, 5),
-        _emit(attr.filter(F.col("owner").startswith("os") & name.isin(R.OS_WRITES)), "WRITE", call_text, 0.9, 6),
-        _emit(bare.filter(full.startswith("os.") & _ends(full, ["." + x for x in R.OS_WRITES])), "WRITE", full, 0.9, 7),
-        _emit(bare.filter(full.startswith("shutil.") & _ends(full, ["." + x for x in R.SHUTIL_WRITES])), "WRITE", full, 0.9, 8),
-        _emit(bare.filter((full.contains("pathlib") | full.contains("Path")) & (full.contains("read_text") | full.contains("read_bytes"))), "READ", full, 0.9, 9),
-        _emit(opens, way, F.concat(F.lit("with open(..., mode="), "mode_repr", F.lit(")")), sure, 10),
+    return [
+        Rule(_is("name") & (name == "open"), way, F.concat(F.lit("open(..., mode="), "mode_repr", F.lit(")")), sure, 1),
+        Rule(_is("attr") & name.isin("read_text", "read_bytes"), "READ", call_text, 0.95, 2),
+        Rule(_is("attr") & name.isin("write_text", "write_bytes"), "WRITE", call_text, 0.95, 3),
+        Rule(_is("attr") & name.isin("load", "loads") & F.col("arg0_open"), "READ", F.concat(owner, F.lit("."), name, F.lit("(<open(...)>)")), 0.9, 4),
+        Rule(_is("attr") & F.col("owner").startswith("shutil") & name.isin(R.SHUTIL_WRITES), "WRITE", call_text, 0.9, 5),
+        Rule(_is("attr") & F.col("owner").startswith("os") & name.isin(R.OS_WRITES), "WRITE", call_text, 0.9, 6),
+        Rule(_is("name") & full.startswith("os.") & _ends(full, ["." + x for x in R.OS_WRITES]), "WRITE", full, 0.9, 7),
+        Rule(_is("name") & full.startswith("shutil.") & _ends(full, ["." + x for x in R.SHUTIL_WRITES]), "WRITE", full, 0.9, 8),
+        Rule(_is("name") & (full.contains("pathlib") | full.contains("Path")) & (full.contains("read_text") | full.contains("read_bytes")), "READ", full, 0.9, 9),
+        Rule(_is("with"), way, F.concat(F.lit("with open(..., mode="), "mode_repr", F.lit(")")), sure, 10),
     ]
-    # here one walk emits everything: position in the tree comes before the kind of finding
-    found = _union(parts).withColumns({"ord": F.col("ord") * 16 + F.col("step"), "step": F.lit(1)})
-    return keep_first(found, "capability", "evidence", "lineno")
 
 
-def secrets(facts: DataFrame, c: DataFrame | None = None, rules=R.SECRET_CALLS, methods=R.SECRET_METHODS) -> DataFrame:
+def secrets(rules=R.SECRET_CALLS, methods=R.SECRET_METHODS) -> list[Rule]:
     """SECRETS (own design): environment, keyring, dotenv and vault reads; os.environ subscripts."""
-    c = calls(facts) if c is None else c
-    r = F.col("resolved")
-    sure = F.coalesce(*[F.when(r == name, p) for name, p in rules], *[F.when((F.col("kind") == "attr") & (F.col("name") == name), p) for name, p in methods])
-    shown = F.when(F.col("arg0").isNotNull(), F.concat(r, F.lit("('"), "arg0", F.lit("')"))).otherwise(F.concat(r, F.lit("()")))
-    usable = facts.filter("strict and parsed").withColumn("names", names(F.col("imports")))
-    keyed = F.transform("subscripts", lambda s: F.struct(s["line"].alias("line"), s["ord"].alias("ord"), s["key"].alias("key"), dotted(last_of(F.col("names"), "local", s["head"], "full"), s["head"], s["tail"]).alias("what")))
-    subs = usable.select(*KEYS, F.explode(keyed).alias("s")).select(*KEYS, "s.*").filter("what = 'os.environ'")
-    parts = [
-        _emit(c.filter(sure.isNotNull()), "SECRETS", shown, sure, 1),
-        _emit(subs, "SECRETS", F.when(F.col("key").isNotNull(), F.concat(F.lit("os.environ['"), "key", F.lit("']"))).otherwise("os.environ[...]"), 0.9, 1),
-    ]
-    return keep_first(_union(parts), "evidence", "lineno")
+    r, key = F.col("resolved"), F.col("arg0")
+    sure = F.coalesce(*[F.when(r == name, p) for name, p in rules], *[F.when(_is("attr") & (F.col("name") == name), p) for name, p in methods])
+    shown = F.when(key.isNotNull(), F.concat(r, F.lit("('"), key, F.lit("')"))).otherwise(F.concat(r, F.lit("()")))
+    subscript = F.when(key.isNotNull(), F.concat(F.lit("os.environ['"), key, F.lit("']"))).otherwise("os.environ[...]")
+    return [Rule((_is("attr") | _is("name")) & sure.isNotNull(), "SECRETS", shown, sure), Rule(_is("subscript") & (r == "os.environ"), "SECRETS", subscript, 0.9)]
 
 
-def dynamic_exec(facts: DataFrame, c: DataFrame | None = None) -> DataFrame:
+def dynamic_exec() -> list[Rule]:
     """DYNAMIC: evaluation and import by name; an import of a literal name does not count."""
-    c = calls(facts) if c is None else c
     name, full = F.col("name"), F.col("full")
     listed = name.isin(R.DYNAMIC_NAMES) | F.coalesce(_ends(full, ["." + x for x in R.DYNAMIC_NAMES]), F.lit(False))
-    bare = c.filter((F.col("kind") == "name") & listed & ~((name == "__import__") & F.col("arg0_str")))
-    parts = [
-        _emit(bare, "DYNAMIC", F.coalesce(F.nullif(full, F.lit("")), name), F.when(name.isin("eval", "exec"), 0.95).otherwise(0.9), 1),
-        _emit(c.filter((F.col("kind") == "attr") & F.col("resolved").isin(R.DYNAMIC_CALLS)), "DYNAMIC", F.col("resolved"), 0.9, 1),
+    bare = _is("name") & listed & ~((name == "__import__") & F.col("arg0_str"))
+    return [
+        Rule(bare, "DYNAMIC", F.coalesce(F.nullif(full, F.lit("")), name), F.when(name.isin("eval", "exec"), 0.95).otherwise(0.9)),
+        Rule(_is("attr") & F.col("resolved").isin(R.DYNAMIC_CALLS), "DYNAMIC", F.col("resolved"), 0.9),
     ]
-    return keep_first(_union(parts), "evidence", "lineno")
 
 
-def autonomy(facts: DataFrame, c: DataFrame | None = None) -> DataFrame:
+def autonomy() -> list[Rule]:
     """AUTONOMY: background runners and schedulers, one finding per pattern and file."""
-    c = calls(facts) if c is None else c
-    last = F.lower(F.coalesce("recv_last", F.lit("")))
+    last, r = F.lower(F.coalesce("recv_last", F.lit(""))), F.col("resolved")
     harmless = (F.col("name") == "start") & (last.contains("match") | last.contains("span") | last.contains("trace") | last.endswith("_res"))
-    known = F.col("resolved").isin(R.AUTONOMY_CALLS)
-    parts = [
-        _emit(c.filter((F.col("kind") == "attr") & known), "AUTONOMY", F.col("resolved"), 0.85, 1),
-        _emit(c.filter((F.col("kind") == "name") & F.col("full").isin(R.AUTONOMY_CALLS)), "AUTONOMY", F.col("full"), 0.85, 1),
-        _emit(c.filter((F.col("kind") == "attr") & F.col("resolved").isNotNull() & ~known & F.col("name").isin(R.AUTONOMY_METHODS) & ~harmless), "AUTONOMY", F.concat("resolved", F.lit("()")), 0.8, 1),
+    known = r.isin(R.AUTONOMY_CALLS)
+    return [
+        Rule(_is("attr") & known, "AUTONOMY", r, 0.85),
+        Rule(_is("name") & F.col("full").isin(R.AUTONOMY_CALLS), "AUTONOMY", F.col("full"), 0.85),
+        Rule(_is("attr") & r.isNotNull() & ~known & F.col("name").isin(R.AUTONOMY_METHODS) & ~harmless, "AUTONOMY", F.concat(r, F.lit("()")), 0.8),
     ]
-    return keep_first(_union(parts), "evidence")
 
 
-BUILT_IN = {"shell_exec": shell_exec, "network": network, "file_access": file_access, "secrets": secrets, "dynamic_exec": dynamic_exec, "autonomy": autonomy}
+#: Rules of each detector, and what tells its findings in a file apart: the first of each key stays.
+BUILT_IN: dict[str, tuple[Callable[[], list[Rule]], tuple[str, ...]]] = {
+    "shell_exec": (shell_exec, ("ord",)), "network": (network, ("evidence", "lineno")), "file_access": (file_access, ("capability", "evidence", "lineno")),
+    "secrets": (secrets, ("evidence", "lineno")), "dynamic_exec": (dynamic_exec, ("evidence", "lineno")), "autonomy": (autonomy, ("evidence",)),
+}
+#: Detectors whose findings come in the order of the tree; others go rule by rule.
+_ONE_WALK = {"file_access"}
+
+
+def detect(facts: DataFrame, *names_: str, detectors=None) -> DataFrame:
+    """Findings of all detectors, or of those named."""
+    table = detectors or BUILT_IN
+    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    found = []
+    for name in names_ or table:
+        rules, key = table[name]
+        for rule in rules():
+            order = (F.lit(1), F.col("ord") * 16 + rule.step) if name in _ONE_WALK else (F.lit(rule.step), F.col("ord"))
+            values = {"capability": as_col(rule.capability), "evidence": as_col(rule.evidence), "lineno": F.col("line"), "confidence": as_col(rule.confidence).cast("double"), "step": order[0], "ord": order[1]}
+            parts = F.struct(*[(values[k] if k in key else F.lit(None)).cast("string").alias(k) for k in ("capability", "evidence", "lineno", "ord")])
+            found.append(F.when(rule.when, F.struct(F.lit(name).alias("detector"), *[v.alias(k) for k, v in values.items()], parts.alias("key"))))
+    rows = sites(facts).select(*KEYS, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select(*KEYS, "x.*")
+    first = Window.partitionBy("project", "path", "detector", "key").orderBy("step", "ord")
+    return rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth", "key")

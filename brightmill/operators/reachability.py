@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from .call_graph import MODULE
 
 DEPTH, SHOWN = 8, 5
@@ -53,16 +53,20 @@ def closure(begin: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame
     step = F.struct(F.col("ep"), F.col("ep_ord"), F.col("path"), F.col("files"))
     first = begin.withColumns({"path": F.array("qual"), "files": F.array("rel")}).groupBy(node).agg(F.min(step).alias("b"))
     seen = stored(first.select(*node, "b.*", F.lit(0).alias("hops")), "closure")
+    levels = [seen]
     links = edges.select("project", F.col("src_rel").alias("rel"), F.col("src").alias("qual"), "dst_rel", "dst")
     for level in range(1, depth + 1):
         now = seen.filter(F.col("hops") == level - 1).join(links, node)
         now = now.select("project", F.col("dst_rel").alias("rel"), F.col("dst").alias("qual"), "ep", "ep_ord", F.concat("path", F.array("dst")).alias("path"), F.concat("files", F.array("dst_rel")).alias("files"))
         new = now.join(seen.select(node), node, "left_anti").groupBy(node).agg(F.min(step).alias("b")).select(*node, "b.*", F.lit(level).alias("hops"))
         new = stored(new, "closure")
+        levels.append(new)
         if not new.head(1):
             break
         seen = seen.unionByName(new)
-    return seen
+    out = stored(seen, "reach")
+    discard(*levels)
+    return out
 
 
 def warnings(reach: DataFrame, edges: DataFrame, found: DataFrame, spans: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -76,12 +80,11 @@ def warnings(reach: DataFrame, edges: DataFrame, found: DataFrame, spans: DataFr
     return beyond.unionByName(lost.groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit("no_facts").alias("warning"), "n"))
 
 
-def tag(found: DataFrame, entry_points: DataFrame, facts_spans: DataFrame, graph_nodes: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
+def tag(found: DataFrame, entry_points: DataFrame, facts_spans: DataFrame, graph_nodes: DataFrame, reach: DataFrame) -> DataFrame:
     """``found`` with reachability, entry_point_name, ep_ord, reachability_path, reachability_files and
-    reachability_path_truncated."""
-    eps = stored(numbered(entry_points), "entry_points")  # read twice below
-    any_ep = eps.select("project").distinct().withColumn("has_ep", F.lit(True))
-    reach = closure(starts(eps, facts_spans), edges, depth).withColumnRenamed("path", "chain")
+    reachability_path_truncated; ``reach`` is the closure of the entry points."""
+    any_ep = entry_points.select("project").distinct().withColumn("has_ep", F.lit(True))
+    reach = reach.withColumnRenamed("path", "chain")
     rows = enclosing(found, facts_spans).join(any_ep, "project", "left").join(reach, ["project", "rel", "qual"], "left").join(graph_nodes.withColumn("is_node", F.lit(True)), ["project", "rel", "qual"], "left")
     state = (
         F.when(F.col("has_ep").isNull(), "no_entry_points").when(F.col("qual").isNull(), "unknown").when(F.col("qual") == MODULE, "module_level")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 _known: dict[str, object] = {}
 
@@ -54,14 +56,30 @@ def call_detector(detector, path: str, content: str) -> list:
 
 
 _SCHEMA = "project string, path string, rel string, detector string, capability string, evidence string, lineno int, confidence double, step int, ord int, explanation string, impact string, risk_level string"
+_TEXTS = ("capability", "evidence", "explanation", "impact", "risk_level")
+
+
+def _number(kind, x, default, low, high):
+    """``x`` as a number of the kind within its bounds, or the default."""
+    try:
+        return min(max(kind(x), low), high)
+    except (TypeError, ValueError, OverflowError):
+        return default
+
+
+def finding_row(found, order: int) -> dict:
+    """The fields of one finding of a custom detector (a mapping or an object). What has a wrong type becomes text or
+    NULL, a confidence without a number 0.9."""
+    get = found.get if isinstance(found, dict) else lambda name: getattr(found, name, None)
+    texts = {k: None if (v := get(k)) is None else str(v) for k in _TEXTS}
+    return texts | {"lineno": _number(int, get("lineno"), None, -(2**31), 2**31 - 1), "confidence": _number(float, get("confidence"), 0.9, 0.0, 1.0), "step": 1, "ord": order}
 
 
 def custom_findings(files: DataFrame, detectors: dict | None = None) -> DataFrame:
-    """Findings of registered detectors over files(project, path, rel, content)."""
+    """Findings of registered detectors over files(project, path, rel, content); a detector, or a finding, that
+    fails is left out and stops nothing."""
     chosen = get_detectors() if detectors is None else detectors
-
-    def get(f, name):
-        return f.get(name) if isinstance(f, dict) else getattr(f, name, None)
+    arrow = to_arrow_schema(_parse_datatype_string(_SCHEMA))
 
     def run(batches):
         for batch in batches:
@@ -73,12 +91,10 @@ def custom_findings(files: DataFrame, detectors: dict | None = None) -> DataFram
                     continue
                 for name, detector in chosen.items():
                     for n, f in enumerate(call_detector(detector, r["path"], text)):
-                        sure = get(f, "confidence")
-                        rows.append({k: r[k] for k in ("project", "path", "rel")} | {k: get(f, k) for k in ("capability", "evidence", "lineno", "explanation", "impact", "risk_level")} | {"detector": name, "confidence": 0.9 if sure is None else float(sure), "step": 1, "ord": n})
+                        try:
+                            rows.append({k: r[k] for k in ("project", "path", "rel")} | finding_row(f, n) | {"detector": name})
+                        except Exception:  # an object whose attributes or texts fail
+                            continue
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(_SCHEMA))
     return files.select("project", "path", "rel", F.col("content").cast("binary").alias("content")).mapInArrow(run, _SCHEMA)

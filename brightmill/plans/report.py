@@ -93,6 +93,7 @@ def human_report(results: dict, explain: bool = False) -> str:
         elif not n:
             out.append("Nothing to analyse: there are neither Python nor TypeScript files.")
             out += ["Detected: " + ", ".join(f"{x['language']} ({x['count']} files)" for x in other), ""] if other else [""]
+    out += [f"Note: {w}" for w in results.get("warnings", [])]
     version, target = results.get("resolved_version"), results.get("target", "")
     out.append("Static analysis only.")
     python = int(results.get("num_files_scanned") or 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from datetime import UTC, datetime
 from functools import cached_property
 from pathlib import Path
@@ -12,15 +13,17 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.parser import parse
 from ..operators import call_graph, detectors, entry_points, findings, reachability, registry, ts_entry_points
-from ..session import stored
+from ..session import discard, stored
 from ..sources import files as sources
-from ..sources.targets import package_root, resolve
+from ..sources.targets import Progress, package_root, resolve
 
 VERSION = "0.1.0"
+_FIELDS = "capability evidence lineno confidence explanation impact risk_level reachability entry_point_name reachability_path reachability_files reachability_path_truncated finding_id finding_ref".split()
 
 
 class Scan:
-    """The relations of a scan of files(project, path, rel, content); each is built when first asked for.
+    """The relations of a scan of files(project, path, rel, content); each is built when first asked for. Without a
+    content column files are read when they are parsed, after those that are not wanted are left out.
 
     ``single`` marks a scan of one file, which no exclusion keeps out. Facts are parsed once and stored.
     """
@@ -28,13 +31,16 @@ class Scan:
     def __init__(self, files: DataFrame, more_skips: tuple[str, ...] = (), single: bool = False):
         self.files, self.more, self.single = files, more_skips, single
 
+    def _content(self, d: DataFrame) -> DataFrame:
+        return d if "content" in d.columns else sources.with_content(d)
+
     def _read(self, d: DataFrame) -> DataFrame:
         return d.filter(sources.is_python(F.col("path")) if self.single else sources.scanned(F.col("path"), self.more))
 
     @cached_property
     def all_facts(self) -> DataFrame:
         wanted = sources.searched(F.col("path")) | (sources.is_python(F.col("path")) if self.single else sources.scanned(F.col("path"), self.more))
-        return stored(parse(self.files.filter(wanted)), "facts")
+        return stored(parse(self._content(self.files.filter(wanted))), "facts")
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -46,11 +52,9 @@ class Scan:
 
     @cached_property
     def raw_findings(self) -> DataFrame:
-        calls = detectors.calls(self.facts)
-        parts = [plan(self.facts, calls).withColumn("detector", F.lit(name)) for name, plan in detectors.BUILT_IN.items()]
-        found = findings.union_all(parts)
+        found = detectors.detect(self.facts)
         if registry.get_detectors():
-            found = found.unionByName(registry.custom_findings(self._read(self.files)), allowMissingColumns=True)
+            found = found.unionByName(registry.custom_findings(self._content(self._read(self.files))), allowMissingColumns=True)
         return findings.with_ids(findings.enrich(found))
 
     @cached_property
@@ -65,40 +69,66 @@ class Scan:
     def ts_entry_points(self) -> DataFrame:
         text = F.col("content").cast("string")
         readable = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))  # without its invalid bytes
-        return ts_entry_points.ts_entry_points(self.scripts.withColumn("text", readable))
+        return ts_entry_points.ts_entry_points(self._content(self.scripts).withColumn("text", readable))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return call_graph.edges(self.facts, self.every)
+        return stored(call_graph.edges(self.facts, self.every), "edges")
 
     @cached_property
     def spans(self) -> DataFrame:
         return call_graph.spans(self.facts)
 
+    @cached_property
+    def numbered_entry_points(self) -> DataFrame:
+        return stored(reachability.numbered(self.python_entry_points), "entry_points")
+
+    @cached_property
+    def reach(self) -> DataFrame:
+        """Functions that entry points lead to."""
+        return reachability.closure(reachability.starts(self.numbered_entry_points, self.spans), self.edges)
+
     @cached_property
     def tagged(self) -> DataFrame:
         """Findings with their reachability."""
-        return reachability.tag(self.raw_findings, self.python_entry_points, self.spans, call_graph.nodes(self.facts), stored(self.edges, "edges"))
+        return reachability.tag(self.raw_findings, self.numbered_entry_points, self.spans, call_graph.nodes(self.facts), self.reach)
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        """What limited the reachability analysis, per project."""
+        return reachability.warnings(self.reach, self.edges, self.raw_findings, self.spans)
+
 
+_WARNINGS = {"depth": "{} functions lie beyond {} calls of an entry point and were not followed", "no_facts": "{} files with findings have no syntax facts"}
 
-def scan_path(spark: SparkSession, path: str | Path, more_skips: tuple[str, ...] = ()) -> dict:
-    """Scan a directory or file and return its report (on the driver, for one project)."""
+
+def scan_path(spark: SparkSession, path: str | Path, more_skips: tuple[str, ...] = (), tell: Progress | None = None, upload: bool = False) -> dict:
+    """Scan a directory or file and return its report (on the driver, for one project). ``upload``: the path is the
+    driver's own, so its files are sent to the shared folder first."""
     path = Path(path)
-    scan = Scan(sources.read_tree(spark, path), more_skips, path.is_file())
-    return report_of(scan, str(path), path)
+    files = sources.upload_tree(spark, path) if upload and path.is_dir() else stored(sources.list_tree(spark, path), "listing")
+    scan = Scan(files, more_skips, path.is_file())
+    return report_of(scan, str(path), path, tell)
 
 
-def report_of(scan: Scan, target: str, root: Path | None = None) -> dict:
-    tagged = scan.tagged.cache()
+def report_of(scan: Scan, target: str, root: Path | None = None, tell: Progress | None = None) -> dict:
+    tell = tell or (lambda *_: None)
+    n_python = scan._read(scan.files.select("path")).count()
+    tell("analysis_scan", 0, f"0/{n_python} files")
+    scan.all_facts  # noqa: B018  parsed and stored here
+    tell("analysis_scan", 50, f"{n_python}/{n_python} files parsed")
+    tagged = stored(scan.tagged, "tagged")
+    limits = [_WARNINGS[r.warning].format(r.n, reachability.DEPTH) for r in scan.warnings.orderBy("warning").collect()]
+    for text in limits:
+        warnings.warn(text, stacklevel=2)
     order = {name: n for n, name in enumerate(R.DETECTORS)}
     found = sorted(tagged.collect(), key=lambda r: (r.path, order.get(r.detector, len(order)), r.detector, r.step, r.ord))
     reached: dict[int, list[str]] = {}
     for r in found:
         if r.ep_ord is not None:
             reached.setdefault(r.ep_ord, []).append(r.finding_id)
-    eps = sorted(scan.python_entry_points.collect(), key=lambda r: (r.rel, r.step, r.ord, r["sub"], r.lineno, r.name))
-    fields = "capability evidence lineno confidence explanation impact risk_level reachability entry_point_name reachability_path reachability_files reachability_path_truncated finding_id finding_ref".split()
-    n_python = scan._read(scan.files.select("path")).count()
+    eps = scan.numbered_entry_points.orderBy("ep_ord").collect()
+    fields = _FIELDS
     risks = findings.risks(tagged).orderBy("nth").collect()
     out = {
         "target": target,
@@ -108,18 +138,71 @@ def report_of(scan: Scan, target: str, root: Path | None = None) -> dict:
         "risks": [{k: r[k] for k in ("id", "title", "severity", "why", "capabilities_triggered")} for r in risks],
         "num_ts_files_scanned": scan.scripts.count(),
         "ts_entry_points": [{"name": r.name, "file": r.path, "lineno": r.lineno, "pattern_type": r.pattern_type, "confidence": r.confidence} for r in scan.ts_entry_points.orderBy("path", "lineno", "step").collect()],
-        "py_entry_points": [{"name": r.name, "file": r.path, "lineno": r.lineno, "framework": r.framework, "pattern_type": r.pattern_type, "confidence": r.confidence, "reachable_findings": reached.get(n, [])} for n, r in enumerate(eps, 1)],
+        "py_entry_points": [{"name": r.name, "file": r.path, "lineno": r.lineno, "framework": r.framework, "pattern_type": r.pattern_type, "confidence": r.confidence, "reachable_findings": reached.get(r.ep_ord, [])} for r in eps],
         "other_languages": [{"language": r.language, "count": r["count"]} for r in findings.languages(scan.files).orderBy(F.desc("count"), "language").collect()] if not n_python and not scan.single else [],
+        "warnings": limits,
     }
-    tagged.unpersist()
+    discard(tagged)
+    tell("analysis_scan", 100, f"{n_python}/{n_python} files")
     return out
 
 
+def project_reports(scan: Scan) -> DataFrame:
+    """Reports of schema version 1 of many projects: a row (project, report) each, the report as JSON text.
+
+    All parts are grouped by project where they are; a task holds one report at a time, never all of them.
+    """
+    tagged = scan.tagged
+    fields = [*_FIELDS]
+    nested = F.collect_list(F.struct(F.col("path").alias("at"), "place", F.col("detector").alias("by"), "step", "ord", F.struct("detector", F.struct(F.col("path").alias("file"), F.col("rel").alias("relative_file"), *fields).alias("finding")).alias("f")))
+    place = F.coalesce(*[F.when(F.col("detector") == d, n) for n, d in enumerate(R.DETECTORS)], F.lit(len(R.DETECTORS)))
+    own = findings.normalized(tagged.withColumn("place", place))
+    found = own.groupBy("project").agg(F.sort_array(F.collect_set("capability")).alias("capabilities"), nested.alias("x"))
+    in_order = F.transform(F.array_sort(F.transform("x", lambda r: F.struct(r["at"].alias("at"), r["place"].alias("place"), r["by"].alias("by"), r["step"].alias("step"), r["ord"].alias("ord"), F.to_json(r["f"], {"ignoreNullFields": "false"}).alias("f")))), lambda r: r["f"])
+    found = found.select("project", "capabilities", in_order.alias("findings"))
+    json = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+
+    def listed(df: DataFrame, name: str, order: list[str], *what) -> DataFrame:
+        rows = df.select("project", F.struct(*order, json(*what).alias("j")).alias("r"))
+        return rows.groupBy("project").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["j"]).alias(name))
+
+    reached = own.filter("ep_ord is not null").groupBy("project", "ep_ord").agg(F.array_sort(F.collect_list(F.struct("path", "place", "detector", "step", "ord", "finding_id"))).alias("r"))
+    ids = F.coalesce(F.transform("r", lambda r: r["finding_id"]), F.array().cast("array<string>"))
+    eps = scan.numbered_entry_points.join(reached, ["project", "ep_ord"], "left").withColumn("reachable_findings", ids)
+    parts = [
+        listed(eps, "py_entry_points", ["ep_ord"], "name", F.col("path").alias("file"), "lineno", "framework", "pattern_type", "confidence", "reachable_findings"),
+        listed(scan.ts_entry_points, "ts_entry_points", ["path", "lineno", "step"], "name", F.col("path").alias("file"), "lineno", "pattern_type", "confidence"),
+        listed(findings.risks(tagged), "risks", ["nth"], "id", "title", "severity", "why", "capabilities_triggered"),
+        listed(findings.languages(scan.files).withColumn("order", -F.col("count")), "other_languages", ["order", "language"], "language", "count"),
+        found,
+    ]
+    is_python = sources.scanned(F.col("path"), scan.more)
+    out = scan.files.groupBy("project").agg(F.count_if(is_python).cast("int").alias("num_files_scanned"), F.count_if(sources.is_script(F.col("path"))).cast("int").alias("num_ts_files_scanned"))
+    for part in parts:
+        out = out.join(part, "project", "left")
+    texts = F.array().cast("array<string>")
+    out = out.select("project", "num_files_scanned", "num_ts_files_scanned", *[F.coalesce(c, texts).alias(c) for c in ("py_entry_points", "ts_entry_points", "risks", "other_languages", "capabilities", "findings")])
+    out = out.withColumn("other_languages", F.when(F.col("num_files_scanned") == 0, F.col("other_languages")).otherwise(texts))
+    quoted = lambda x: F.to_json(F.array(x.cast("string")))
+    one = lambda x: F.regexp_replace(quoted(x), r"^\[|\]$", "")
+    many = lambda c: F.concat(F.lit("["), F.array_join(F.col(c), ","), F.lit("]"))
+    now = datetime.now(UTC).replace(microsecond=0, tzinfo=None).isoformat() + "Z"
+    entries = {
+        "schema_version": one(F.lit("1")), "generated_at": one(F.lit(now)), "tool_version": one(F.lit(VERSION)), "target": one(F.col("project")), "source_type": one(F.lit("table")), "resolved_version": F.lit("null"),
+        "num_files_scanned": F.col("num_files_scanned").cast("string"), "num_ts_files_scanned": F.col("num_ts_files_scanned").cast("string"), "entry_points_detected": (F.size("py_entry_points") + F.size("ts_entry_points")).cast("string"),
+        "py_entry_points": many("py_entry_points"), "ts_entry_points": many("ts_entry_points"), "capabilities": F.to_json("capabilities"), "risks": many("risks"), "findings": many("findings"),
+        "other_languages": many("other_languages"), "static_analysis_note": one(F.lit(R.REPORT_NOTE)),
+    }
+    pieces = [x for n, (k, v) in enumerate(entries.items()) for x in (F.lit(("," if n else "{") + f'"{k}":'), v)]
+    return out.select("project", F.concat(*pieces, F.lit("}")).alias("report"))
+
+
 def scan_target(spark: SparkSession, target: str | Path, **how) -> dict:
-    """Scan a local or remote target; paths of remote ones are made relative."""
+    """Scan a local or remote target; paths of remote ones are made relative. Local paths must be visible to the
+    executors; what is fetched reaches them through the shared folder."""
     with resolve(target, **how) as t:
         root = package_root(t.path) if t.kind == "pypi" else t.path
-        out = scan_path(spark, root, tuple(R.PACKAGE_SKIPS) if t.kind == "pypi" else ())
+        out = scan_path(spark, root, tuple(R.PACKAGE_SKIPS) if t.kind == "pypi" else (), how.get("tell"), upload=t.kind != "local")
         out |= {"target": t.shown, "source_type": t.kind} | ({"resolved_version": t.version} if t.version else {})
         if t.kind != "local":
             head = str(root.resolve()) + "/"

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import re
 import shutil
 import subprocess
 import tarfile
@@ -135,7 +136,14 @@ def fetch_mcp(endpoint: str, out: Path, get=fetch) -> None:
 def clone(url: str, out: Path, tell: Progress | None = None) -> None:
     tell = tell or (lambda *_: None)
     tell("github_clone", 0, "starting")
-    subprocess.run([*"git clone --depth 1".split(), url, str(out)], check=True, capture_output=True, text=True)
+    with subprocess.Popen([*"git clone --progress --depth 1".split(), url, str(out)], stdout=subprocess.DEVNULL, stderr=subprocess.PIPE, text=True) as run:
+        said = []
+        for line in run.stderr:  # carriage returns end lines too
+            said.append(line)
+            if m := re.search(r"(Receiving objects|Resolving deltas): +([0-9]+)%", line):
+                tell("github_clone", min(99, int(m[2])), m[1])
+    if run.returncode:
+        raise subprocess.CalledProcessError(run.returncode, run.args, stderr="".join(said[-20:]))
     tell("github_clone", 100, "done")
 
 

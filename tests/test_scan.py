@@ -12,6 +12,7 @@ from brightmill.operators import findings, registry
 from brightmill.plans import report
 from brightmill.plans.scan import scan_path, scan_target, v1_report
 from brightmill.sources import targets
+from brightmill.sources.files import read_tree, upload_tree
 
 AGENT = "import subprocess, requests\nfrom langchain_core.tools import tool\n@tool\ndef go(x):\n    run(x)\ndef run(x):\n    subprocess.run(x)\nrequests.post(u)\n"
 
@@ -59,6 +60,58 @@ def test_folder_without_python(spark, tmp_path):
     assert "Detected: Go (2 files), Rust (1 files)" in report.human_report(out)
 
 
+def test_only_source_files_are_read(spark, tmp_path):
+    """Files beyond two gigabytes, of any kind, stop no scan."""
+    tree(tmp_path)
+    for name in ("weights.bin", "huge.py", ".git/pack"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        with open(tmp_path / name, "wb") as f:
+            f.truncate((2 << 30) + 10)
+    rows = {r.rel: r.size for r in read_tree(spark, tmp_path).selectExpr("rel", "octet_length(content) AS size").collect()}
+    assert rows["agent.py"] == len(AGENT) and all(rows[n] is None for n in ("weights.bin", "huge.py", ".git/pack")) and len(rows) == 7
+    out = scan_path(spark, tmp_path)
+    assert out["num_files_scanned"] == 2 and out["capabilities"] == ["EXECUTE", "SEND"] and out["warnings"] == []
+
+
+def test_hidden_and_underscored_files_count(spark, tmp_path):
+    for name, text in {"pkg/__init__.py": "from .impl import h", "pkg/impl.py": "def h(): eval('1')", "main.py": "from pkg import h\n@tool\ndef go(): h()", ".hooks/a.py": "exec('1')", "pkg/_x/b.py": "exec('1')"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text(text)
+    out = scan_path(spark, tmp_path)
+    by = {(f["finding"]["relative_file"], f["detector"]): f["finding"] for f in out["findings"]}
+    assert by["pkg/impl.py", "shell_exec"]["reachability_path"] == ["go", "h"] and {r for r, _ in by} == {"pkg/impl.py", ".hooks/a.py", "pkg/_x/b.py"} and out["num_files_scanned"] == 5
+
+
+def test_trees_of_the_driver_are_uploaded(spark, tmp_path):
+    tree(tmp_path)
+    key = lambda r: r.path
+    assert sorted(upload_tree(spark, tmp_path, batch_bytes=10).collect(), key=key) == sorted(read_tree(spark, tmp_path).collect(), key=key)
+    assert upload_tree(spark, tmp_path / "sub" / ".venv").count() == 1
+    (tmp_path / "empty").mkdir()
+    assert upload_tree(spark, tmp_path / "empty").count() == 0
+
+
+def test_progress_and_warnings(spark, tmp_path):
+    (tmp_path / "a.py").write_text("@tool\ndef f0(): f1()\n" + "\n".join(f"def f{i}(): f{i + 1}(); eval('1')" for i in range(1, 12)))
+    told = []
+    with pytest.warns(UserWarning, match="1 functions lie beyond 8 calls"):
+        out = scan_path(spark, tmp_path, tell=lambda *x: told.append(x))
+    assert [t[:2] for t in told] == [("analysis_scan", 0), ("analysis_scan", 50), ("analysis_scan", 100)] and told[-1][2] == "1/1 files"
+    assert "Note: 1 functions lie beyond" in report.human_report(out)
+
+
+def test_reports_of_many_projects_are_those_of_single_scans(spark):
+    from brightmill.plans.scan import Scan, project_reports, report_of
+    from helpers import files
+
+    projects = {"one": {"agent.py": AGENT, "b.ts": 'server.tool("t", f)'}, "two": {"x.go": "package x", "y.rs": ""}, 'th"ree': {"a.py": "open('a', 'w')\n@tool\ndef f(): eval('1')"}}
+    got = {r.project: json.loads(r.report) for r in project_reports(Scan(files(spark, projects))).collect()}
+    assert set(got) == set(projects)
+    for name in ("one", "two"):
+        want = json.loads(report.json_report(report_of(Scan(files(spark, {name: projects[name]})), name)))
+        assert got[name] | {"generated_at": 0, "source_type": 0} == want | {"generated_at": 0, "source_type": 0}
+
+
 def archive(members):
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w:gz") as t:
@@ -143,6 +196,17 @@ def test_registry_and_custom_findings(spark):
         def scan_file(self, path, content):
             raise OSError
 
+    class Odd:
+        lineno, confidence, evidence = "12", "high", 7
+
+        @property
+        def capability(self):
+            raise ValueError
+
+    @registry.register_detector("types")
+    def types(path, content):
+        return [{"capability": "READ", "evidence": b"x", "lineno": "12", "confidence": "high"}, {"lineno": [1], "confidence": 7, "risk_level": 3}, Odd(), None]
+
     registry.register_detector(Bad())
     with pytest.raises(ValueError):
         registry.register_detector(todo)
@@ -150,7 +214,9 @@ def test_registry_and_custom_findings(spark):
         registry.register_detector("bad")(todo)
     try:
         rows = findings.enrich(registry.custom_findings(files(spark, {"p": "x\n# TODO", "q": b"\xff TODO"}), registry.get_detectors())).collect()
-        assert [(r.project, r.detector, r.lineno, r.risk_level, r.confidence) for r in rows] == [("p", "todo", 2, "low", 0.9)]
+        assert [(r.project, r.detector, r.lineno, r.risk_level, r.confidence) for r in rows if r.detector == "todo"] == [("p", "todo", 2, "low", 0.9)]
+        odd = [(r.lineno, r.confidence, r.risk_level, r.evidence) for r in rows if r.detector == "types"]
+        assert odd == [(12, 0.9, "medium", "b'x'"), (None, 1.0, "3", None), (None, 0.9, "medium", None)]
         assert registry.call_detector(registry.get_detector("bad"), "a", "b") == []
     finally:
         registry.clear_registry()
