@@ -85,3 +85,12 @@ def nation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("n"), F.col("nation").cast("string"), F.lit(".py"))
     content = F.concat_ws("\n", "modules", "named", "text")
     return files.select(F.concat(F.lit("r"), F.col("region").cast("string")).alias("project"), path.alias("path"), path.alias("rel"), content.cast("binary").alias("content"))
+
+
+def project_files(rows: DataFrame, key: str, case: Column, trees: list[dict[str, str]]) -> DataFrame:
+    """One project ``p<key>`` per row, with the files of the tree of its case (``{k}`` stands for the key)."""
+    name = F.col(key).cast("string")
+    tree = lambda t: F.array(*[F.struct(F.lit(path).alias("path"), F.replace(F.lit(text), F.lit("{k}"), name).alias("text")) for path, text in t.items()])
+    chosen = F.coalesce(*[F.when(case == n, tree(t)) for n, t in enumerate(trees)])
+    files = rows.select(F.concat(F.lit("p"), name).alias("project"), F.explode(chosen).alias("f"))
+    return files.select("project", F.col("f.path").alias("path"), F.col("f.path").alias("rel"), F.col("f.text").cast("binary").alias("content"))

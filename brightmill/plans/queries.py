@@ -17,6 +17,7 @@ from ..sources import files as sources
 from . import corpus
 from .corpus import read
 from .scan import Scan
+from .scan import project_reports as scan_reports
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -47,7 +48,7 @@ def _events_cte(header: int, sizes: dict[str, int] | None = None) -> str:
 
 def _found(spark: SparkSession, sf_dir: str, detector: str, header: list[str], template: dict[str, str]) -> DataFrame:
     facts = parse(corpus.event_files(read(spark, sf_dir, "events"), header, template))
-    found = findings.with_ids(findings.enrich(detectors.BUILT_IN[detector](facts).withColumn("detector", F.lit(detector))))
+    found = findings.with_ids(findings.enrich(detectors.detect(facts, detector)))
     return found.select("project", F.col("rel").alias("file"), "lineno", "capability", "evidence", "confidence", "risk_level", "finding_id")
 
 
@@ -120,6 +121,20 @@ def autonomy_first_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, "autonomy", ["import threading, asyncio"], template)
 
 
+@query(_found_sql("network", 4, [("click", "SEND", "http.client.HTTPConnection", 0.8), ("error", "SEND", "requests.post", 0.9)]))
+def network_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names imported from HTTP-like modules, and the settings and parsers among them that send nothing."""
+    template = {"click": "HTTPConnection('h')", "view": "urlparse('h')", "purchase": "Timeout(5)", "error": "post(u)", "signup": "Filter()"}
+    return _found(spark, sf_dir, "network", ["from http.client import HTTPConnection", "from urllib.parse import urlparse; from httpx import Timeout", "from requests import post", "from qdrant_client.http.models import Filter"], template)
+
+
+@query(_found_sql("file_access", 2, [("click", "WRITE", "os.remove", 0.9), ("view", "WRITE", "shutil.move", 0.9), ("purchase", "READ", "None.read_text()", 0.95), ("error", "WRITE", "g.write_bytes()", 0.95)]))
+def file_access_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare imported functions, and methods of receivers without a name."""
+    template = {"click": "remove('a')", "view": "move('a', 'b')", "purchase": "x[0].read_text()", "error": "f().g().write_bytes(b)", "signup": "rmtree('a')"}
+    return _found(spark, sf_dir, "file_access", ["from os import remove", "from shutil import move, rmtree"], template)
+
+
 # ---- capabilities, risks, languages, ids ---------------------------------------------------------------------
 
 _RISK_HEADER = ["import os, subprocess, requests"]
@@ -143,13 +158,17 @@ def capabilities_per_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.capabilities(_mixed(spark, sf_dir)).withColumn("capabilities", F.array_join("capabilities", ","))
 
 
-@query(f"""WITH {_CAPS_CTE}
+_RISK_VALUES = ", ".join("('{}', '{}', '{}')".format(i, t.replace("'", "''"), w.replace("'", "''")) for i, t, w, _, _ in R.RISKS)
+
+
+@query(f"""WITH {_CAPS_CTE}, r AS (
 SELECT project, 'data_exfiltration' AS id, 'high' AS severity, 'SEND,WRITE' AS triggered FROM c WHERE send AND (destroy OR make)
 UNION ALL SELECT project, 'remote_control', 'high', 'EXECUTE,SEND' FROM c WHERE run AND send
 UNION ALL SELECT project, 'secret_leak', 'high', 'READ,SEND' FROM c WHERE look AND send
-UNION ALL SELECT project, 'destructive_agent', 'high', 'EXECUTE,WRITE' FROM c WHERE run AND destroy""")
+UNION ALL SELECT project, 'destructive_agent', 'high', 'EXECUTE,WRITE' FROM c WHERE run AND destroy)
+SELECT project, id, severity, triggered, title, why FROM r JOIN (VALUES {_RISK_VALUES}) AS t(id, title, why) USING (id)""")
 def combined_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.risks(_mixed(spark, sf_dir)).select("project", "id", "severity", F.array_join("capabilities_triggered", ",").alias("triggered"))
+    return findings.risks(_mixed(spark, sf_dir)).select("project", "id", "severity", F.array_join("capabilities_triggered", ",").alias("triggered"), "title", "why")
 
 
 @query("""WITH x AS (SELECT p_brand AS project, CASE p_type WHEN 'ECONOMY' THEN 'Go' WHEN 'SMALL' THEN 'Rust' WHEN 'MEDIUM' THEN 'Java' WHEN 'LARGE' THEN 'C++' WHEN 'PROMO' THEN 'Kotlin' END AS language FROM part WHERE p_size > 5)
@@ -210,39 +229,65 @@ def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call_graph.file_imports(scan.facts, scan.every)
 
 
-_BOUND_CTE = """n AS (SELECT count(*) AS n FROM customer),
-k AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31 + 7) % n AS dst FROM orders, n WHERE o_orderpriority = '1-URGENT'),
-s AS (SELECT c_custkey AS node, 'ep' || c_custkey AS ep, 0 AS hops FROM customer WHERE c_acctbal > 9800)"""
-
-
-@query(f"""WITH RECURSIVE {_BOUND_CTE},
-r(node, ep, hops) AS (SELECT * FROM s UNION SELECT dst, ep, hops + 1 FROM r JOIN k ON src = node WHERE hops < 8),
-b AS (SELECT node, min(hops) AS hops FROM r GROUP BY node)
-SELECT 'c' || node AS node, min(ep) AS entry_point, hops FROM r JOIN b USING (node, hops) GROUP BY node, hops""")
-def bounded_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_reach(spark, sf_dir, F.col("o_orderpriority") == "1-URGENT")
-
-
 @query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer),
 k AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31 + 7) % n AS dst FROM orders, n),
 s AS (SELECT c_custkey AS node, 'ep' || c_custkey AS ep, 0 AS hops FROM customer WHERE c_acctbal > 9800),
 r(node, ep, hops) AS (SELECT * FROM s UNION SELECT dst, ep, hops + 1 FROM r JOIN k ON src = node WHERE hops < 8),
 b AS (SELECT node, min(hops) AS hops FROM r GROUP BY node)
 SELECT 'c' || node AS node, min(ep) AS entry_point, hops FROM r JOIN b USING (node, hops) GROUP BY node, hops""")
-def bounded_reach_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_reach(spark, sf_dir, F.lit(True))
-
-
-def _order_reach(spark: SparkSession, sf_dir: str, which: Column) -> DataFrame:
-    """The closure over the calls of the orders that are ``which``, from the customers of the highest balances."""
+def bounded_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure over the calls of all orders; entry points are the customers of the highest balances."""
     customer = read(spark, sf_dir, "customer")
     name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
-    calls = corpus.order_edges(read(spark, sf_dir, "orders"), customer).filter(which)
+    calls = corpus.order_edges(read(spark, sf_dir, "orders"), customer)
     edges = calls.select(F.lit("p").alias("project"), F.lit("a.py").alias("src_rel"), name("src").alias("src"), F.lit("a.py").alias("dst_rel"), name("dst").alias("dst")).distinct()
     begin = customer.filter("c_acctbal > 9800").select(F.lit("p").alias("project"), F.lit("a.py").alias("rel"), name("c_custkey").alias("qual"), F.concat(F.lit("ep"), F.col("c_custkey").cast("string")).alias("ep"), F.col("c_custkey").cast("int").alias("ep_ord"))
     return reachability.closure(begin, stored(edges, "edges")).select(F.col("qual").alias("node"), F.col("ep").alias("entry_point"), "hops")
 
 
+#: Packages: a re-export, a climbing import, a package below src, a method of the own class, a nested caller, a
+#: name that hides an import.
+_PACKAGES = [
+    {"p/__init__.py": "from .impl import h", "p/impl.py": "def h(): pass", "a.py": "from p import h\ndef f(): h()"},
+    {"p/__init__.py": "", "p/u.py": "def h(): pass", "p/q/__init__.py": "", "p/q/a.py": "from ..u import h\ndef f(): h()"},
+    {"src/lib/__init__.py": "", "src/lib/u.py": "def h(): pass", "a.py": "from lib.u import h\ndef f(): h()"},
+    {"a.py": "class C:\n    def m(self): self.n()\n    def n(self): pass"},
+    {"a.py": "def h(): pass\ndef f():\n    def g():\n        h()\n    return g"},
+    {"u.py": "def h(): pass", "a.py": "from u import h\ndef h(): pass\ndef f(): h()"},
+]
+
+
+@query("""SELECT 'p' || p_partkey AS project, src_rel, src, dst_rel, dst FROM part JOIN (VALUES (0, 'a.py', 'f', 'p/impl.py', 'h'), (1, 'p/q/a.py', 'f', 'p/u.py', 'h'), (2, 'a.py', 'f', 'src/lib/u.py', 'h'),
+(3, 'a.py', 'C.m', 'a.py', 'C.n'), (4, 'a.py', 'g', 'a.py', 'h'), (5, 'a.py', 'f', 'a.py', 'h')) AS t(c, src_rel, src, dst_rel, dst) ON p_size % 6 = c""")
+def package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Scan(corpus.project_files(read(spark, sf_dir, "part"), "p_partkey", F.col("p_size") % 6, _PACKAGES)).edges
+
+
+#: Entry points that are classes with and without a run method, handlers inside functions, and none at all.
+_CLASSES = [
+    {"a.py": "class T(BaseTool):\n    name = 't{k}'\n    def helper(self): eval('1')\n    def _run(self): self.helper()"},
+    {"a.py": "class T(BaseTool):\n    name = 't{k}'\ndef plain(): eval('1')\nclass U:\n    def _run(self): plain()"},
+    {"a.py": "def make():\n    @server.call_tool()\n    def run{k}(x): eval(x)"},
+    {"a.py": "def make():\n    @tool\n    def run(x): eval(x)"},
+    {"a.py": "if make:\n    @server.list_tools()\n    def go{k}(x):\n        class T:\n            def m(self): eval('1')"},
+]
+
+
+@query("""SELECT 'p' || p_partkey AS project, lineno, qual, reachability, entry || p_partkey AS entry_point, replace(path, '{k}', '' || p_partkey) AS path FROM part JOIN (VALUES
+(0, 3, 'T.helper', 'reachable', 't', 'T._run > T.helper'), (1, 3, 'plain', 'unreachable', NULL, NULL), (2, 3, 'run{k}', 'reachable', 'run', 'run{k}'), (3, 3, 'run', 'no_entry_points', NULL, NULL),
+(4, 5, 'm', 'unreachable', NULL, NULL)) AS t(c, lineno, qual_, reachability, entry, path) ON p_size % 5 = c, LATERAL (SELECT replace(qual_, '{k}', '' || p_partkey) AS qual)""")
+def class_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Scan(corpus.project_files(read(spark, sf_dir, "part"), "p_partkey", F.col("p_size") % 5, _CLASSES)).tagged.filter("detector = 'shell_exec'")
+    return rows.select("project", "lineno", "qual", "reachability", F.col("entry_point_name").alias("entry_point"), F.array_join("reachability_path", " > ").alias("path"))
+
+
+@query("SELECT 'p' || c_custkey AS project, 'depth' AS warning, CAST(1 AS BIGINT) AS n FROM customer WHERE c_custkey % 14 >= 9")
+def depth_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 0 to 13 calls: where one is longer than eight, the function after those is not followed."""
+    chains = [{"a.py": "@tool\ndef f0(): f1()\n" + "".join(f"def f{i}(): f{i + 1}()\n" for i in range(1, n + 1))} for n in range(14)]
+    return Scan(corpus.project_files(read(spark, sf_dir, "customer"), "c_custkey", F.col("c_custkey") % 14, chains)).warnings
+
+
 # ---- chains of functions: enclosing functions, states, best entry points, report ----------------------------
 
 #: For every event: lineno, nth (the function around it, 0 at module level), and of that function the entry
@@ -283,7 +328,7 @@ def reach_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_entry_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = _chains(spark, sf_dir)
     begin = reachability.starts(scan.python_entry_points.withColumn("ep_ord", F.col("ord")), scan.spans)
-    return reachability.closure(begin, stored(scan.edges, "edges")).select("project", "qual", F.col("ep").alias("entry_point"), "hops")
+    return reachability.closure(begin, scan.edges).select("project", "qual", F.col("ep").alias("entry_point"), "hops")
 
 
 @query(f"""WITH {_CHAIN_CTE} SELECT project, reachability, count(*) AS n FROM f GROUP BY ALL""")
@@ -295,8 +340,7 @@ def reach_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT e.project, 'f' || nth AS name, e.lineno - 1 AS lineno, coalesce(n, 0) AS reachable_findings FROM e LEFT JOIN c ON c.project = e.project AND c.name = 'f' || nth WHERE is_ep""")
 def reachable_per_entry_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = _chains(spark, sf_dir)
-    eps = reachability.numbered(scan.python_entry_points)
-    return reachability.reachable_findings(scan.tagged, eps).select("project", "name", "lineno", F.size("reachable_findings").cast("long").alias("reachable_findings"))
+    return reachability.reachable_findings(scan.tagged, scan.numbered_entry_points).select("project", "name", "lineno", F.size("reachable_findings").cast("long").alias("reachable_findings"))
 
 
 @query(f"""WITH {_CHAIN_CTE} SELECT CAST(coalesce(max(CASE WHEN reachability = 'reachable' AND capability = 'EXECUTE' THEN 1 END), 0) AS INTEGER) AS exit_code FROM f""")
@@ -316,11 +360,22 @@ def v1_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(found, "project", "left").join(eps, "project", "left").fillna(0, ["findings", "reachable", "entry_points"])
 
 
+@query(f"""WITH {_CHAIN_CTE}, u AS (SELECT project, count(*) FILTER (WHERE is_ep) AS eps FROM e GROUP BY ALL),
+c AS (SELECT project, count(*) AS n, count(*) FILTER (WHERE reachability = 'reachable') AS r, array_to_string(list_sort(list_distinct(list(capability))), ',') AS caps FROM f GROUP BY ALL)
+SELECT u.project, '1' AS version, CAST(1 AS INTEGER) AS files, CAST(eps AS INTEGER) AS entry_points, CAST(coalesce(n, 0) AS INTEGER) AS findings, CAST(coalesce(r, 0) AS INTEGER) AS reachable, coalesce(caps, '') AS capabilities FROM u LEFT JOIN c USING (project)""")
+def project_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of many projects, read back from their JSON."""
+    shape = "schema_version string, num_files_scanned int, entry_points_detected int, findings array<struct<finding: struct<reachability: string>>>, capabilities array<string>"
+    rows = scan_reports(_chains(spark, sf_dir)).select("project", F.from_json("report", shape).alias("r"))
+    reachable = F.size(F.filter("r.findings", lambda x: x["finding"]["reachability"] == "reachable"))
+    return rows.select("project", F.col("r.schema_version").alias("version"), F.col("r.num_files_scanned").alias("files"), F.col("r.entry_points_detected").alias("entry_points"), F.size("r.findings").alias("findings"), reachable.alias("reachable"), F.array_join("r.capabilities", ",").alias("capabilities"))
+
+
 # ---- Python entry points ---------------------------------------------------------------------------------------
 
 
 def _entries(spark: SparkSession, sf_dir: str, header: list[str], template: dict[str, str]) -> DataFrame:
-    facts = parse(corpus.event_files(read(spark, sf_dir, "events"), header, template))
+    facts = stored(parse(corpus.event_files(read(spark, sf_dir, "events"), header, template)), "facts")
     return entry_points.python_entry_points(facts).select("project", F.col("rel").alias("file"), "name", "lineno", "framework", "pattern_type", "confidence")
 
 
@@ -402,6 +457,14 @@ def ts_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scripts(spark, sf_dir, template)
 
 
+@query(f"""WITH {_events_cte(1, {"purchase": 2})}
+SELECT project, replace(file, '.py', '.ts') AS file, CASE event_type WHEN 'click' THEN 'unknown' WHEN 'view' THEN 'a' || event_id ELSE 'u' || event_id END AS name, CAST(lineno + CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS INTEGER) AS lineno,
+  CASE WHEN event_type = 'click' THEN 'langchain_tool' ELSE 'mcp_tool' END AS pattern_type, CAST(CASE WHEN event_type = 'click' THEN 0.85 ELSE 0.95 END AS DOUBLE) AS confidence FROM e WHERE event_type IN ('click', 'view', 'purchase')""")
+def ts_unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tools without a name nearby, two registrations on one line, and lines that end in a line separator."""
+    return _scripts(spark, sf_dir, {"click": "new DynamicTool({", "view": 's.tool("a{id}", f); s.tool("b", g)', "purchase": "x\u2028s.tool('u{id}', f)", "error": "s.addTool({", "signup": "// nothing"})
+
+
 @query(f"""WITH {_events_cte(1)},
 w AS (SELECT *, bool_or(event_type = 'view' AND value <= 100) OVER near AS described, bool_or(event_type = 'purchase' AND value > 60) OVER near AS shaped FROM e WINDOW near AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING))
 SELECT project, replace(file, '.py', '.ts') AS file, 'n' || event_id AS name, lineno, 'mcp_tool_definition' AS pattern_type, CAST(0.85 AS DOUBLE) AS confidence FROM w WHERE event_type = 'click' AND described AND shaped""")
