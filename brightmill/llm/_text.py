@@ -144,26 +144,35 @@ def rebatch(batches, rows: int = 4096, size: int = 24 << 20):
             yield batch.slice(at, step)
 
 
-def segments(batches, key: str, limit: int | None = None):
+def segments(batches, key: str, rows: int = 65536, size: int = 64 << 20):
     """Tables of all rows of whole key groups, from batches sorted by ``key``: each table holds one or
-    more whole groups (about ``limit`` rows, more if one group has more)."""
-    held, n = [], 0
-    for batch in batches:
+    more whole groups, of about ``rows`` rows or ``size`` bytes; more only if one group has more."""
+    held, n, held_bytes = [], 0, 0
+    for batch in rebatch(batches, rows, size):
         if batch.num_rows == 0:
             continue
         held.append(batch)
         n += batch.num_rows
-        if n < (limit or 65536):
+        held_bytes += batch.nbytes
+        if n < rows and held_bytes < size:
             continue
         last = batch.column(batch.schema.get_field_index(key))
         final = last[batch.num_rows - 1]
         same = pc.equal(last, final) if final.is_valid else pc.is_null(last)
         begin = int(pc.index(same, True).as_py())
-        if begin == 0:
+        if begin == 0 and not _ends_before(held, key, final):
             continue
         rest = batch.slice(begin)
         held[-1] = batch.slice(0, begin)
         yield pa.Table.from_batches(held)
-        held, n = [rest], rest.num_rows
+        held, n, held_bytes = [rest], rest.num_rows, rest.nbytes
     if held:
         yield pa.Table.from_batches(held)
+
+
+def _ends_before(held, key: str, final) -> bool:
+    """Whether the group of the last batch begins with it."""
+    if len(held) < 2:
+        return False
+    before = held[-2].column(held[-2].schema.get_field_index(key))
+    return not before[len(before) - 1].equals(final)
