@@ -2,8 +2,9 @@
 
 This is the only place where rows leave the JVM. It records what the source says and applies no rules, so
 every detector and graph operator above it is an ordinary plan. ``ord`` columns hold the breadth-first
-position of a node in its tree, which makes "first wins" and "last wins" reproducible in SQL. A file that
-does not parse gives a row with ``parsed`` false and empty arrays.
+position of a node in its tree, which makes "first wins" and "last wins" reproducible in SQL. ``sites`` are calls by
+name or attribute, opening ``with`` statements and subscripts. A file that does not parse gives a row with ``parsed``
+false and empty arrays.
 """
 
 from __future__ import annotations
@@ -19,12 +20,10 @@ from pyspark.sql.types import _parse_datatype_string
 
 FACTS = """
 project string, path string, rel string, strict boolean, parsed boolean,
-calls array<struct<ord int, line int, kind string, name string, head string, tail string, recv string, recv_last string,
+sites array<struct<ord int, line int, kind string, name string, head string, tail string, recv string, recv_last string,
   recv_head string, recv_tail string, strings array<string>, arg0_str boolean, arg0_open boolean, mode string, mode_repr string, arg0 string>>,
 imports array<struct<ord int, top boolean, kind string, module string, symbol string, asname string, level int>>,
 bindings array<struct<ord int, var string, head string, tail string>>,
-opens array<struct<ord int, line int, mode string, mode_repr string>>,
-subscripts array<struct<ord int, line int, head string, tail string, key string>>,
 spans array<struct<line int, stop int, qual string>>,
 exports array<string>,
 links array<struct<caller string, kind string, obj string, attr string>>,
@@ -97,9 +96,11 @@ def _static_name(cls: ast.ClassDef) -> str | None:
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
-def _call(node: ast.Call, order: int) -> dict:
+def _call(node: ast.Call, order: int) -> dict | None:
     f = node.func
-    row = {"ord": order, "line": node.lineno, "kind": "other", "arg0_str": bool(node.args) and _text(node.args[0]) is not None, "arg0_open": bool(node.args) and _is_open(node.args[0])}
+    if not isinstance(f, (ast.Name, ast.Attribute)):
+        return None
+    row = {"ord": order, "line": node.lineno, "arg0_str": bool(node.args) and _text(node.args[0]) is not None, "arg0_open": bool(node.args) and _is_open(node.args[0])}
     row["strings"] = [v for a in node.args if (v := _text(a)) is not None]
     row["arg0"] = _text(node.args[0]) if node.args else None
     if isinstance(f, ast.Name):
@@ -139,49 +140,40 @@ def _decorator(d, step: int, order: int, nth: int, node) -> dict | None:
     return {"step": step, "ord": order, "nth": nth, "key": key, "receiver": receiver, "label": label, "line": node.lineno}
 
 
-class _Graph(ast.NodeVisitor):
-    """Spans of all functions and the calls made inside them, in visiting order."""
-
-    def __init__(self):
-        self.classes: list[str] = []
-        self.stack: list[str] = []
-        self.spans: dict[int, tuple[str, int | None]] = {}
-        self.links: dict[tuple, None] = {}
-
-    def visit_ClassDef(self, node):
-        self.classes.append(node.name)
-        self.generic_visit(node)
-        self.classes.pop()
-
-    def visit_FunctionDef(self, node):
-        qual = f"{self.classes[-1]}.{node.name}" if self.classes and not self.stack else node.name
-        self.spans[node.lineno] = (qual, node.end_lineno)
-        self.stack.append(qual)
-        self.generic_visit(node)
-        self.stack.pop()
-
-    visit_AsyncFunctionDef = visit_FunctionDef
-
-    def visit_Call(self, node):
-        f = node.func
-        if self.stack:
+def _graph(tree) -> tuple[dict[int, tuple[str, int | None]], dict[tuple, None]]:
+    """Spans of all functions (by line), and the calls made inside them, in visiting order. Depth of nesting is bounded
+    by memory only."""
+    spans: dict[int, tuple[str, int | None]] = {}
+    links: dict[tuple, None] = {}
+    left: list[tuple] = [(tree, None, None)]  # node, innermost class, innermost function
+    while left:
+        node, cls, function = left.pop()
+        if isinstance(node, ast.ClassDef):
+            cls = node.name
+        elif isinstance(node, _FUNCTION):
+            function = f"{cls}.{node.name}" if cls and not function else node.name
+            spans[node.lineno] = (function, node.end_lineno)
+        elif isinstance(node, ast.Call) and function:
+            f = node.func
             if isinstance(f, ast.Name):
-                self.links[(self.stack[-1], "name", None, f.id)] = None
+                links[(function, "name", None, f.id)] = None
             elif isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name):
                 if f.value.id != "self":
-                    self.links[(self.stack[-1], "module", f.value.id, f.attr)] = None
-                elif self.classes:
-                    self.links[(self.stack[-1], "method", None, f"{self.classes[-1]}.{f.attr}")] = None
-        self.generic_visit(node)
+                    links[(function, "module", f.value.id, f.attr)] = None
+                elif cls:
+                    links[(function, "method", None, f"{cls}.{f.attr}")] = None
+        left += [(x, cls, function) for x in reversed(list(ast.iter_child_nodes(node)))]
+    return spans, links
 
 
 def _visible(parent):
-    for node in ast.iter_child_nodes(parent):
-        if isinstance(node, _FUNCTION):
-            yield node
-        elif isinstance(node, ast.ClassDef):
+    left = [parent]
+    while left:
+        node = left.pop()
+        if node is not parent:
             yield node
-            yield from _visible(node)
+        if node is parent or isinstance(node, ast.ClassDef):
+            left += [x for x in reversed(list(ast.iter_child_nodes(node))) if isinstance(x, (*_FUNCTION, ast.ClassDef))]
 
 
 def facts(source: str) -> dict | None:
@@ -190,15 +182,14 @@ def facts(source: str) -> dict | None:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(source)
-        graph = _Graph()
-        graph.visit(tree)
     except Exception:  # any failure of the parser means: no facts of this file
         return None
-    out: dict[str, list] = {k: [] for k in ("calls", "imports", "bindings", "opens", "subscripts", "decorators", "bases", "factories", "assigned")}
+    spans, links = _graph(tree)
+    out: dict[str, list] = {k: [] for k in ("sites", "imports", "bindings", "decorators", "bases", "factories", "assigned")}
     top = set(map(id, tree.body))
     for order, node in enumerate(ast.walk(tree)):
         if isinstance(node, ast.Call):
-            out["calls"].append(_call(node, order))
+            out["sites"] += [row] if (row := _call(node, order)) else []
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
             named = isinstance(node, ast.ImportFrom)
             for a in node.names:
@@ -214,11 +205,11 @@ def facts(source: str) -> dict | None:
                     head, tail = _chain(c.func)
                     out["bindings"].append({"ord": len(out["bindings"]), "var": item.optional_vars.id, "head": head, "tail": tail})
                 if isinstance(node, ast.With) and _is_open(c):
-                    out["opens"].append({"ord": order, "line": node.lineno, "mode": _mode(c), "mode_repr": repr(_mode(c))})
+                    out["sites"].append({"ord": order, "line": node.lineno, "kind": "with", "mode": _mode(c), "mode_repr": repr(_mode(c))})
         elif isinstance(node, ast.Subscript):
             head, tail = _chain(node.value)
             if head is not None:
-                out["subscripts"].append({"ord": order, "line": node.lineno, "head": head, "tail": tail, "key": _text(node.slice)})
+                out["sites"].append({"ord": order, "line": node.lineno, "kind": "subscript", "head": head, "tail": tail, "arg0": _text(node.slice)})
         elif isinstance(node, _FUNCTION):
             out["decorators"] += [r for n, d in enumerate(node.decorator_list) if (r := _decorator(d, 2, order, n, node))]
     for order, node in enumerate(_visible(tree)):
@@ -257,8 +248,8 @@ def facts(source: str) -> dict | None:
                 continue
             words = [{"key": k.arg, "refs": _refs(k.value), "text": _text(k.value)} for k in call.keywords if k.arg is not None]
             out["factories"].append({"ord": len(out["factories"]), "line": call.lineno, "called": called, "receiver": receiver, "first": _refs(call.args[0]) if call.args else [], "keywords": words})
-    out["spans"] = [{"line": k, "stop": stop, "qual": qual} for k, (qual, stop) in graph.spans.items()]
-    out["links"] = [dict(zip(("caller", "kind", "obj", "attr"), k)) for k in graph.links]
+    out["spans"] = [{"line": k, "stop": stop, "qual": qual} for k, (qual, stop) in spans.items()]
+    out["links"] = [dict(zip(("caller", "kind", "obj", "attr"), k)) for k in links]
     out["exports"] = list(exports)
     out["functions"] = [{"name": k, "line": v} for k, v in functions.items()]
     return out

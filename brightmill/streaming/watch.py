@@ -29,9 +29,7 @@ def landing(spark: SparkSession, folder: str | Path, project: str = "", per_batc
 
 def found(files: DataFrame) -> DataFrame:
     """Findings of all built-in detectors, with ids."""
-    facts = parse(files)
-    calls = detectors.calls(facts)
-    return findings.with_ids(findings.enrich(findings.union_all([plan(facts, calls).withColumn("detector", F.lit(name)) for name, plan in detectors.BUILT_IN.items()])))
+    return findings.with_ids(findings.enrich(detectors.detect(parse(files))))
 
 
 def watch(files: DataFrame, target: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -39,9 +37,7 @@ def watch(files: DataFrame, target: str, checkpoint: str, once: bool = False) ->
     replaces its own folder, so nothing is counted twice."""
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.persist()  # every detector reads the files
         found(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
-        batch.unpersist()
 
     stream = files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()

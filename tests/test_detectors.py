@@ -54,10 +54,10 @@ CASES = {
 def test_all_cases(spark):
     projects = {f"{d}/{n}": code for d, cases in CASES.items() for n, code in enumerate(cases)}
     facts = parse(files(spark, projects)).cache()
-    calls = detectors.calls(facts)
+    every = detectors.detect(facts).cache()
     for name, cases in CASES.items():
         got = {}
-        for r in detectors.BUILT_IN[name](facts, calls).filter(f"project like '{name}/%'").collect():
+        for r in every.filter(f"detector = '{name}' and project like '{name}/%'").collect():
             got.setdefault(r.project, []).append((r.capability, r.evidence, r.lineno) if name == "file_access" else (r.evidence, r.lineno))
         for n, (code, want) in enumerate(cases.items()):
             assert sorted(got.get(f"{name}/{n}", [])) == sorted(want), code
@@ -66,6 +66,6 @@ def test_all_cases(spark):
 def test_bytes_that_are_no_utf8(spark):
     """Detectors skip such files, the other analyses read what can be read."""
     facts = parse(files(spark, {"p": {"a.py": b"eval('\xff')\ndef f(): pass\n", "b.py": "eval('1')"}}))
-    assert [(r.path, r.evidence) for r in detectors.shell_exec(facts).collect()] == [("b.py", "eval()")]
+    assert [(r.path, r.evidence) for r in detectors.detect(facts, "shell_exec").collect()] == [("b.py", "eval()")]
     row = facts.filter("path = 'a.py'").first()
     assert not row.strict and row.parsed and [s.qual for s in row.spans] == ["f"]
