@@ -35,7 +35,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+    return topk.search(_read(spark, sf_dir, "embeddings"))
 
 
 def op7_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,164 +1,188 @@
 """Exact top-k inner-product search by distributed histogram selection.
 
-Every row is a query and is compared with every other row. Vectors are cut into blocks, stored one file each
-in the shared folder. A cell is one block of queries against a slab of blocks; the task that works on it
-reads the blocks one after the other, so its memory is bounded by two blocks and a part of their scores,
-and no vectors are shuffled or broadcast. Round by round each cell counts, for every query that is
-still open, its scores into a histogram of the query's current interval; the histograms are added up over all
-cells, and the interval shrinks to the bin that holds the kth best score (it reaches below that bin, never
-above, where the bin has fewer units than an interval has bins). When no more than ``slack`` scores
+A stated set of rows are queries, and each is compared with every row. Vectors are packed into slabs, rows of a table in
+the shared folder of at most ``SLAB_BYTES`` each; the queries of a slab form blocks of at most ``QUERIES``. A task
+holds one slab and reads the query blocks one after the other from the shared folder, so its memory is bounded by a
+slab, a block and a part of their scores, and no vectors are shuffled or broadcast. Round by round each slab counts, for
+every query that is still open, its scores into a histogram of the query's current interval; the histograms are added
+up over all slabs as they stream in, and the interval shrinks to the bin that holds the kth best score (it reaches below
+that bin, never above, where the bin has fewer units than an interval has bins). When no more than ``slack`` scores
 lie from an interval's lower edge up (or its bins are one unit wide) the edge is the query's cut. A last
-pass keeps the scores at or above the cut (of one block the first k by score and id, as no others can be
+pass keeps the scores at or above the cut (of one slab the first k by score and id, as no others can be
 among the best), and the best ``k`` are ranked, ties by id.
 
 Scores are sums of products in double precision, rounded to whole multiples of 1e-9, so equal vectors tie
 exactly and each pass sees the same integers. What is shuffled per round is one compact histogram
 per query and slab.
 
-Defined results: NULL vectors, vectors with a NULL or non-finite element, rows with a NULL id, and vectors
-whose size differs from the most common size (ties: the smaller) take no part; a row is never its own
-neighbour, but a repeated id with other rows is (each row is a query of its own); fewer than k other rows
-give fewer neighbours; an empty table gives no rows; extra columns are ignored.
+Defined results: NULL vectors, empty ones, vectors with a NULL or non-finite element and rows with a NULL id take no part;
+a query is compared with the vectors of its own size; a row is never its own neighbour, but other rows with its id
+are (each row is a query of its own); fewer than k other rows give fewer neighbours; very long vectors only make slabs of
+fewer rows; ids may be of any orderable type; an empty table, or one without queries, gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import discard, scratch, written
-from ._text import segments
+from ._shared import discard, written
+from ._text import rebatch
 
 K = 10
-#: Vectors in a block, blocks in a slab, and queries that are scored at once.
-BLOCK, SLAB, STEP = 2048, 16, 256
+SLAB_BYTES = 32 << 20
+#: Most queries of a block, vectors and queries that are scored at once.
+QUERIES, BLOCK, STEP = 1024, 2048, 256
 BITS = 8
 UNIT = 1e9
 _LOWEST = -(1 << 62)
 
 
-class Blocks:
-    """The stored blocks: ids and vectors by block number."""
-
-    def __init__(self, folder: str):
-        self.system, self.root = pafs.FileSystem.from_uri(folder)
-
-    def __getitem__(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        t = pq.read_table(f"{self.root}/b={b}", columns=["ids", "m"], filesystem=self.system, partitioning=None)
-        ids = np.frombuffer(t["ids"][0].as_py(), np.int64)
-        return ids, np.frombuffer(t["m"][0].as_py()).reshape(len(ids), -1)
-
-
-def _store(vectors: DataFrame, key: str, vector: str) -> tuple[str, list[tuple[int, int]], float] | None:
-    """Write the blocks; their folder, numbers and sizes, and the largest norm."""
+def _slabs(vectors: DataFrame, key: str, vector: str, queries: Column | None, slab_bytes: int) -> DataFrame | None:
+    """The stored slabs: slab, d (vector size), ids (sorted), m (their vectors), q (which are queries), norm (largest)."""
     spark = vectors.sparkSession
-    v = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    ask = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    v = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), ask.alias("q")).filter("id is not null and v is not null")
+    single = v.schema["v"].dataType.elementType.simpleString() == "float"
+    v = v.withColumn("v", F.col("v").cast("array<float>" if single else "array<double>"))
     v = v.filter(F.size("v") > 0).filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
-    top = v.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if top is None:
+    size = v.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("v")).alias("cells")).first()
+    if not size.n:
         return None
-    n, d = top.n, top.d
-    parts = max(1, -(-n // BLOCK))
-    v = v.filter(F.size("v") == d).withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(parts)))
-
-    def pack(table: pa.Table) -> pa.Table:
-        ids, base = table["id"].to_numpy(), table["b"][0].as_py()
-        m = np.asarray(table["v"].combine_chunks().flatten()).reshape(len(ids), d)
-        order = np.lexsort((*m.T[::-1], ids))
-        rows = [order[i : i + 2 * BLOCK] for i in range(0, len(order), 2 * BLOCK)]  # more than one where rows repeat a lot
-        return pa.table(
-            {
-                "b": pa.array([base + parts * i for i in range(len(rows))], pa.int64()),
-                "n": pa.array([len(r) for r in rows], pa.int32()),
-                "norm": pa.array([float(np.linalg.norm(m[r], axis=1).max()) for r in rows]),
-                "ids": pa.array([ids[r].tobytes() for r in rows], pa.binary()),
-                "m": pa.array([np.ascontiguousarray(m[r]).tobytes() for r in rows], pa.binary()),
-            }
-        )
-
-    folder = scratch(spark, "blocks")
-    v.groupBy("b").applyInArrow(pack, "b bigint, n int, norm double, ids binary, m binary").write.partitionBy("b").parquet(folder)
-    known = spark.read.schema("n int, norm double, b bigint").parquet(folder).collect()  # a few numbers a block
-    return folder, sorted((r.b, r.n) for r in known), max(r.norm for r in known)
-
-
-def _scores(q: np.ndarray, x: np.ndarray, own: np.ndarray | None) -> np.ndarray:
-    """Rounded scores as integers; a row against itself (``own``: its place in x) gets the lowest value."""
+    width = 4 if single else 8
+    parts = max(-(-size.cells * width // slab_bytes), min(2 * spark.sparkContext.defaultParallelism, -(-size.n // 512)))
+    kind = v.schema["id"].dataType
+
+    def pack(batches):
+        held: dict[int, list] = {}
+        number = TaskContext.get().partitionId() << 24
+
+        def slab(d: int):
+            nonlocal number
+            t = pa.Table.from_batches(held.pop(d)[0]).combine_chunks()
+            t = t.take(pc.sort_indices(t["id"]))
+            m = np.asarray(t["v"].combine_chunks().flatten()).reshape(-1, d)
+            number += 1
+            norm = float(np.sqrt((m.astype(float) ** 2).sum(1).max()))
+            ids = t["id"].combine_chunks()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([d], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([m.tobytes()], pa.binary()), pa.array([np.asarray(t["q"]).tobytes()], pa.binary()), pa.array([norm])],
+                names=["slab", "d", "ids", "m", "q", "norm"],
+            )
+
+        for batch in rebatch(batches, 4096, slab_bytes // 4):
+            sizes = pc.list_value_length(batch.column(1)).to_numpy()
+            for d in np.unique(sizes).tolist():
+                own = batch.filter(pa.array(sizes == d)) if (sizes != d).any() else batch
+                parts_, n = held.setdefault(d, ([], 0))
+                parts_.append(own)
+                held[d] = parts_, n + own.num_rows
+                if (n + own.num_rows) * d * width >= slab_bytes:
+                    yield slab(d)
+        for d in list(held):
+            yield slab(d)
+
+    rows = v.repartition(int(parts)).mapInArrow(pack, f"slab bigint, d int, ids array<{kind.simpleString()}>, m binary, q binary, norm double")
+    return written(rows, "slabs")
+
+
+def _matrix(row, d: int, single: bool) -> np.ndarray:
+    return np.frombuffer(row, np.float32 if single else np.float64).reshape(-1, d)
+
+
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rounded scores as integers."""
     s = q @ x.T
     s *= UNIT
-    s = np.rint(s, out=s).astype(np.int64)
-    if own is not None:
-        s[np.arange(len(q)), own] = _LOWEST
-    return s
-
+    return np.rint(s, out=s).astype(np.int64)
 
-_STATE = "qb bigint, low binary, shift binary, above binary, done binary, open boolean"
 
+def _reader(folder: str, columns: list[str], condition=None):
+    """Rows of a table in the shared folder, one by one."""
+    system, root = pafs.FileSystem.from_uri(folder)
+    files = ds.dataset(root, filesystem=system, format="parquet", exclude_invalid_files=False)
+    for batch in files.to_batches(columns=columns, filter=condition, batch_size=1, batch_readahead=0, fragment_readahead=0):
+        yield from batch.to_pylist() if "ids" not in columns else ({c: batch.column(c)[i] if c == "ids" else batch.column(c)[i].as_py() for c in columns} for i in range(batch.num_rows))
 
-def _state(b, low, shift, above, done):
-    return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (low, shift, above, done)), pa.array([not bool(done.all())])], names=["qb", "low", "shift", "above", "done", "open"])
 
-
-def _rows(batches, *kinds):
-    """(qb, slab, arrays of the further columns) of every cell."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *(np.frombuffer(batch.column(2 + j)[i].as_py(), kind) for j, kind in enumerate(kinds))
-
-
-def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", bits: int = BITS) -> DataFrame:
-    """The k best neighbours of every row: query_id, neighbor_id, rank (from 1), score."""
+def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", queries: Column | None = None, bits: int = BITS, slab_bytes: int = SLAB_BYTES) -> DataFrame:
+    """The k best neighbours of every row for which ``queries`` holds (all rows by default): query_id, neighbor_id, rank
+    (from 1), score."""
     spark = vectors.sparkSession
-    schema = "query_id bigint, neighbor_id bigint, rank int, score double"
-    stored = _store(vectors, key, vector)
-    if stored is None:
+    kind = vectors.schema[key].dataType.simpleString()
+    schema = f"query_id {kind}, neighbor_id {kind}, rank int, score double"
+    slabs = _slabs(vectors, key, vector, queries, slab_bytes)
+    if slabs is None:
         return spark.createDataFrame([], schema)
-    folder, sizes, norm = stored
-    slack, bins, step = 4 * k, 1 << bits, STEP
-    slabs = [[b for b, _ in sizes[i : i + SLAB]] for i in range(0, len(sizes), SLAB)]
+    single = vectors.schema[vector].dataType.elementType.simpleString() == "float"
+    slack, bins, step, block, most = 4 * k, 1 << bits, STEP, BLOCK, QUERIES
+    norm = slabs.agg(F.max("norm")).first()[0]
     reach = int(norm * norm * UNIT) + 2
     widest = max(0, (2 * reach).bit_length() - bits)
-
-    def cells(limits: DataFrame, *columns: str) -> DataFrame:
-        """Every open query block against every slab; rows are small, as vectors are read by the tasks."""
-        rows = limits.select("qb", *columns).crossJoin(spark.range(len(slabs)).select(F.col("id").alias("slab"))).select("qb", "slab", *columns)
-        return rows.repartition(min(len(sizes) * len(slabs), 8 * spark.sparkContext.defaultParallelism), "qb", "slab")
+    state = f"qb bigint, slab bigint, d int, ids array<{kind}>, m binary, pos binary, low binary, shift binary, above binary, done binary, open boolean"
+    names = [c.split()[0] for c in state.split(", ")]
 
     def first(batches):
         for batch in batches:
-            for b, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield _state(b, np.full(n, -reach, np.int64), np.full(n, widest, np.int64), np.zeros(n, np.int64), np.zeros(n, bool))
-
-    limits = written(spark.createDataFrame(sizes, "qb bigint, n int").mapInArrow(first, _STATE), "limits")
-
-    def count(batches):
-        blocks = Blocks(folder)
-        for qb, slab, low, shift, done in _rows(batches, np.int64, np.int64, bool):
-            open_ = np.flatnonzero(~done)
-            q, h = blocks[qb][1], np.zeros(len(low) * bins, np.int64)
-            for xb in slabs[slab]:
-                x = blocks[xb][1]
-                for at in range(0, len(open_), step):
-                    i = open_[at : at + step]
-                    s = _scores(q[i], x, i if qb == xb else None)
-                    s -= low[i, None]
-                    s >>= shift[i, None]
-                    inside = np.flatnonzero(s.view(np.uint64) < bins)  # below the interval wraps round
-                    s += (i * bins)[:, None]
-                    h += np.bincount(s.ravel()[inside], minlength=len(h))
-            some = np.flatnonzero(h)
-            yield pa.RecordBatch.from_arrays([pa.array([qb], pa.int64()), pa.array([some.astype(np.int32).tobytes()], pa.binary()), pa.array([h[some].tobytes()], pa.binary())], names=["qb", "i", "c"])
-
-    def refine(key_, left: pa.Table, right: pa.Table) -> pa.Table:
-        low, shift, above, done = (np.frombuffer(right[c][0].as_py(), t).copy() for c, t in (("low", np.int64), ("shift", np.int64), ("above", np.int64), ("done", bool)))
+            for r in range(batch.num_rows):
+                d, number = batch.column(1)[r].as_py(), batch.column(0)[r].as_py()
+                ids, m = batch.column(2)[r].values, _matrix(batch.column(3)[r].as_py(), d, single)
+                chosen = np.flatnonzero(np.frombuffer(batch.column(4)[r].as_py(), bool))
+                for at in range(0, len(chosen), most):
+                    pos = chosen[at : at + most]
+                    n = len(pos)
+                    begin = (np.full(n, -reach, np.int64), np.full(n, widest, np.int64), np.zeros(n, np.int64), np.zeros(n, bool))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([(number << 16) + at // most], pa.int64()), pa.array([number], pa.int64()), pa.array([d], pa.int32()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids.take(pa.array(pos)))]
+                        + [pa.array([x.tobytes()], pa.binary()) for x in (m[pos], pos.astype(np.int32), *begin)] + [pa.array([True])], names=names,
+                    )
+
+    limits = written(slabs.select("slab", "d", "ids", "m", "q").mapInArrow(first, state), "limits")
+
+    def against(batches, folder: str, columns: list[str], condition):
+        """Every slab with every query block of its vector size: slab number, ids, vectors, block."""
+        for batch in batches:
+            for r in range(batch.num_rows):
+                number, d = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                ids, x = batch.column(2)[r].values, _matrix(batch.column(3)[r].as_py(), d, single)
+                for q in _reader(folder, columns, condition & (ds.field("d") == d)):
+                    yield number, ids, x, q
+
+    def counting(folder: str):
+        def count(batches):
+            for number, _, x, row in against(batches, folder, ["qb", "slab", "d", "m", "pos", "low", "shift", "done"], ds.field("open")):
+                low, shift = (np.frombuffer(row[c], np.int64) for c in ("low", "shift"))
+                open_ = np.flatnonzero(~np.frombuffer(row["done"], bool))
+                q, pos = _matrix(row["m"], row["d"], single).astype(float), np.frombuffer(row["pos"], np.int32)
+                h = np.zeros(len(low) * bins, np.int64)
+                for begin in range(0, len(x), block):
+                    part = x[begin : begin + block].astype(float)
+                    for at in range(0, len(open_), step):
+                        i = open_[at : at + step]
+                        s = _scores(q[i], part)
+                        s -= low[i, None]
+                        s >>= shift[i, None]
+                        if row["slab"] == number:
+                            own = np.flatnonzero((pos[i] >= begin) & (pos[i] < begin + len(part)))
+                            s[own, pos[i][own] - begin] = -1
+                        inside = np.flatnonzero(s.view(np.uint64) < bins)  # below the interval wraps round
+                        s += (i * bins)[:, None]
+                        h += np.bincount(s.ravel()[inside], minlength=len(h))
+                some = np.flatnonzero(h)
+                yield pa.RecordBatch.from_arrays([pa.array([row["qb"]], pa.int64()), pa.array([some.astype(np.int32).tobytes()], pa.binary()), pa.array([h[some].astype(np.int32).tobytes()], pa.binary())], names=["qb", "i", "c"])
+
+        return count
+
+    def moved(row: dict, h: np.ndarray) -> dict:
+        """The state after a round, from the histograms of all slabs."""
+        low, shift, above, done = (np.frombuffer(row[c], t) for c, t in (("low", np.int64), ("shift", np.int64), ("above", np.int64), ("done", bool)))
         n = len(low)
-        h = np.zeros(n * bins, np.int64)
-        for i, c in zip(left["i"].to_pylist(), left["c"].to_pylist()):
-            h[np.frombuffer(i, np.int32)] += np.frombuffer(c, np.int64)
         h = h.reshape(n, bins)
         tail = h[:, ::-1].cumsum(1)[:, ::-1] + above[:, None]  # scores from each bin's lower edge up
         enough = tail >= k
@@ -170,58 +194,87 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
         finer = np.maximum(shift - bits, 0)
         inner = low + ((j + 1) << shift) - (bins << finer)  # ends where the bin ends, as the scores from there up are in ``above``
         low, above = np.where(done, low, np.where(finished, low + (j << shift), inner)), np.where(done, above, beyond)
-        shift = np.where(done | finished, shift, finer)
-        return pa.Table.from_batches([_state(int(right["qb"][0].as_py()), low, shift, above, done | finished)])
+        shift, done = np.where(done | finished, shift, finer), done | finished
+        return row | {"low": low.tobytes(), "shift": shift.tobytes(), "above": above.tobytes(), "done": done.tobytes(), "open": not bool(done.all())}
+
+    def refine(batches):
+        """Rows sorted by block: its state first, then its histograms, which are added up one by one."""
+        row = h = None
+
+        def out():
+            new = moved(row, h)
+            ids = new["ids"]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids.values)], pa.int32()), ids.values) if c == "ids" else pa.array([new[c]], kinds[c]) for c in names], names=names)
+
+        kinds = {"qb": pa.int64(), "slab": pa.int64(), "d": pa.int32(), "open": pa.bool_()} | {c: pa.binary() for c in ("m", "pos", "low", "shift", "above", "done")}
+        for batch in batches:
+            index = {c: batch.column(batch.schema.get_field_index(c)) for c in [*names, "i", "c"]}
+            for r in range(batch.num_rows):
+                if index["i"][r].is_valid:
+                    h[np.frombuffer(index["i"][r].as_py(), np.int32)] += np.frombuffer(index["c"][r].as_py(), np.int32)
+                    continue
+                if row is not None:
+                    yield out()
+                row = {c: index[c][r] if c == "ids" else index[c][r].as_py() for c in names}
+                h = np.zeros(len(row["done"]) * bins, np.int64)
+        if row is not None:
+            yield out()
 
     while limits.filter("open").head(1):
-        still = limits.filter("open")
-        histograms = cells(still, "low", "shift", "done").mapInArrow(count, "qb bigint, i binary, c binary")
-        moved = histograms.groupBy("qb").cogroup(still.groupBy("qb")).applyInArrow(refine, _STATE)
-        new = written(moved.unionByName(limits.filter("not open")), "limits")
+        counts = slabs.select("slab", "d", "ids", "m").mapInArrow(counting(limits._brightmill_path), "qb bigint, i binary, c binary")
+        both = limits.filter("open").unionByName(counts, allowMissingColumns=True).repartition("qb").sortWithinPartitions("qb", F.col("i").isNotNull())
+        new = written(both.mapInArrow(refine, state).unionByName(limits.filter("not open")), "limits")
         discard(limits)
         limits = new
 
+    last = limits._brightmill_path
+    found = f"qb bigint, q int, query_id {kind}, neighbor_id {kind}, s bigint"
+
     def keep(batches):
-        blocks = Blocks(folder)
-        for qb, slab, low in _rows(batches, np.int64):
-            own, q = blocks[qb]
-            for xb in slabs[slab]:
-                ids, x = blocks[xb]
+        for number, ids, x, row in against(batches, last, ["qb", "slab", "d", "ids", "m", "pos", "low"], ds.field("qb") >= 0):
+            q, pos, low, own_ids = _matrix(row["m"], row["d"], single).astype(float), np.frombuffer(row["pos"], np.int32), np.frombuffer(row["low"], np.int64), row["ids"].values
+            held = []
+            for begin in range(0, len(x), block):
+                part = x[begin : begin + block].astype(float)
                 for at in range(0, len(q), step):
-                    i = np.arange(at, min(at + step, len(q)))
-                    s = _scores(q[i], x, i if qb == xb else None)
-                    r, c = np.nonzero((s >= low[i, None]) & (s > _LOWEST))
+                    s = _scores(q[at : at + step], part)
+                    if row["slab"] == number:
+                        own = np.flatnonzero((pos[at : at + step] >= begin) & (pos[at : at + step] < begin + len(part)))
+                        s[own, pos[at : at + step][own] - begin] = _LOWEST
+                    r, c = np.nonzero((s >= low[at : at + step, None]) & (s > _LOWEST))
                     v = s[r, c]
-                    best = np.lexsort((c, -v, r))  # within a block places are in order of id
-                    r, c, v = r[best], c[best], v[best]
-                    begin = np.searchsorted(r, np.arange(len(i)))
-                    some = np.arange(len(r)) - begin[r] < k
-                    r, c, v = r[some], c[some], v[some]
-                    yield pa.RecordBatch.from_arrays([pa.array([qb] * len(r), pa.int64()), pa.array(i[r].astype(np.int32)), pa.array(own[i[r]]), pa.array(ids[c]), pa.array([xb] * len(r), pa.int64()), pa.array(c.astype(np.int32)), pa.array(v)], names=["qb", "q", "query_id", "neighbor_id", "xb", "x", "s"])
+                    held.append(_best(r + at, c + begin, v, k))
+            r, c, v = _best(*(np.concatenate(z) for z in zip(*held)), k)
+            yield pa.RecordBatch.from_arrays([pa.array([row["qb"]] * len(r), pa.int64()), pa.array(r.astype(np.int32)), own_ids.take(pa.array(r)), ids.take(pa.array(c)), pa.array(v)], names=["qb", "q", "query_id", "neighbor_id", "s"])
+
+    best = slabs.select("slab", "d", "ids", "m").mapInArrow(keep, found)
+    rank = F.row_number().over(Window.partitionBy("qb", "q").orderBy(F.desc("s"), "neighbor_id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", (F.col("s") / UNIT).alias("score"))
+
+
+def _best(r: np.ndarray, c: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (row, place, score) of each row; places are in order of id."""
+    order = np.lexsort((c, -v, r))
+    r, c, v = r[order], c[order], v[order]
+    new = np.concatenate([[True], r[1:] != r[:-1]]) if len(r) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    place = np.arange(len(r)) - np.repeat(begin, np.diff(np.append(begin, len(r))))
+    return r[place < k], c[place < k], v[place < k]
 
-    def rank(batches):
-        for table in segments(batches, "qb"):
-            yield from _ranked(table, k).to_batches()
 
-    found = cells(limits, "low").mapInArrow(keep, "qb bigint, q int, query_id bigint, neighbor_id bigint, xb bigint, x int, s bigint")
-    return found.repartition("qb").sortWithinPartitions("qb", "q", F.desc("s"), "neighbor_id", "xb", "x").mapInArrow(rank, schema)
+#: The registered query asks for every row whose id is divisible by this.
+EVERY = 20
 
 
-def _ranked(table: pa.Table, k: int) -> pa.Table:
-    """The first k rows of each query of a table sorted by query, then best first."""
-    qb, q = table["qb"].to_numpy(), table["q"].to_numpy()
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(qb) != 0) | (np.diff(q) != 0)]))
-    size = np.diff(np.append(new, len(q)))
-    place = np.arange(len(q)) - np.repeat(new, size)
-    pick = pa.array(np.flatnonzero(place < k))
-    t = table.take(pick)
-    return pa.table({"query_id": t["query_id"], "neighbor_id": t["neighbor_id"], "rank": pa.array((place[place < k] + 1).astype(np.int32)), "score": pa.array(t["s"].to_numpy() / UNIT)})
+def search(vectors: DataFrame) -> DataFrame:
+    """Neighbours of the rows whose vec_id is divisible by EVERY, among all rows."""
+    return top_k(vectors, queries=F.col("vec_id") % EVERY == 0)
 
 
 SQL = f"""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, CAST(round_even(list_inner_product(a.e, b.e) * 1e9, 0) AS BIGINT) AS s
-      FROM v a JOIN v b ON a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, neighbor_id) AS n FROM s)
+WITH v AS (SELECT row_number() OVER () AS i, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT a.i, a.vec_id AS query_id, b.vec_id AS neighbor_id, CAST(round_even(list_inner_product(a.e, b.e) * 1e9, 0) AS BIGINT) AS s
+      FROM v a JOIN v b ON a.i <> b.i AND len(a.e) = len(b.e) WHERE a.vec_id % {EVERY} = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, neighbor_id) AS n FROM s)
 SELECT query_id, neighbor_id, CAST(n AS INTEGER) AS rank, s / 1e9 AS score FROM r WHERE n <= {K}
 """
