@@ -10,8 +10,9 @@ first in the item, then first in the document, is marked. The pair is a leak whe
 ``threshold`` of the item's tokens; order plays no part, so reordered passages count.
 
 A benchmark whose measured size is below the broadcast limit goes to every task, and documents are read
-once without a shuffle. A larger one is joined to the documents by a shuffle on seeds; the results are
-the same.
+once without a shuffle. Of a larger one every task gets a bitmap of its seeds, of a fixed size, and only the seeds of documents
+that hit it are shuffled and joined; the results are the same. A task's memory is bounded: matching positions of very
+long or repetitive texts are worked through in pieces of ``PAIRS``.
 
 Defined results: NULL or empty documents have no leak; NULL, empty and shorter than ``min_match``
 items never match; a NULL ``doc_id`` or ``item_id`` is carried as NULL; repeated rows each give their
@@ -27,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_BYTES, add_columns
+from ._shared import BROADCAST_BYTES, add_columns, fresh, written
 from ._text import NON_WORD, Tokens, _tables, grams, rebatch
 
 MIN_MATCH = 4
 THRESHOLD = 0.5
 _BITS = 22
+#: Bits of the bitmap of a large benchmark's seeds.
+BITMAP_BITS = 27
+#: Pairs of equal positions that are held at once.
+PAIRS = 1 << 21
 
 
 class _Rolling:
@@ -68,18 +73,35 @@ def tile(item: np.ndarray, text: np.ndarray, least: int, start: int = 32) -> lis
         wi, at_i = wi[order], at_i[order]
         lo, hi = np.searchsorted(wi, wt, "left"), np.searchsorted(wi, wt, "right")
         n = hi - lo
-        if not n.any():
-            return []
-        t = np.repeat(at_t, n)
-        k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        p = at_i[k]
-        order = np.lexsort((p, t - p))
-        p, t = p[order], t[order]
-        new = np.concatenate([[True], (np.diff(p) != 1) | (np.diff(t) != 1)])
-        first = np.flatnonzero(new)
-        length = np.diff(np.append(first, len(p))) + s - 1
+        hit = np.flatnonzero(n)
+        lo, n, at_t = lo[hit], n[hit], at_t[hit]
+        ends = np.cumsum(n)
+        runs: list[tuple[int, int, int]] = []  # length, item position, text position
+        going: dict[int, int] = {}  # item position after the end of a run that reached the last piece's end: its place in runs
+        begin, last = 0, -2
+        while begin < len(n):
+            upto = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right")))
+            m = n[begin:upto]
+            t = np.repeat(at_t[begin:upto], m)
+            p = at_i[np.repeat(lo[begin:upto] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+            order = np.lexsort((p, t - p))
+            p, t = p[order], t[order]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(t) != 1)]))
+            length = np.diff(np.append(first, len(p)))
+            now: dict[int, int] = {}
+            end = int(at_t[upto - 1])
+            for k, p_, t_ in zip(length.tolist(), p[first].tolist(), t[first].tolist()):
+                at = going.get(p_) if t_ == last + 1 else None
+                if at is None:
+                    at = len(runs)
+                    runs.append((k + s - 1, p_, t_))
+                else:
+                    runs[at] = (runs[at][0] + k, *runs[at][1:])
+                if t_ + k - 1 == end:
+                    now[p_ + k] = at
+            going, last, begin = now, end, upto
         out = []
-        for n_, p_, t_ in zip(length.tolist(), p[first].tolist(), t[first].tolist()):
+        for n_, p_, t_ in runs:
             same = item[p_ : p_ + n_] == text[t_ : t_ + n_]
             if same.all():
                 out.append((n_, p_, t_))
@@ -173,8 +195,8 @@ def _columns(found):
 
 
 def _items(bench: DataFrame) -> tuple[DataFrame, bool]:
-    items = bench.select("item_id", F.col("text").alias("text")).filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    items = bench.select("item_id", F.col("text").alias("text")).filter("text <> ''")
+    size = items.agg(F.sum(F.octet_length("text") + 16).alias("b")).first().b or 0
     return items, size * 16 <= BROADCAST_BYTES  # seeds, positions and hashes take about 16 times the text
 
 
@@ -200,9 +222,25 @@ def leaks(docs: DataFrame, bench: DataFrame, min_match: int = MIN_MATCH, thresho
     return docs.mapInArrow(run, schema)
 
 
-def _seeds(frame: DataFrame, keys: list[str], min_match: int) -> DataFrame:
-    """Distinct seeds of each row: the key columns, the seed, how many tokens of the text lie in its places, and
-    how many tokens the text has."""
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """Bits of all seeds; the driver gets the words that are not zero, 2 ** (BITMAP_BITS - 6) at most."""
+    shift = 64 - BITMAP_BITS
+    place = F.shiftrightunsigned("seed", shift)
+    words = seeds.groupBy(F.shiftrightunsigned(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(seed, %d) & 63 as int))" % shift)).alias("x"))
+    got = words.toArrow()
+    out = np.zeros(1 << max(0, BITMAP_BITS - 6), np.uint64)
+    out[got["w"].to_numpy()] = got["x"].to_numpy().view(np.uint64)
+    return out
+
+
+def _in_bitmap(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    place = seeds >> np.uint64(64 - BITMAP_BITS)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _seeds(frame: DataFrame, keys: list[str], min_match: int, among=None) -> DataFrame:
+    """Distinct seeds of each row (that hit a broadcast bitmap): the key columns, the seed, how many tokens of the text
+    lie in its places, and how many tokens the text has."""
     schema = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys) + ", seed bigint, covers int, n_tokens int"
 
     def run(batches):
@@ -213,6 +251,8 @@ def _seeds(frame: DataFrame, keys: list[str], min_match: int) -> DataFrame:
                 continue
             doc = tokens.doc()[: len(g)]
             inside = np.flatnonzero(doc == tokens.doc()[min_match - 1 :])
+            if among is not None:
+                inside = inside[_in_bitmap(among.value, g[inside])]
             order = inside[np.lexsort((g[inside], doc[inside]))]  # places of a seed stay in order
             if not len(order):
                 continue
@@ -230,8 +270,9 @@ def _seeds(frame: DataFrame, keys: list[str], min_match: int) -> DataFrame:
 def _leaks_shuffled(docs: DataFrame, items: DataFrame, min_match: int, threshold: float) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     items = items.select("item_id", F.col("text").alias("item_text"), F.xxhash64("text").alias("ih"))
-    left = _seeds(docs, ["doc_id", "th"], min_match).drop("covers", "n_tokens").distinct()
-    right = _seeds(items.select("item_id", "ih", F.col("item_text").alias("text")), ["item_id", "ih"], min_match).distinct()
+    right = written(_seeds(items.select("item_id", "ih", F.col("item_text").alias("text")), ["item_id", "ih"], min_match).distinct(), "seeds")
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(right))
+    left = _seeds(docs, ["doc_id", "th"], min_match, bits).drop("covers", "n_tokens").distinct()
     pairs = (
         left.hint("merge").join(right, "seed").groupBy("doc_id", "th", "item_id", "ih").agg(F.sum("covers").alias("n"), F.max("n_tokens").alias("size"))
         .filter(F.col("n") >= F.col("size") * threshold).select("doc_id", "th", "item_id", "ih")
@@ -271,8 +312,10 @@ def drop_leaks(docs: DataFrame, bench: DataFrame, min_match: int = MIN_MATCH, th
     items, fits = _items(bench)
     if not fits:
         keyed, (key,) = add_columns(docs, th=F.xxhash64("text"))
-        bad = _leaks_shuffled(docs.select("doc_id", "text"), items, min_match, threshold).select(F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_th")).distinct()
-        return keyed.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_bad_id")) & F.col(key).eqNullSafe(F.col("_bad_th")), "left_anti").drop(key)
+        id_, th = fresh(keyed, "bad_id", "bad_th")
+        bad = _leaks_shuffled(docs.select("doc_id", "text"), items, min_match, threshold).select(F.col("doc_id").alias(id_), F.col("th").alias(th)).distinct()
+        kept = keyed.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)) & F.col(key).eqNullSafe(F.col(th)), "left_anti")
+        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
     given = docs.sparkSession.sparkContext.broadcast([r.text for r in items.select("text").collect()])
 
     def run(batches):
