@@ -4,23 +4,26 @@ A text is a sequence of blank-separated tokens. A window is ``min_tokens`` conse
 the same window stands elsewhere in the corpus (another document, or another place of the same one). Of
 the copies of a window the one with the least (doc_id, text hash, position) is the first; NULL ids last.
 
-1. Windows are grouped by their minimizer (the least hash of a 10-gram inside). Neighbouring windows with
-   one minimizer form a piece; equal windows always fall under equal minimizers, so minimizers seen in
-   one piece only cannot repeat and are dropped. Pieces that are equal as a whole need no comparison.
-2. The distinct pieces of the other minimizers, one copy each, form document collections. For each
-   collection the suffix order is built by column-wise insertion (BCR): in round j the suffix of length j
-   of every piece is inserted, i.e. one symbol per piece goes into the collection's Burrows-Wheeler
-   transform at the place its last-to-first mapping gives, and the common prefixes with the new
-   neighbours follow from range minima of the previous round's. Transform, common prefixes and suffix names
-   are kept in external files of the shared folder, read and written sequentially each round.
-3. Suffixes joined by common prefixes of at least ``min_tokens`` are copies of one window.
-
-Memory of a task is bounded by one collection (about ``COLLECTION`` pieces, more only if one minimizer has
-more distinct pieces). Texts are read twice and not shuffled, unless the list of pieces to fetch exceeds the
-broadcast limit.
+1. Windows are grouped by two minimizers (the least hash of a 10-gram inside, under two hash functions). Neighbouring
+   windows with the same minimizers form a piece; equal windows always fall under equal minimizers, so minimizers
+   seen in one piece only cannot repeat and are dropped. They are counted before they are shuffled, so minimizers of
+   boilerplate gather in no task.
+2. The distinct pieces of the other minimizers, one copy each (two pieces are one if their minimizers and their 64-bit
+   hashes agree), form document collections. For each collection the suffix order is built by column-wise insertion (BCR):
+   in round j the suffix of length j of every piece is inserted, i.e. one symbol per piece goes into the collection's
+   Burrows-Wheeler transform at the place its last-to-first mapping gives, and the common prefixes with the new
+   neighbours follow from range minima of the previous round's. Symbols stand in one external file per column; transform,
+   common prefixes and suffix names in external files of the shared folder that each round reads and writes
+   sequentially, in blocks of ``BLOCK`` entries. Ranks and minima are carried from block to block.
+3. Suffixes joined by common prefixes of at least ``min_tokens`` are copies of one window; they are read off the files
+   in blocks, too.
+
+A task holds a block, and a few numbers per piece and per different token of a collection; suffixes and symbols are on
+disk. A collection has about ``COLLECTION`` pieces, more only if one pair of minimizers has more distinct pieces. Texts are
+read twice and not shuffled, unless the list of pieces to fetch exceeds the broadcast limit.
 
 Defined results: NULL, empty and shorter than ``min_tokens`` texts have no windows; identical rows (same id
-and text) count as one document; NULL ids take part; ids are integers; an empty table gives no rows;
+and text) count as one document; NULL ids take part; ids may be of any orderable type; an empty table gives no rows;
 extra columns are ignored by ``repeats`` and kept by ``without_repeats``.
 """
 
@@ -31,24 +34,26 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import add_columns, discard, fresh, scratch, small, written
-from ._text import Tokens, _tables, grams, mix, rebatch, segments, windows_min
+from ._text import Tokens, U, _tables, grams, mix, rebatch, windows_min
 
 MIN_TOKENS = 50
 GRAM = 10
 COLLECTION = 4096
 #: Longest piece, in windows.
 PIECE = 48
+#: Entries of the external files that are held at once.
+BLOCK = 1 << 20
 
 
 # ---- column-wise construction ----------------------------------------------------------------------------
 
 
 class Files:
-    """Named numpy columns kept as files of one folder, written and read as sequential streams. A new version
+    """Numpy columns as files of one folder, written and read as sequential streams of blocks. A new version of a column
     goes to a file of its own and the old one is deleted, so short-lived versions need not reach the disk."""
 
     def __init__(self, folder: str):
@@ -56,20 +61,34 @@ class Files:
         self.root = f"{root}/{uuid.uuid4().hex}"
         self.system.create_dir(self.root, recursive=True)
         self.version: dict[str, int] = {}
-
-    def write(self, name: str, values: np.ndarray) -> None:
-        n = self.version.get(name, 0)
-        with self.system.open_output_stream(f"{self.root}/{name}-{n + 1}") as f:
-            f.write(memoryview(np.ascontiguousarray(values)).cast("B"))
-        self.version[name] = n + 1
-        if n:
-            self.system.delete_file(f"{self.root}/{name}-{n}")
+        self.streams: dict[str, object] = {}
+
+    def append(self, name: str, values: np.ndarray) -> None:
+        """Add to the next version of a column."""
+        if name not in self.streams:
+            self.streams[name] = self.system.open_output_stream(f"{self.root}/{name}-{self.version.get(name, 0) + 1}")
+        self.streams[name].write(memoryview(np.ascontiguousarray(values)).cast("B") if len(values) else b"")
+
+    def turn(self, *names: str) -> None:
+        """Finish the next version of columns; it replaces the one before."""
+        for name in names:
+            self.streams.pop(name).close()
+            n = self.version.get(name, 0)
+            self.version[name] = n + 1
+            if n:
+                self.system.delete_file(f"{self.root}/{name}-{n}")
+
+    def blocks(self, name: str, kind, block: int):
+        with self.system.open_input_stream(f"{self.root}/{name}-{self.version[name]}") as f:
+            while raw := f.read(block * np.dtype(kind).itemsize):
+                yield np.frombuffer(raw, kind)
 
     def read(self, name: str, kind) -> np.ndarray:
-        with self.system.open_input_stream(f"{self.root}/{name}-{self.version[name]}") as f:
-            return np.frombuffer(f.read(), kind)
+        return np.concatenate([np.zeros(0, kind), *self.blocks(name, kind, BLOCK)])
 
     def close(self) -> None:
+        for f in self.streams.values():
+            f.close()
         self.system.delete_dir(self.root)
 
 
@@ -109,73 +128,117 @@ def range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_order(symbols: np.ndarray, first: np.ndarray, files: Files) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, suffix length, common prefix with the one before) of all suffixes in order.
-
-    ``symbols`` holds sequences of integers > 0 one after the other, ``first`` where each starts (and the
-    end). Every sequence ends in a symbol of its own, smaller than all others.
+def put_columns(files: Files, symbols: np.ndarray, length: np.ndarray, width: int) -> None:
+    """Append the symbols of more sequences, one file per column: column j holds the symbol before the suffix of length j
+    of each sequence, 0 where it has none."""
+    ends = np.cumsum(length)
+    for j in range(width):
+        files.append(f"column{j}", np.where(length > j, symbols[np.maximum(ends - 1 - j, 0)] if len(symbols) else 0, 0).astype(symbols.dtype))
+
+
+def _carried(files: Files, at: np.ndarray, sym: np.ndarray, n_symbols: int, name, count, block: int):
+    """(symbol, rank among the places of that symbol, common prefix with the place before it, index in ``at`` or -1) of
+    the places ``at`` of the last round's suffixes, and of the places of the same symbol right after them."""
+    wanted = np.zeros(n_symbols + 1, bool)
+    wanted[sym] = True
+    seen, last_new = np.zeros(n_symbols + 1, np.int64), np.zeros(n_symbols + 1, bool)
+    most = np.iinfo(count).max
+    since = np.full(n_symbols + 1, most, count)  # least common prefix after a symbol's last place
+    out, begin = [], 0
+    for bwt, lcp in zip(files.blocks("bwt", name, block), files.blocks("lcp", count, block)):
+        place = np.flatnonzero(wanted[bwt])
+        s = bwt[place]
+        order = np.argsort(s, kind="stable")
+        s, place = s[order].astype(np.int64), place[order]
+        new = np.full(len(bwt), -1)
+        q0, q1 = np.searchsorted(at, [begin, begin + len(bwt)])
+        new[at[q0:q1] - begin] = np.arange(q0, q1)
+        which = new[place]
+        head = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+        first = np.flatnonzero(head)
+        group = np.diff(np.append(first, len(s)))
+        rank = seen[s] + np.arange(len(s)) - np.repeat(first, group)
+        before_new = np.concatenate([[False], which[:-1] >= 0]) if len(s) else np.zeros(0, bool)
+        before_new[first] = last_new[s[first]]
+        touch = np.flatnonzero((which >= 0) | before_new)
+        value = np.zeros(len(touch), count)
+        inner = np.flatnonzero(~head[touch])
+        if len(inner):
+            k = touch[inner]
+            value[inner] = 1 + range_min(lcp, place[k - 1] + 1, place[k])
+        outer = np.flatnonzero(head[touch] & (seen[s[touch]] > 0))
+        if len(outer):
+            k = touch[outer]
+            value[outer] = 1 + np.minimum(since[s[k]], np.minimum.accumulate(lcp)[place[k]])
+        out.append((s[touch], rank[touch], value, which[touch]))
+        np.minimum(since, lcp.min(), out=since)
+        final = first + group - 1
+        after = np.append(np.minimum.accumulate(lcp[::-1])[::-1], most).astype(count)
+        since[s[final]] = after[place[final] + 1]
+        last_new[s[final]] = which[final] >= 0
+        seen[s[first]] += group
+        begin += len(bwt)
+    return (np.concatenate(x) for x in zip(*out))
+
+
+def suffix_order(files: Files, m: int, width: int, n_symbols: int, block: int = BLOCK) -> tuple[np.dtype, np.dtype]:
+    """Order all suffixes of m sequences of at most ``width`` symbols in 1..n_symbols, whose columns are in ``files``:
+    leaves the files ``own`` (sequence), ``size`` (suffix length) and ``lcp`` (common prefix with the one before).
+
+    Every sequence ends in a symbol of its own, smaller than all others. Returns the types of own, and of size and lcp.
     """
-    length = np.diff(first)
-    m = len(length)
     # the narrowest types that hold the values, as all of this is written again each round
-    name, who, count = (np.min_scalar_type(int(x)) for x in (symbols.max(initial=0), max(m - 1, 0), length.max(initial=0)))
-
-    def before(seq: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The symbol before the suffix of length n (0 if there is none)."""
-        at = first[seq + 1] - n - 1
-        return np.where(n < length[seq], symbols[np.maximum(at, 0)] if len(symbols) else 0, 0).astype(name)
-
-    bwt = before(np.arange(m), np.zeros(m, np.int64))
-    files.write("own", np.arange(m, dtype=who))
-    files.write("size", np.zeros(m, count))
-    files.write("bwt", bwt)
-    files.write("lcp", np.zeros(m, count))
-    # last-to-first mapping: (symbol, place) of the entries, sorted; the kth stands for the suffix at place m + k
-    new = np.flatnonzero(bwt)
-    keys = np.sort((bwt[new].astype(np.int64) << 32) | new)
-    new = np.arange(len(keys))
-    for j in range(1, int(length.max()) + 1 if m else 1):
-        bwt, lcp, own, size = files.read("bwt", name), files.read("lcp", count), files.read("own", who), files.read("size", count)
-        tail, symbol = keys & 0xFFFFFFFF, keys >> 32
-        into = np.zeros(m + len(keys), bool)
-        into[m + new] = True
-        old = np.flatnonzero(~into)
-
-        def merged(column, values):
-            out = np.empty(len(into), column.dtype)
-            out[old] = column
-            out[m + new] = values
-            return out
-
-        seq = own[tail[new]]
-        symbols_now = before(seq.astype(np.int64), np.full(len(new), j, np.int64))
-        touch = np.unique(np.concatenate([new, new[new + 1 < len(keys)] + 1]))
-        same = (touch > 0) & (symbol[touch] == symbol[np.maximum(touch, 1) - 1])
-        value = np.zeros(len(touch), count)
-        if same.any():
-            at = touch[same]
-            value[same] = 1 + range_min(lcp, tail[at - 1] + 1, tail[at])
-        lcp = merged(lcp, 0)
-        lcp[m + touch] = value
-        files.write("lcp", lcp)
-        files.write("bwt", merged(bwt, symbols_now))
-        files.write("size", merged(size, j))
-        files.write("own", merged(own, seq))
-        # places move up but keep their order; only the new entries are sorted in
-        keys = (symbol << 32) | old[tail]
-        more = np.flatnonzero(symbols_now)
-        more = np.sort((symbols_now[more].astype(np.int64) << 32) | (m + new[more]))
-        at = np.searchsorted(keys, more)
-        keys = np.insert(keys, at, more)
-        new = at + np.arange(len(more))
-    return files.read("own", who).astype(np.int64), files.read("size", count).astype(np.int64), files.read("lcp", count).astype(np.int64)
+    name, who, count = (np.min_scalar_type(int(x)) for x in (n_symbols, max(m - 1, 0), width + 1))
+
+    def column(j: int) -> np.ndarray:
+        return files.read(f"column{j}", name) if j < width else np.zeros(m, name)
+
+    sym = column(0)
+    for file, values in (("own", np.arange(m, dtype=who)), ("size", np.zeros(m, count)), ("bwt", sym), ("lcp", np.zeros(m, count))):
+        files.append(file, values)
+    files.turn("own", "size", "bwt", "lcp")
+    total = np.bincount(sym, minlength=n_symbols + 1)
+    total[0] = 0
+    at = np.flatnonzero(sym)
+    sym, seq = sym[at].astype(np.int64), at
+    for j in range(1, width + 1):
+        s, rank, value, which = _carried(files, at, sym, n_symbols, name, count, block)
+        # a suffix stands behind the m empty ones, those of smaller symbols and those of its symbol that come first
+        index = m + (np.cumsum(total) - total)[s] + rank
+        order = np.argsort(index)
+        index, value, which = index[order], value[order], which[order]
+        fresh_ = which >= 0
+        into, seq = index[fresh_], seq[which[fresh_]]
+        next_ = column(j)[seq]
+        again, new_value = index[~fresh_], value[~fresh_]
+        before = into - np.arange(len(into))  # entries of the old files that come before
+        more = {"own": seq.astype(who), "size": np.full(len(into), j, count), "bwt": next_.astype(name), "lcp": value[fresh_]}
+        for file, kind in (("own", who), ("size", count), ("bwt", name), ("lcp", count)):
+            begin = done = out_at = 0
+            for x in files.blocks(file, kind, block):
+                upto = int(np.searchsorted(before, begin + len(x), "left"))
+                y = np.insert(x, before[done:upto] - begin, more[file][done:upto])
+                if file == "lcp":
+                    u0, u1 = np.searchsorted(again, [out_at, out_at + len(y)])
+                    y[again[u0:u1] - out_at] = new_value[u0:u1]
+                files.append(file, y)
+                begin, done, out_at = begin + len(x), upto, out_at + len(y)
+            files.append(file, more[file][done:])  # what comes after all entries
+        files.turn("own", "size", "bwt", "lcp")
+        total += np.bincount(next_, minlength=n_symbols + 1)
+        total[0] = 0
+        some = np.flatnonzero(next_)
+        at, sym, seq = into[some], next_[some].astype(np.int64), seq[some]
+        if not len(at):
+            break
+    return who, count
 
 
 # ---- pieces --------------------------------------------------------------------------------------------------
 
 
 def pieces(tokens: Tokens, min_tokens: int = MIN_TOKENS, gram: int = GRAM):
-    """Arrays of all pieces: document, minimizer, piece hash, start (token in the document), windows, and
+    """Arrays of all pieces: document, minimizers, piece hash, start (token in the document), windows, and
     whether the minimizer stands at several places in it."""
     empty = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
     h = tokens.hash
@@ -185,10 +248,11 @@ def pieces(tokens: Tokens, min_tokens: int = MIN_TOKENS, gram: int = GRAM):
     if len(g) < w:
         return empty
     least = windows_min(g, w)
+    key = mix(least + mix(windows_min(mix(g ^ U(0x2545F4914F6CDD1D)), w)))
     counts = tokens.counts()
     doc = np.repeat(np.arange(len(counts)), counts)[: len(least)]
     valid = np.arange(len(least)) + min_tokens <= tokens.first[doc + 1]
-    edge = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (valid[1:] != valid[:-1])]))
+    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (valid[1:] != valid[:-1])]))
     n = np.diff(np.append(edge, len(least)))
     ok = valid[edge]
     start, n = edge[ok], n[ok]
@@ -201,6 +265,7 @@ def pieces(tokens: Tokens, min_tokens: int = MIN_TOKENS, gram: int = GRAM):
         e = (start[at : at + 8192] + n[at : at + 8192])[:, None] + np.arange(w - 1)
         times[at : at + 8192] += (g[np.minimum(e, len(g) - 1)] == m[at : at + 8192, None]).sum(1)
     several = times > 1
+    m = key[start]
     if n.max() > PIECE:
         parts = -(-n // PIECE)
         row = np.repeat(np.arange(len(n)), parts)
@@ -214,54 +279,119 @@ def pieces(tokens: Tokens, min_tokens: int = MIN_TOKENS, gram: int = GRAM):
     return d, m, piece, start - tokens.first[d], n, several
 
 
-def _first() -> F.Column:
+def _first() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"))
 
 
-_SEQ = "m bigint, piece bigint, copies bigint, none boolean, id bigint, th bigint, start int, tokens binary"
-_RUN = "m bigint, piece bigint, at int, n int, f_none boolean, f_id bigint, f_th bigint, f_start int"
-
-
-def _classes(table: pa.Table, folder: str, min_tokens: int) -> pa.RecordBatch:
-    """Repeated windows of a collection of pieces, as runs of (piece, offset) with their first copy."""
-    m, piece, copies, th, start = (table[c].to_numpy() for c in ("m", "piece", "copies", "th", "start"))
-    none = np.asarray(table["none"])
-    ident = table["id"].combine_chunks().fill_null(0).to_numpy()
-    raw = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    names, symbols = np.unique(np.concatenate(raw), return_inverse=True)
-    files = Files(folder)
-    try:
-        seq, size, lcp = suffix_order(symbols + 1, first, files)
-    finally:
-        files.close()
-    cls = np.cumsum(lcp < min_tokens)
-    pick = size >= min_tokens
-    seq, cls = seq[pick], cls[pick]
-    at = (np.diff(first)[seq] - size[pick]).astype(np.int64)
-    order = np.lexsort((start[seq] + at, th[seq], ident[seq], none[seq], cls))
-    seq, cls, at = seq[order], cls[order], at[order]
-    head = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])) if len(cls) else np.zeros(0, np.int64)
-    count = np.diff(np.append(head, len(cls)))
-    total = np.add.reduceat(copies[seq], head) if len(head) else head
-    lead = np.repeat(head, count)
-    again = np.repeat(total, count) > 1
-    seq, at, f_seq, f_at = seq[again], at[again], seq[lead][again], at[lead][again]
-    order = np.lexsort((at, seq))
-    seq, at, f_seq, f_at = (x[order] for x in (seq, at, f_seq, f_at))
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(seq) != 0) | (np.diff(at) != 1) | (np.diff(f_seq) != 0) | (np.diff(f_at) != 1)])) if len(seq) else np.zeros(0, np.int64)
-    n = np.diff(np.append(new, len(seq)))
-    s, f = seq[new], f_seq[new]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(m[s]), pa.array(piece[s]), pa.array(at[new].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(none[f]), table["id"].combine_chunks().take(pa.array(f)), pa.array(th[f]), pa.array((start[f] + f_at[new]).astype(np.int32))],
-        names=["m", "piece", "at", "n", "f_none", "f_id", "f_th", "f_start"],
-    )
+_SEQ = "m bigint, piece bigint, copies bigint, id {0}, th bigint, start int, tokens binary"
+_RUN = "m bigint, piece bigint, at int, n int, f_none boolean, f_id {0}, f_th bigint, f_start int"
+
+
+class Collection:
+    """Pieces of one collection: their tokens go to external files as they come, a few numbers of each stay."""
+
+    def __init__(self, folder: str):
+        self.files, self.rows, self.n, self.width, self.last = Files(folder), [], 0, 0, None
+        self.known = np.zeros(0, np.uint64)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        """Rows sorted by (m, piece); of equal ones (identical rows of documents) the first counts."""
+        m, piece = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.concatenate([[(m[0], piece[0]) != self.last], (m[1:] != m[:-1]) | (piece[1:] != piece[:-1])])
+        self.last = (m[-1], piece[-1])
+        batch = batch.filter(pa.array(new))
+        if not batch.num_rows:
+            return
+        raw = [np.frombuffer(x, np.uint64) for x in batch.column(6).to_pylist()]
+        length = np.array([len(x) for x in raw])
+        self.known = np.union1d(self.known, np.concatenate(raw))
+        self.files.append("text", np.concatenate(raw))
+        self.rows.append((batch.select(["m", "piece", "copies", "id", "th", "start"]), length))
+        self.n += batch.num_rows
+        self.width = max(self.width, int(length.max()))
+
+    def runs(self, min_tokens: int, block: int):
+        """Repeated windows, as runs of (piece, offset) with their first copy."""
+        files = self.files
+        try:
+            files.turn("text")
+            name = np.min_scalar_type(len(self.known))
+            source, held = files.blocks("text", np.uint64, block), np.zeros(0, np.uint64)
+            for _, length in self.rows:  # tokens get small names and are turned into columns, batch by batch
+                while len(held) < length.sum():
+                    held = np.concatenate([held, next(source)])
+                put_columns(files, (np.searchsorted(self.known, held[: length.sum()]) + 1).astype(name), length, self.width)
+                held = held[length.sum() :]
+            files.turn(*(f"column{j}" for j in range(self.width)))
+            who, count = suffix_order(files, self.n, self.width, len(self.known), block)
+            table = pa.Table.from_batches([b for b, _ in self.rows])
+            yield from _classes(table, np.concatenate([x for _, x in self.rows]), files, who, count, min_tokens, block)
+        finally:
+            files.close()
+
+
+def _rank(ids: pa.ChunkedArray) -> np.ndarray:
+    """Numbers in the order of the ids; NULLs come last."""
+    ids = ids.combine_chunks()
+    if pa.types.is_integer(ids.type) and not ids.null_count:
+        return ids.to_numpy()
+    place = {v: n for n, v in enumerate(sorted({v for v in ids.to_pylist() if v is not None}))}
+    return np.array([place[v] if v is not None else len(place) for v in ids.to_pylist()], np.int64)
+
+
+def _classes(table: pa.Table, length: np.ndarray, files: Files, who, count, min_tokens: int, block: int):
+    """Runs of repeated windows, read off the ordered suffixes in blocks of whole classes of equal windows."""
+    copies, th, start = (table[c].to_numpy() for c in ("copies", "th", "start"))
+    ident = _rank(table["id"])
+    kept = [np.zeros(0, np.int64)] * 3
+    blocks = zip(files.blocks("own", who, block), files.blocks("size", count, block), files.blocks("lcp", count, block))
+    for seq, size, lcp in _with_end(blocks):
+        if seq is not None:
+            kept = [np.concatenate([a, b.astype(np.int64)]) for a, b in zip(kept, (seq, size, lcp))]
+            cut = np.flatnonzero(kept[2] < min_tokens)
+            if not len(cut) or cut[-1] == 0:
+                continue
+            done, kept = [x[: cut[-1]] for x in kept], [x[cut[-1] :] for x in kept]
+        else:
+            done = kept
+        cls = np.cumsum(done[2] < min_tokens)
+        pick = done[1] >= min_tokens
+        seq, cls = done[0][pick], cls[pick]
+        at = length[seq] - done[1][pick]
+        order = np.lexsort((start[seq] + at, th[seq], ident[seq], cls))
+        seq, cls, at = seq[order], cls[order], at[order]
+        if not len(seq):
+            continue
+        head = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        group = np.diff(np.append(head, len(cls)))
+        again = np.repeat(np.add.reduceat(copies[seq], head) > 1, group)
+        lead = np.repeat(head, group)
+        seq, at, f_seq, f_at = seq[again], at[again], seq[lead][again], at[lead][again]
+        if not len(seq):
+            continue
+        order = np.lexsort((at, seq))
+        seq, at, f_seq, f_at = (x[order] for x in (seq, at, f_seq, f_at))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(seq) != 0) | (np.diff(at) != 1) | (np.diff(f_seq) != 0) | (np.diff(f_at) != 1)]))
+        n = np.diff(np.append(new, len(seq)))
+        s, f = pa.array(seq[new]), pa.array(f_seq[new])
+        first = table.select(["id", "th", "start"]).take(f).combine_chunks()
+        ids = first["id"].combine_chunks()
+        yield pa.RecordBatch.from_arrays(
+            [table["m"].combine_chunks().take(s), table["piece"].combine_chunks().take(s), pa.array(at[new].astype(np.int32)), pa.array(n.astype(np.int32)), ids.is_null(), ids, first["th"].combine_chunks(), pa.array((first["start"].to_numpy() + f_at[new]).astype(np.int32))],
+            names=["m", "piece", "at", "n", "f_none", "f_id", "f_th", "f_start"],
+        )
+
+
+def _with_end(blocks):
+    yield from blocks
+    yield None, None, None
 
 
 def repeated_windows(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Runs of repeated windows: doc_id, th (text hash), start, n (windows), is_first."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter("text is not null")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").alias("text")).filter("text is not null")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
         for batch in rebatch(batches, 2048, 3 << 20):
@@ -273,21 +403,19 @@ def repeated_windows(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame
                     names=["m", "piece", "doc_id", "th", "start", "n", "several"],
                 )
 
-    found = texts.mapInArrow(cut, "m bigint, piece bigint, doc_id bigint, th bigint, start int, n int, several boolean")
-    one = Window.partitionBy("m", "doc_id", "th", "start").orderBy("piece")
-    by = Window.partitionBy("m")
-    found = found.repartition("m").withColumn("r", F.row_number().over(one)).filter("r = 1").drop("r")
-    found = found.select(
-        "*", F.count(F.lit(1)).over(by).alias("c"), F.max("several").over(by).alias("any_several"), (F.min("piece").over(by) == F.max("piece").over(by)).alias("equal"), F.min(_first()).over(by).alias("lead")
-    )
-    found = written(found.filter("c > 1 or any_several").withColumn("plain", F.col("equal") & ~F.col("any_several")).select("m", "piece", "doc_id", "th", "start", "n", "plain", F.when(F.col("plain"), F.col("lead")).alias("lead")), "pieces")
-
-    mixed = found.filter("not plain")
-    wanted = mixed.groupBy("m", "piece").agg(F.min(_first()).alias("o"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
-    wanted = wanted.groupBy(F.col("o.id").alias("w_id"), F.col("o.th").alias("w_th")).agg(F.collect_list(F.struct("m", "piece", "copies", F.col("o.start").alias("start"), "n")).alias("w"))
-    wanted = written(wanted, "wanted")
-    size = wanted.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("w")).alias("n")).first()
-    fetched = texts.join(small(wanted, (size.n or 0) * 56 + size.docs * 32, 1), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("doc_id", "th", "text", "w")
+    every = written(texts.mapInArrow(cut, f"m bigint, piece bigint, doc_id {kind}, th bigint, start int, n int, several boolean"), "pieces")
+    often = written(every.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("several").alias("s")).filter("c > 1 or s").select("m"), "often")
+    found = every.join(small(often, often.count(), 16), "m").dropDuplicates(["m", "piece", "doc_id", "th", "start"])  # identical rows count once
+    found = written(found.select("m", "piece", "doc_id", "th", "start", "n", "several"), "found")
+    discard(every, often)
+    wanted = found.groupBy("m", "piece").agg(F.min(_first()).alias("o"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("several").alias("several"))
+    wanted = written(wanted, "distinct")
+    # what is left of minimizers that only identical rows share has no partner
+    lone = wanted.groupBy("m").agg(F.sum("copies").alias("c"), F.max("several").alias("s")).filter("c = 1 and not s")
+    lists = wanted.join(lone.select("m").hint("merge"), "m", "left_anti").groupBy(F.col("o.id").alias("w_id"), F.col("o.th").alias("w_th")).agg(F.collect_list(F.struct("m", "piece", "copies", F.col("o.start").alias("start"), "n")).alias("w"))
+    lists = written(lists, "wanted")
+    size = lists.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("w")).alias("n")).first()
+    fetched = texts.join(small(lists, (size.n or 0) * 56 + size.docs * 32, 1), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("doc_id", "th", "text", "w")
 
     def ship(batches):
         for batch in rebatch(batches, 512, 3 << 20):
@@ -301,25 +429,37 @@ def repeated_windows(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame
             out = [tokens.hash[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + n + min_tokens - 1).tolist())]
             row = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [x.field("m"), x.field("piece"), x.field("copies"), pa.array(np.asarray(batch.column(0).is_null())).take(row), batch.column(0).take(row), batch.column(1).take(row), x.field("start"), pa.array(out, pa.binary())],
-                names=["m", "piece", "copies", "none", "id", "th", "start", "tokens"],
+                [x.field("m"), x.field("piece"), x.field("copies"), batch.column(0).take(row), batch.column(1).take(row), x.field("start"), pa.array(out, pa.binary())], names=["m", "piece", "copies", "id", "th", "start", "tokens"]
             )
 
-    folder = scratch(spark, "suffixes")
+    folder, most, block = scratch(spark, "suffixes"), COLLECTION, BLOCK
 
     def build(batches):
-        for table in segments(batches, "m", COLLECTION):
-            # identical rows were fetched more than once
-            table = table.group_by(["m", "piece"], use_threads=False).aggregate([(c, "min" if c != "tokens" else "first") for c in ("copies", "none", "id", "th", "start", "tokens")])
-            table = table.rename_columns([c.removesuffix("_min").removesuffix("_first") for c in table.column_names])
-            yield _classes(table, folder, min_tokens)
-
-    runs = fetched.mapInArrow(ship, _SEQ).repartition("m").sortWithinPartitions("m").mapInArrow(build, _RUN)
+        """Collections of whole minimizers, from rows sorted by (m, piece)."""
+        held, last = None, None
+        for batch in rebatch(batches, 1024):
+            if not batch.num_rows:
+                continue
+            m = batch.column(0).to_numpy()
+            edge = np.flatnonzero(np.concatenate([[last is None or m[0] != last], m[1:] != m[:-1]]))
+            last, at = m[-1], 0
+            for e in edge.tolist():
+                if held is not None and held.n + e - at >= most:
+                    if e > at:
+                        held.add(batch.slice(at, e - at))
+                    yield from held.runs(min_tokens, block)
+                    held, at = None, e
+            held = held or Collection(folder)
+            held.add(batch.slice(at))
+        if held is not None:
+            yield from held.runs(min_tokens, block)
+
+    runs = written(fetched.mapInArrow(ship, _SEQ.format(kind)).repartition("m").sortWithinPartitions("m", "piece").mapInArrow(build, _RUN.format(kind)), "runs")
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")) & (F.col("start") == F.col("f_start"))
-    some = mixed.select("m", "piece", "doc_id", "th", F.col("start").alias("begin")).join(runs, ["m", "piece"]).withColumn("start", F.col("begin") + F.col("at"))
-    whole = found.filter("plain").select("doc_id", "th", "start", "n", (F.col("doc_id").eqNullSafe(F.col("lead.id")) & (F.col("th") == F.col("lead.th")) & (F.col("start") == F.col("lead.start"))).alias("is_first"))
-    out = written(some.select("doc_id", "th", "start", "n", same.alias("is_first")).unionByName(whole), "windows")
-    discard(found, wanted)
+    # a piece may stand in very many documents: its rows are joined where they are, or in several tasks
+    some = found.select("m", "piece", "doc_id", "th", F.col("start").alias("begin")).join(small(runs, runs.count(), 72), ["m", "piece"]).withColumn("start", F.col("begin") + F.col("at"))
+    out = written(some.select("doc_id", "th", "start", "n", same.alias("is_first")), "windows")
+    discard(found, wanted, lists, runs)
     return out
 
 
@@ -349,13 +489,12 @@ def without_repeats(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """
     spans = _spans(repeated_windows(docs, min_tokens), min_tokens)
     by = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start_token", "n_tokens", "is_first")).alias("s"), F.min("is_first").alias("all_first")).filter("not all_first")
-    by = written(by.select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), "s"), "spans")
-    size = by.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("s")).alias("s")).first()
     keyed, (th,) = add_columns(docs, text_hash=F.xxhash64("text"))
-    (list_name,) = fresh(keyed, "spans_")
-    by = by.withColumnsRenamed({"s": list_name})
+    id_, th_, list_name = fresh(keyed, "s_id", "s_th", "spans_")
+    by = written(by.select(F.col("doc_id").alias(id_), F.col("th").alias(th_), F.col("s").alias(list_name)), "spans")
+    size = by.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(list_name)).alias("s")).first()
     side = small(by, size.n * 48 + (size.s or 0) * 24, 1)
-    joined = keyed.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("s_id")) & (F.col(th) == F.col("s_th")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], list_name)
+    joined = keyed.join(side, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(th) == F.col(th_)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], list_name)
     names = docs.columns
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None

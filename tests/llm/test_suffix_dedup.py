@@ -8,17 +8,26 @@ from brightmill.llm import suffix_dedup as sd
 from cases import awkward
 
 
-def test_suffix_order_like_sorting(tmp_path):
+@pytest.mark.parametrize("block", [1, 3, 17, sd.BLOCK])
+def test_suffix_order_like_sorting(tmp_path, block):
+    """Also where the files are many times the block that is held in memory."""
     rng = random.Random(7)
-    for _ in range(25):
+    for _ in range(8 if block < 9 else 25):
         seqs = [[rng.randint(1, 3) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(1, 9))]
-        first = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
-        own, size, lcp = sd.suffix_order(np.array([x for s in seqs for x in s]), first, sd.Files(f"file://{tmp_path}"))
+        files = sd.Files(f"file://{tmp_path}")
+        width = max(map(len, seqs))
+        for part in (seqs[:2], seqs[2:]):
+            sd.put_columns(files, np.array([x for s in part for x in s], np.uint8), np.array([len(s) for s in part], np.int64), width)
+        files.turn(*(f"column{j}" for j in range(width)))
+        who, count = sd.suffix_order(files, len(seqs), width, 3, block)
+        own, size, lcp = files.read("own", who), files.read("size", count), files.read("lcp", count)
+        files.close()
         want = sorted([(s[i:] + [k - len(seqs)], k, len(s) - i) for k, s in enumerate(seqs) for i in range(len(s) + 1)], key=lambda x: x[0])
         assert [(k, n) for _, k, n in want] == list(zip(own.tolist(), size.tolist()))
         for a, b, n in zip(want, want[1:], lcp[1:].tolist()):
             common = next(i for i in range(99) if i >= min(len(a[0]), len(b[0])) or a[0][i] != b[0][i])
             assert n == common
+    assert not list(tmp_path.iterdir())
 
 
 def test_range_minima():
@@ -53,9 +62,10 @@ def tokens(rows):
     return out
 
 
-@pytest.mark.parametrize("m", [3, 5, 12])
-def test_like_brute_force(spark, m, monkeypatch):
-    monkeypatch.setattr(sd, "PIECE", 7)
+@pytest.mark.parametrize("m, block, collection", [(3, 50, 10), (5, sd.BLOCK, sd.COLLECTION), (12, 50, 1)])
+def test_like_brute_force(spark, m, block, collection, monkeypatch):
+    for name, value in {"PIECE": 7, "BLOCK": block, "COLLECTION": collection}.items():
+        monkeypatch.setattr(sd, name, value)
     rng = random.Random(m)
     pool = [[rng.choice("abcdef") for _ in range(rng.randint(m, 3 * m))] for _ in range(6)]
     texts = [" ".join(x for _ in range(4) for x in (rng.choice(pool) if rng.random() < 0.5 else [rng.choice("abcdefgh") for _ in range(5)])) for _ in range(40)]
@@ -81,8 +91,12 @@ def test_awkward_rows(spark):
     assert [r.text for r in rows if r.doc_id == 3] == [None] and [r.text for r in rows if r.doc_id == 4] == [""]
     assert not [r for r in rows if r.doc_id == 2]  # a copy of document 1
     assert len([r for r in rows if r.doc_id == 1]) == 3
-    assert [r.text.strip() for r in rows if r.doc_id is None and r.text] in (["end"], [])
+    assert [r.text for r in rows if r.doc_id is None and r.text] == ["end"]  # NULL ids come last, so theirs is the later copy
     assert all(r.n_chars == len(r.text) for r in rows if r.doc_id in (6, 8))
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    key = lambda r: (str(r.doc_id)[-1], r.start_token, r.n_tokens, r.is_first)
+    assert sorted(map(key, sd.repeats(named).collect())) == sorted(map(key, sd.repeats(docs).collect()))
+    assert sorted(str(r.text) for r in sd.without_repeats(named).collect()) == sorted(str(r.text) for r in rows)
     assert sd.repeats(docs.limit(0)).count() == 0 and sd.without_repeats(docs.limit(0)).count() == 0
 
 
