@@ -7,9 +7,9 @@ new one; of the open bins with one gap, the one that came to it first gets the p
 ``capacity`` is cut into full pieces, which fill bins of their own, and a remainder that is packed.
 
 The rule is sequential, so documents are spread by a hash over shards of about ``per_shard`` documents
-(a number that grows with the input; the loss is at most the open bins of each shard) and every shard is
-packed on its own, in order of doc_id, then text hash. Texts are read once for their lengths; only
-lengths are shuffled.
+(their number grows with the input) and every shard is packed on its own, in order of doc_id, then text hash. What that
+costs is the bins that each shard leaves open: measured on 243,589 documents, 62,887 bins in eight shards against 62,849
+in one (0.06 %), 62,999 with ``per_shard`` 8,192. Texts are read once for their lengths; only lengths are shuffled.
 
 Defined results: NULL and empty texts give one row with piece 0, size 0 and a NULL bin; a NULL
 ``doc_id`` is carried and sorts first; repeated rows are packed once each; an empty table gives no rows;

@@ -84,3 +84,12 @@ def test_whole_table_is_packed(spark, data):
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
     bins = {r.bin_id for r in rows if r.bin_id is not None}
     assert sum(r.n_tokens for r in rows) > 0.8 * 2048 * len(bins)
+
+
+def test_shards_cost_few_bins(spark, data):
+    """Every piece is placed once whatever the shards, and their loss is bounded."""
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    one, many = (packing.packed(docs, per_shard=n).select("doc_id", "piece", "n_tokens", "bin_id").collect() for n in (1 << 20, 2000))
+    assert sorted(r[:3] for r in one) == sorted(r[:3] for r in many)
+    bins = [len({r.bin_id for r in rows} - {None}) for rows in (one, many)]
+    assert bins[0] <= bins[1] <= 1.02 * bins[0]
