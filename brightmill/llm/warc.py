@@ -4,8 +4,7 @@ Each output file starts with a skippable Zstandard frame (magic 0x184D2A5D) that
 dictionary; after it every WARC record is one Zstandard frame compressed with that dictionary, so any
 record can be read alone from its offset. The dictionary is built from all records of its file, so it needs no
 global step: every task writes the files of its own partition, in pieces of about ``file_bytes`` of
-records. A dictionary that cannot be built (too few or too small records) is replaced by an empty raw one,
-with the same layout.
+records. Where records are too few or too small to train on, the dictionary is raw content: the beginnings of all of them.
 
 Files go to a folder that all executors share. A file is written under a name of its task attempt and
 renamed when complete, so a repeated or speculative task leaves the same file. The manifest (one row per
@@ -13,7 +12,8 @@ record) is stored beside the files.
 
 Defined results: a NULL html gives a record with an empty body; a NULL url is written as
 ``urn:null``; line breaks and blanks inside URLs are percent-encoded; a NULL page_id is carried in the manifest; repeated
-rows give repeated records with different record ids; an empty table gives no files and an empty
+rows give repeated records with different record ids; a page larger than ``limit`` closes its file, so a task holds one
+file and one page (pages end at 2 GB, where Spark's strings do); an empty table gives no files and an empty
 manifest; extra columns are ignored.
 """
 
@@ -55,22 +55,20 @@ def record(url: str | None, body: bytes, number: str, date: str = DATE) -> tuple
 
 
 def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A trained dictionary over all the records, or empty bytes where none can be trained."""
-    total = sum(map(len, records))
-    if len(records) < 8 or total < 8 * 1024:
-        return b""
+    """A dictionary from all the records: trained (on every position of every record), or else the beginnings of the
+    records as raw content."""
+    most = min(size, max(1024, sum(map(len, records)) // 10))
     try:
-        return zstandard.train_dictionary(min(size, max(1024, total // 10)), records, k=512, d=8, f=18, accel=1, level=LEVEL, notifications=0).as_bytes()
+        return zstandard.train_dictionary(most, records, k=512, d=8, f=20, accel=1, level=LEVEL, notifications=0).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(r[: max(16, most // len(records))] for r in records)[:most]
 
 
 def file_bytes(records: list[bytes]) -> tuple[bytes, list[tuple[int, int]]]:
     """The bytes of a file and (offset, length) of every record's frame."""
     raw = dictionary(records)
     out = [struct.pack("<II", MAGIC, len(raw)) + raw]
-    options = {"dict_data": zstandard.ZstdCompressionDict(raw)} if raw else {}
-    compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **options).compress
+    compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(raw)).compress
     at, where = len(out[0]), []
     for r in records:
         frame = compress(r)
@@ -85,10 +83,10 @@ def read_file(data: bytes) -> list[bytes]:
     magic, size = struct.unpack_from("<II", data)
     if magic != MAGIC:
         raise ValueError("no leading dictionary frame")
-    options = {"dict_data": zstandard.ZstdCompressionDict(data[8 : 8 + size])} if size else {}
+    words = zstandard.ZstdCompressionDict(data[8 : 8 + size])
     rest, out = data[8 + size :], []
     while rest:
-        d = zstandard.ZstdDecompressor(**options).decompressobj()
+        d = zstandard.ZstdDecompressor(dict_data=words).decompressobj()
         out.append(d.decompress(rest))
         rest = d.unused_data
     return out
