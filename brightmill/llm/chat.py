@@ -11,13 +11,15 @@ shuffle on conv_id and sorted within partitions (Spark spills); a batch never sp
 Defined results: a NULL role reads ``user``; a NULL content is empty; control markers of the template inside roles
 or contents are broken by a space (``<|`` becomes ``< |``) so that no content can open a turn; NULL turns
 sort first; repeated rows and equal turns are all kept; turns with a NULL conv_id form one conversation
-with a NULL id; an empty table gives no rows; extra columns are ignored.
+with a NULL id; conv_id may be of any orderable type; a batch has about 64 MB or one conversation, which may have 2 GB, as any
+value in Spark; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +80,13 @@ def formatted(turns: DataFrame) -> DataFrame:
         for table in segments(batches, "conv_id", 16384):
             table = table.combine_chunks()
             key = table["conv_id"].combine_chunks()
-            values, valid = key.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(key.is_valid())
-            new = np.concatenate([[True], (values[1:] != values[:-1]) | (valid[1:] != valid[:-1])])
+            valid = np.asarray(key.is_valid())
+            other = np.asarray(pc.fill_null(pc.not_equal(key[1:], key[:-1]), False))
+            new = np.concatenate([[True], other | (valid[1:] != valid[:-1])])
             text, n = assemble(new, table["role"], table["text"])
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(np.flatnonzero(new))), pa.array(n), text.cast(pa.string())], names=["conv_id", "n_turns", "chat"])
+            out = pa.RecordBatch.from_arrays([key.take(pa.array(np.flatnonzero(new))), pa.array(n), text], names=["conv_id", "n_turns", "chat"])
+            for part in [out] if out.nbytes < 1 << 30 else [out.slice(i, 1) for i in range(out.num_rows)]:
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], part.column(2).cast(pa.string())], names=part.schema.names)
 
     return rows.mapInArrow(run, f"conv_id {kind}, n_turns int, chat string")
 
