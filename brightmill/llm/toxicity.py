@@ -5,11 +5,12 @@ word between, each hashed into ``2**BITS`` buckets and counted once per text. FT
 rate per coordinate and an L1 bound, so most weights stay exactly zero; what remains is a small sorted
 (bucket, weight) table that goes to every task.
 
-Training uses at most about ``max_rows`` labelled rows (chosen by a hash of doc_id, whole texts); all
-documents are then scored over their whole texts in one pass without a shuffle.
+Training uses at most about ``max_rows`` different labelled rows (chosen by a hash of doc_id, whole texts), and of these,
+in the order of a hash, as many as have ``MAX_BYTES`` of features; all documents are then scored over their whole texts in
+one pass without a shuffle.
 
 Defined results: NULL and empty texts score the bias alone; NULL labels and NULL texts do not train;
-NULL ``doc_id`` rows are scored; repeated rows are scored alike; without a labelled row every score is
+NULL ``doc_id`` rows are scored; repeated rows train once and are scored alike; an id with both labels trains with both; without a labelled row every score is
 0 and nothing is toxic; extra columns are ignored.
 """
 
@@ -22,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import small
 from ._text import NON_WORD, Tokens, mix, rebatch
 
 BITS = 22
 #: Most labelled rows (about) that train the model.
 MAX_ROWS = 24_000
+#: Most bytes of features that are learned from (4 a feature and text).
+MAX_BYTES = 512 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 8.0, 0.0, 3
 #: Chosen on held-out rows: about one in nine documents is toxic, and recall counts.
 THRESHOLD = 0.2
@@ -101,16 +105,20 @@ class Model:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int = MAX_ROWS, l1: float = L1) -> Model:
     """Train on a bounded sample of the labelled rows, in one task fed by a parallel feature pass."""
-    marked = labels.select(F.col("doc_id").alias("k"), F.col(target).cast("int").alias("y")).filter("k is not null and y in (0, 1)")
+    marked = labels.select(F.col("doc_id").alias("k"), F.col(target).cast("int").alias("y")).filter("k is not null and y in (0, 1)").distinct()
     n = marked.count()
     share = min(1.0, max_rows / max(n, 1))
     marked = marked.filter(F.abs(F.xxhash64("k") % F.lit(1_000_000_007)) < F.lit(share * 1_000_000_007.0))
-    joined = F.broadcast(marked).join(docs.select(F.col("doc_id").alias("d"), "text"), F.col("k") == F.col("d")).filter("text is not null").select(F.xxhash64("k", "text").alias("o"), "y", "text")
+    texts = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("text"))
+    joined = texts.join(small(marked, marked.count(), 24), F.col("k") == F.col("d")).filter("text is not null").select(F.xxhash64("k", "text").alias("o"), "y", "text")
 
     def extract(batches):
+        seen = set()
         for batch in rebatch(batches, 512, 4 << 20):
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            batch = batch.filter(pa.array([not (x in seen or seen.add(x)) for x in keys], pa.bool_()))  # a task sends each row once
             tokens = Tokens(batch.column(2), NON_WORD, lower=True)
             doc, bucket = features(tokens)
             pairs = np.unique((doc.astype(np.int64) << BITS) | bucket)
@@ -118,10 +126,17 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
             index = (pairs & ((1 << BITS) - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([index[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["o", "y", "x"])
 
+    most = MAX_BYTES
+
     def learn(batches):
-        rows = [(y, np.frombuffer(x, np.int32)) for b in batches for y, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        rows, size, last = [], 0, None
+        for b in batches:
+            for o, y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if (o, y) != last and size < most:
+                    rows.append((y, np.frombuffer(x, np.int32)))
+                    size, last = size + len(x), (o, y)
         if rows:
-            model = Ftrl()
+            model = Ftrl(l1=l1)
             for _ in range(EPOCHS):
                 for y, x in rows:
                     model.learn(x, y)

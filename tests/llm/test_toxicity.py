@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import numpy as np
 
 from brightmill.llm import toxicity
@@ -29,6 +33,53 @@ def test_one_update_by_hand():
     assert np.isclose(f.weights(np.array([3]))[0], 0.4 / (1.5 / 0.5))
 
 
+def naive(rows, epochs, alpha, beta, l1, l2):
+    """FTRL-proximal with dictionaries over the feature texts themselves."""
+    z, n, bias = {}, {}, [0.0, 0.0]
+
+    def features(text):
+        w = re.findall(r"[0-9a-z_\x80-\U0010ffff]+", text.lower())
+        return {*w, *((1, *p) for p in zip(w, w[1:])), *((2, *p) for p in zip(w, w[2:]))}
+
+    def weight(f):
+        if abs(z.get(f, 0)) <= l1:
+            return 0.0
+        return -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    score = lambda fs: sum(map(weight, fs)) - bias[0] / ((beta + math.sqrt(bias[1])) / alpha)
+    for _ in range(epochs):
+        for y, text in rows:
+            fs = features(text)
+            g = 1 / (1 + math.exp(-score(fs))) - y
+            old = {f: weight(f) for f in fs}
+            b = -bias[0] / ((beta + math.sqrt(bias[1])) / alpha)
+            for f in fs:
+                before = n.get(f, 0)
+                n[f] = before + g * g
+                z[f] = z.get(f, 0) + g - (math.sqrt(n[f]) - math.sqrt(before)) / alpha * old[f]
+            before, bias[1] = bias[1], bias[1] + g * g
+            bias[0] += g - (math.sqrt(bias[1]) - math.sqrt(before)) / alpha * b
+    return lambda text: 1 / (1 + math.exp(-score(features(text)))), sorted(w for f in z if (w := weight(f)))
+
+
+def test_like_a_naive_version(spark, monkeypatch):
+    """Words, pairs and skip-pairs, the order of the rows, repeated rows, and the bound of the sample."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(("good", "fine", "day", "tree", "bad", "Awful", "été")) for _ in range(rng.randint(1, 9))) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:30], "doc_id bigint, text string")
+    marks = [(i, 1, int("bad" in t or "Awful good" in t)) for i, t in rows if i % 4]
+    labels = spark.createDataFrame(marks + marks[:9], LABELS)
+    order = {r.doc_id: r.o for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) AS o").collect()}
+    train = [(y, texts[i]) for i, _, y in sorted(marks, key=lambda m: (order[m[0]], m[2]))]
+    score, weights = naive(train, toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, 0.5, toxicity.L2)
+    model = toxicity.fit(docs, labels, l1=0.5)
+    assert np.allclose(sorted(model.weights), weights) and len(weights) > 5
+    assert all(math.isclose(r.toxicity, score(texts[r.doc_id]), rel_tol=1e-9) for r in toxicity.scored(docs, model).collect())
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 1)
+    assert len(toxicity.fit(docs, labels, l1=0.5).weights) <= len(naive(train[:1], toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, 0.5, toxicity.L2)[1])
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, None, None), (None, 1, 1), (6, 0, 0)], LABELS)
