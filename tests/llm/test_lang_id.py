@@ -56,6 +56,15 @@ def test_language_of_the_table(spark, data):
     assert sum(r.lang_id == r.declared for r in real) >= 0.95 * len(real) and len(real) > 0.9 * len(rows)
 
 
+def test_held_out_languages(spark, data):
+    """Profiles of one half of the ids on the other, without the texts that both have."""
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    model = lang_id.train(docs.filter("doc_id % 2 = 0"))
+    known = docs.filter("doc_id % 2 = 0").select("text")
+    rows = lang_id.identify(docs.filter("doc_id % 2 = 1").join(known, "text", "left_anti"), model).filter("kept").collect()
+    assert len(rows) > 300 and sum(r.lang_id == r.lang for r in rows) >= 0.95 * len(rows)
+
+
 def test_copies_train_once_and_every_language_trains(spark):
     one, two = TEXTS["de"], TEXTS["fr"]
     rows = [(one, "mixed")] * 500 + [(two, "mixed")] + [(f"{TEXTS['en']} {'abcdefghijkl'[i]} {k}", f"l{i}") for i in range(12) for k in range(2)] * 250
