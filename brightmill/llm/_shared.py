@@ -1,56 +1,17 @@
-"""Shared-folder tables, size-checked joins and column-name helpers used by the corpus operators."""
+"""Size-checked joins and column-name helpers used by the corpus operators, over the stored tables of the session."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most bytes (estimated) that a join may broadcast; larger sides are shuffled.
-BROADCAST_BYTES = 48 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent a temporary folder is made, in local mode only: on a cluster a
-    machine-local folder would be lost with its machine, so that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="brightmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
+from ..session import discard, scratch
+from ..session import stored as written
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+__all__ = ["BROADCAST_BYTES", "add_columns", "discard", "fresh", "scratch", "small", "written"]
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` stored once in the shared folder and read back: lineage ends here, and a lost executor
-    costs a reread instead of a recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._brightmill_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by ``written`` that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_brightmill_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+#: Most bytes (estimated) that a join may broadcast; larger sides are shuffled.
+BROADCAST_BYTES = 48 << 20
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

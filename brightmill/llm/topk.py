@@ -221,13 +221,13 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
             yield out()
 
     while limits.filter("open").head(1):
-        counts = slabs.select("slab", "d", "ids", "m").mapInArrow(counting(limits._brightmill_path), "qb bigint, i binary, c binary")
+        counts = slabs.select("slab", "d", "ids", "m").mapInArrow(counting(limits._stored_at), "qb bigint, i binary, c binary")
         both = limits.filter("open").unionByName(counts, allowMissingColumns=True).repartition("qb").sortWithinPartitions("qb", F.col("i").isNotNull())
         new = written(both.mapInArrow(refine, state).unionByName(limits.filter("not open")), "limits")
         discard(limits)
         limits = new
 
-    last = limits._brightmill_path
+    last = limits._stored_at
     found = f"qb bigint, q int, query_id {kind}, neighbor_id {kind}, s bigint"
 
     def keep(batches):
