@@ -133,16 +133,17 @@ class Profiles:
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, max_n: int = MAX_N, top: int = TOP) -> Profiles:
-    """Profiles from the ``per_language`` distinct texts of each label whose hashes are least, or all if there are fewer."""
+    """Profiles from the ``per_language`` distinct texts of each label whose MD5 sums are least, or all if there are fewer;
+    a profile is that of these texts one behind the other, in the order of the sums."""
     narrow = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).filter("text is not null and label is not null")
-    hashed = narrow.withColumn("h", F.xxhash64("text"))
+    hashed = narrow.withColumn("h", F.md5("text"))
     nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
     last = hashed.select("label", "h").distinct().withColumn("nth", nth).filter(F.col("nth") <= per_language).groupBy("label").agg(F.max("h").alias("last"))
     last = written(last, "last")
-    picked = hashed.join(F.broadcast(last) if last.count() < 10_000 else last, "label").filter("h <= last").select("label", "text").distinct()
+    picked = hashed.join(F.broadcast(last) if last.count() < 10_000 else last, "label").filter("h <= last").select("label", "h", "text").distinct()
 
     def profile(table: pa.Table) -> pa.Table:
-        counts: dict[int, int] = {}
+        table = table.sort_by("h")
         texts = pa.chunked_array([pa.array([" ".join(table["text"].to_pylist())], pa.large_string())])
         _, codes, _ = _ranked(_normal(texts.combine_chunks()), max_n, top)
         return pa.table({"label": pa.array([table["label"][0].as_py()]), "codes": pa.array([[int(c) for c in codes]], pa.list_(pa.int64()))})
@@ -184,3 +185,19 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with the columns of ``docs``."""
     out = identify(docs, train(docs))
     return out.filter(F.col(out.columns[-1])).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS i, * FROM documents),
+picked AS (SELECT lang, text FROM (SELECT DISTINCT lang, text FROM d WHERE lang IS NOT NULL AND text IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(text)) <= {PER_LANGUAGE}),
+raw AS (SELECT NULL AS i, lang, string_agg(text, ' ' ORDER BY md5(text)) AS text FROM picked GROUP BY lang UNION ALL SELECT i, NULL, text FROM d),
+normal AS (SELECT i, lang, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g')) AS x FROM raw),
+chars AS (SELECT i, lang, unnest(string_split(' ' || x || ' ', '')) AS a, generate_subscripts(string_split(' ' || x || ' ', ''), 1) AS p FROM normal WHERE x <> ''),
+three AS (SELECT i, lang, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS c FROM chars WINDOW w AS (PARTITION BY i, lang ORDER BY p)),
+gram AS (SELECT i, lang, 1 AS n, a AS g FROM three WHERE a <> ' ' UNION ALL SELECT i, lang, 2, a || b FROM three WHERE b IS NOT NULL UNION ALL SELECT i, lang, 3, a || b || c FROM three WHERE c IS NOT NULL),
+ranked AS (SELECT i, lang, g, row_number() OVER (PARTITION BY i, lang ORDER BY count(*) DESC, n, g) - 1 AS r FROM gram GROUP BY i, lang, n, g QUALIFY r < {TOP}),
+near AS (SELECT q.i, l.lang, sum(CASE WHEN t.r IS NULL THEN {TOP} ELSE abs(t.r - q.r) END) AS total, count(*) AS size
+  FROM ranked q CROSS JOIN (SELECT DISTINCT lang FROM picked) l LEFT JOIN ranked t ON t.lang = l.lang AND t.g = q.g WHERE q.i IS NOT NULL GROUP BY q.i, l.lang),
+best AS (SELECT i, lang, total / CAST(size * {TOP} AS DOUBLE) AS distance FROM near QUALIFY row_number() OVER (PARTITION BY i ORDER BY total, lang) = 1)
+SELECT doc_id, d.lang AS declared, coalesce(best.lang, 'und') AS lang_id, coalesce(distance, 1.0::DOUBLE) AS distance, coalesce(distance, 1) <= {MAX_DISTANCE} AS kept FROM d LEFT JOIN best USING (i)
+"""

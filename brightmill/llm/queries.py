@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, lang_id, ngram_join, packing, suffix_dedup, topk, toxicity, url_filter, warc
 
-SQL: dict[str, str] = {"op5_url_filters": url_filter.SQL, "op6_exact_top_k": topk.SQL, "op9_suffix_array_dedup": suffix_dedup.SQL, "op10_chat_formatting": chat.SQL}
+SQL: dict[str, str] = {"op5_url_filters": url_filter.SQL, "op6_exact_top_k": topk.SQL, "op8_language_id": lang_id.SQL, "op9_suffix_array_dedup": suffix_dedup.SQL, "op10_chat_formatting": chat.SQL}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
