@@ -14,6 +14,9 @@ Defined results: a NULL URL has a NULL canonical form, matches nothing and is no
 matches only rules that match the empty text; repeated rows each give a row; NULL ids are carried; no
 rules, or an empty table, give no matches or no rows; extra columns are ignored; long URLs are matched
 whole. Characters are Unicode code points.
+
+Rules are a parameter: a list, or a table of them (``rules_of``) of at most ``RULE_BYTES``. RULES is an example that fits the
+URLs of the test tables. As many URLs are matched at once as their states fit ``STATE_BYTES``.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 
 from ._text import rebatch
 
+#: Most bytes of globs that are sent to every task; states of a batch.
+RULE_BYTES, STATE_BYTES = 16 << 20, 32 << 20
 #: (rule id, glob): hosts and paths that a crawl filter would refuse.
 RULES = [
     (1, "*://*casino*"), (2, "*://*pills*"), (3, "*://*free-bets*"), (4, "*://*ads-track*"), (5, "*://ads.*"),
@@ -111,6 +116,17 @@ class Automaton:
         return out
 
 
+def rules_of(table: DataFrame, rule: str = "rule_id", glob: str = "glob", blocks: str = "blocks") -> tuple[list, tuple]:
+    """(rules, blocking) for ``filtered`` from a table, such as a filter list read from files; its size is checked before it
+    is collected. Rows with a NULL id or glob are left out; of an id with several globs each is a rule."""
+    rows = table.select(F.col(rule).alias("i"), F.col(glob).alias("g"), F.coalesce(F.col(blocks), F.lit(False)).alias("b")).filter("i is not null and g is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("g") + 16)).first()[0] or 0
+    if size > RULE_BYTES:
+        raise ValueError(f"the rules have {size} bytes, {RULE_BYTES} at most are sent to every task")
+    found = rows.orderBy("i", "g").collect()
+    return [(r.i, r.g) for r in found], tuple(sorted({r.i for r in found if r.b}))
+
+
 def filtered(pages: DataFrame, rules=RULES, blocking=BLOCKING, key: str = "page_id", url: str = "url") -> DataFrame:
     """One row per page: key, canonical_url, matched (rule ids in order, comma-separated) and blocked."""
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, canonical_url string, matched string, blocked boolean"
@@ -120,7 +136,8 @@ def filtered(pages: DataFrame, rules=RULES, blocking=BLOCKING, key: str = "page_
         automaton = Automaton(rules)
         bad = np.array([i in refuse for i in automaton.ids], bool)
         names = [str(i) for i in automaton.ids]
-        for batch in rebatch(batches, 8192):
+        rows = max(1, min(8192, STATE_BYTES // (8 * automaton.words + len(names))))
+        for batch in rebatch(batches, rows):
             urls = batch.column(1)
             found = automaton.matches(pc.fill_null(urls, "").to_pylist())
             found &= np.asarray(urls.is_valid())[:, None]

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from brightmill.llm import url_filter
 
 
@@ -25,3 +27,18 @@ def test_awkward_rows(spark):
     assert [(r.page_id, r.matched, r.blocked) for r in rows] == [(None, "1,8", True), (1, "", False), (2, "", False), (3, "7", False), (3, "7", False), (4, "", False)]
     assert rows[0].canonical_url == "http://casino.example/a" and rows[1].canonical_url is None
     assert url_filter.filtered(pages, rules=[]).filter("matched <> ''").count() == 0 and url_filter.filtered(pages.limit(0)).count() == 0
+
+
+def test_rules_of_a_table(spark, monkeypatch):
+    rows = [(2, "*b*", True), (1, "*a*", None), (2, "*b*", True), (3, None, True), (None, "*", True), (4, "?" * 200, False)]
+    table = spark.createDataFrame(rows, "rule_id int, glob string, blocks boolean")
+    rules, blocking = url_filter.rules_of(table)
+    assert rules == [(1, "*a*"), (2, "*b*"), (4, "?" * 200)] and blocking == (2,)
+    pages = spark.createDataFrame([(1, "x://a"), (2, "x://ab"), (3, "x://" + "c" * 196)], "page_id bigint, url string")
+    want = [("1", False), ("1,2", True), ("4", False)]
+    assert [(r.matched, r.blocked) for r in url_filter.filtered(pages, rules, blocking).orderBy("page_id").collect()] == want
+    monkeypatch.setattr(url_filter, "STATE_BYTES", 1)
+    assert [(r.matched, r.blocked) for r in url_filter.filtered(pages, rules, blocking).orderBy("page_id").collect()] == want
+    monkeypatch.setattr(url_filter, "RULE_BYTES", 10)
+    with pytest.raises(ValueError):
+        url_filter.rules_of(table)
