@@ -4,12 +4,14 @@ A text is a sequence of blank-separated tokens. A window is ``min_tokens`` conse
 the same window stands elsewhere in the corpus (another document, or another place of the same one). Of
 the copies of a window the one with the least (doc_id, text hash, position) is the first; NULL ids last.
 
-1. Windows are grouped by two minimizers (the least hash of a 10-gram inside, under two hash functions). Neighbouring
-   windows with the same minimizers form a piece; equal windows always fall under equal minimizers, so minimizers
-   seen in one piece only cannot repeat and are dropped. They are counted before they are shuffled, so minimizers of
-   boilerplate gather in no task.
-2. The distinct pieces of the other minimizers, one copy each (two pieces are one if their minimizers and their 64-bit
-   hashes agree), form document collections. For each collection the suffix order is built by column-wise insertion (BCR):
+1. Windows are grouped by their minimizer (the least hash of a 10-gram inside). Neighbouring windows with
+   one minimizer form a piece; equal windows always fall under equal minimizers, so minimizers seen in one piece only cannot
+   repeat and are dropped. They are counted before they are shuffled, so a minimizer of boilerplate gathers in no task.
+   Two pieces are one if their minimizers and their 64-bit hashes agree (128 bits that depend on all tokens); a piece that is
+   the only one of its minimizer repeats as a whole, and has no partner to be compared with.
+2. The other distinct pieces, one copy each, form document collections. Where a minimizer has more than ``COLLECTION`` of
+   them, they are cut again by further minimizers (other hash functions), as many as halvings are needed, and equal windows
+   still meet. For each collection the suffix order is built by column-wise insertion (BCR):
    in round j the suffix of length j of every piece is inserted, i.e. one symbol per piece goes into the collection's
    Burrows-Wheeler transform at the place its last-to-first mapping gives, and the common prefixes with the new
    neighbours follow from range minima of the previous round's. Symbols stand in one external file per column; transform,
@@ -19,7 +21,7 @@ the copies of a window the one with the least (doc_id, text hash, position) is t
    in blocks, too.
 
 A task holds a block, and a few numbers per piece and per different token of a collection; suffixes and symbols are on
-disk. A collection has about ``COLLECTION`` pieces, more only if one pair of minimizers has more distinct pieces. Texts are
+disk. A collection has about ``COLLECTION`` pieces, more only if so many share all their minimizers. Texts are
 read twice and not shuffled, unless the list of pieces to fetch exceeds the broadcast limit.
 
 Defined results: NULL, empty and shorter than ``min_tokens`` texts have no windows; identical rows (same id
@@ -238,7 +240,7 @@ def suffix_order(files: Files, m: int, width: int, n_symbols: int, block: int =
 
 
 def pieces(tokens: Tokens, min_tokens: int = MIN_TOKENS, gram: int = GRAM):
-    """Arrays of all pieces: document, minimizers, piece hash, start (token in the document), windows, and
+    """Arrays of all pieces: document, minimizer, piece hash, start (token in the document), windows, and
     whether the minimizer stands at several places in it."""
     empty = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
     h = tokens.hash
@@ -248,11 +250,10 @@ def pieces(tokens: Tokens, min_tokens: int = MIN_TOKENS, gram: int = GRAM):
     if len(g) < w:
         return empty
     least = windows_min(g, w)
-    key = mix(least + mix(windows_min(mix(g ^ U(0x2545F4914F6CDD1D)), w)))
     counts = tokens.counts()
     doc = np.repeat(np.arange(len(counts)), counts)[: len(least)]
     valid = np.arange(len(least)) + min_tokens <= tokens.first[doc + 1]
-    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (valid[1:] != valid[:-1])]))
+    edge = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (valid[1:] != valid[:-1])]))
     n = np.diff(np.append(edge, len(least)))
     ok = valid[edge]
     start, n = edge[ok], n[ok]
@@ -265,7 +266,6 @@ def pieces(tokens: Tokens, min_tokens: int = MIN_TOKENS, gram: int = GRAM):
         e = (start[at : at + 8192] + n[at : at + 8192])[:, None] + np.arange(w - 1)
         times[at : at + 8192] += (g[np.minimum(e, len(g) - 1)] == m[at : at + 8192, None]).sum(1)
     several = times > 1
-    m = key[start]
     if n.max() > PIECE:
         parts = -(-n // PIECE)
         row = np.repeat(np.arange(len(n)), parts)
@@ -279,11 +279,27 @@ def pieces(tokens: Tokens, min_tokens: int = MIN_TOKENS, gram: int = GRAM):
     return d, m, piece, start - tokens.first[d], n, several
 
 
+def recut(h: np.ndarray, m: np.ndarray, begin: np.ndarray, n: np.ndarray, cuts: np.ndarray, min_tokens: int, gram: int = GRAM):
+    """Pieces (places in ``h`` and windows) cut by ``cuts`` further minimizers each: index of the piece, key, first window in
+    it, and windows of every part. Without cuts a piece is one part, with its minimizer as the key."""
+    plain = np.flatnonzero(cuts == 0)
+    parts = [(plain, m[plain], np.zeros(len(plain), np.int64), n[plain].astype(np.int64))]
+    gram = min(gram, min_tokens)
+    for i in np.flatnonzero(cuts).tolist():
+        g = grams(h[begin[i] : begin[i] + n[i] + min_tokens - 1], gram)
+        key = np.full(n[i], m[i])
+        for c in range(cuts[i]):
+            key = mix(key + windows_min(mix(g ^ U(0x2545F4914F6CDD1D + 2 * c)), min_tokens - gram + 1))
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        parts.append((np.full(len(edge), i), key[edge], edge, np.diff(np.append(edge, n[i]))))
+    return (np.concatenate(x) for x in zip(*parts))
+
+
 def _first() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"))
 
 
-_SEQ = "m bigint, piece bigint, copies bigint, id {0}, th bigint, start int, tokens binary"
+_SEQ = "key bigint, m bigint, piece bigint, skip int, copies bigint, id {0}, th bigint, start int, tokens binary"
 _RUN = "m bigint, piece bigint, at int, n int, f_none boolean, f_id {0}, f_th bigint, f_start int"
 
 
@@ -295,18 +311,18 @@ class Collection:
         self.known = np.zeros(0, np.uint64)
 
     def add(self, batch: pa.RecordBatch) -> None:
-        """Rows sorted by (m, piece); of equal ones (identical rows of documents) the first counts."""
-        m, piece = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.concatenate([[(m[0], piece[0]) != self.last], (m[1:] != m[:-1]) | (piece[1:] != piece[:-1])])
-        self.last = (m[-1], piece[-1])
+        """Rows sorted by (key, m, piece, skip); of equal ones (identical rows of documents) the first counts."""
+        name = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+        new = np.concatenate([[self.last is None or (name[0] != self.last).any()], (name[1:] != name[:-1]).any(1)])
+        self.last = name[-1]
         batch = batch.filter(pa.array(new))
         if not batch.num_rows:
             return
-        raw = [np.frombuffer(x, np.uint64) for x in batch.column(6).to_pylist()]
+        raw = [np.frombuffer(x, np.uint64) for x in batch.column(8).to_pylist()]
         length = np.array([len(x) for x in raw])
         self.known = np.union1d(self.known, np.concatenate(raw))
         self.files.append("text", np.concatenate(raw))
-        self.rows.append((batch.select(["m", "piece", "copies", "id", "th", "start"]), length))
+        self.rows.append((batch.select(["m", "piece", "skip", "copies", "id", "th", "start"]), length))
         self.n += batch.num_rows
         self.width = max(self.width, int(length.max()))
 
@@ -341,7 +357,7 @@ def _rank(ids: pa.ChunkedArray) -> np.ndarray:
 
 def _classes(table: pa.Table, length: np.ndarray, files: Files, who, count, min_tokens: int, block: int):
     """Runs of repeated windows, read off the ordered suffixes in blocks of whole classes of equal windows."""
-    copies, th, start = (table[c].to_numpy() for c in ("copies", "th", "start"))
+    copies, th, start, skip = (table[c].to_numpy() for c in ("copies", "th", "start", "skip"))
     ident = _rank(table["id"])
     kept = [np.zeros(0, np.int64)] * 3
     blocks = zip(files.blocks("own", who, block), files.blocks("size", count, block), files.blocks("lcp", count, block))
@@ -373,11 +389,12 @@ def _classes(table: pa.Table, length: np.ndarray, files: Files, who, count, min_
         seq, at, f_seq, f_at = (x[order] for x in (seq, at, f_seq, f_at))
         new = np.flatnonzero(np.concatenate([[True], (np.diff(seq) != 0) | (np.diff(at) != 1) | (np.diff(f_seq) != 0) | (np.diff(f_at) != 1)]))
         n = np.diff(np.append(new, len(seq)))
+        at = at[new] + skip[seq[new]]
         s, f = pa.array(seq[new]), pa.array(f_seq[new])
         first = table.select(["id", "th", "start"]).take(f).combine_chunks()
         ids = first["id"].combine_chunks()
         yield pa.RecordBatch.from_arrays(
-            [table["m"].combine_chunks().take(s), table["piece"].combine_chunks().take(s), pa.array(at[new].astype(np.int32)), pa.array(n.astype(np.int32)), ids.is_null(), ids, first["th"].combine_chunks(), pa.array((first["start"].to_numpy() + f_at[new]).astype(np.int32))],
+            [table["m"].combine_chunks().take(s), table["piece"].combine_chunks().take(s), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), ids.is_null(), ids, first["th"].combine_chunks(), pa.array((first["start"].to_numpy() + f_at[new]).astype(np.int32))],
             names=["m", "piece", "at", "n", "f_none", "f_id", "f_th", "f_start"],
         )
 
@@ -408,11 +425,13 @@ def repeated_windows(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame
     found = every.join(small(often, often.count(), 16), "m").dropDuplicates(["m", "piece", "doc_id", "th", "start"])  # identical rows count once
     found = written(found.select("m", "piece", "doc_id", "th", "start", "n", "several"), "found")
     discard(every, often)
-    wanted = found.groupBy("m", "piece").agg(F.min(_first()).alias("o"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("several").alias("several"))
-    wanted = written(wanted, "distinct")
-    # what is left of minimizers that only identical rows share has no partner
-    lone = wanted.groupBy("m").agg(F.sum("copies").alias("c"), F.max("several").alias("s")).filter("c = 1 and not s")
-    lists = wanted.join(lone.select("m").hint("merge"), "m", "left_anti").groupBy(F.col("o.id").alias("w_id"), F.col("o.th").alias("w_th")).agg(F.collect_list(F.struct("m", "piece", "copies", F.col("o.start").alias("start"), "n")).alias("w"))
+    distinct = found.groupBy("m", "piece").agg(F.min(_first()).alias("o"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("several").alias("several"))
+    distinct = written(distinct, "distinct")
+    shared = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("pieces"), F.max("several").alias("s"))
+    distinct_ = distinct.join(shared.hint("merge"), "m")
+    whole = distinct_.filter("pieces = 1 and not s and copies > 1")
+    cuts = F.greatest(F.lit(0), F.ceil(F.log2(F.col("pieces") / F.lit(COLLECTION)))).cast("int")
+    lists = distinct_.filter("pieces > 1 or s").groupBy(F.col("o.id").alias("w_id"), F.col("o.th").alias("w_th")).agg(F.collect_list(F.struct("m", "piece", "copies", F.col("o.start").alias("start"), "n", cuts.alias("cuts"))).alias("w"))
     lists = written(lists, "wanted")
     size = lists.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("w")).alias("n")).first()
     fetched = texts.join(small(lists, (size.n or 0) * 56 + size.docs * 32, 1), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("doc_id", "th", "text", "w")
@@ -423,19 +442,21 @@ def repeated_windows(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame
             w = batch.column(3)
             x = w.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(w.offsets)))
-            start = x.field("start").to_numpy()
-            n = x.field("n").to_numpy()
+            m, start, n, cuts = (x.field(c).to_numpy() for c in ("m", "start", "n", "cuts"))
             begin = tokens.first[row] + start
-            out = [tokens.hash[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + n + min_tokens - 1).tolist())]
-            row = pa.array(row)
+            part, key, skip, length = recut(tokens.hash, m.view(np.uint64), begin, n, cuts, min_tokens)
+            begin = begin[part] + skip
+            out = [tokens.hash[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + length + min_tokens - 1).tolist())]
+            row, part_ = pa.array(row[part]), pa.array(part)
             yield pa.RecordBatch.from_arrays(
-                [x.field("m"), x.field("piece"), x.field("copies"), batch.column(0).take(row), batch.column(1).take(row), x.field("start"), pa.array(out, pa.binary())], names=["m", "piece", "copies", "id", "th", "start", "tokens"]
+                [pa.array(key.view(np.int64)), *(x.field(c).take(part_) for c in ("m", "piece")), pa.array(skip.astype(np.int32)), x.field("copies").take(part_), batch.column(0).take(row), batch.column(1).take(row), pa.array((start[part] + skip).astype(np.int32)), pa.array(out, pa.binary())],
+                names=["key", "m", "piece", "skip", "copies", "id", "th", "start", "tokens"],
             )
 
     folder, most, block = scratch(spark, "suffixes"), COLLECTION, BLOCK
 
     def build(batches):
-        """Collections of whole minimizers, from rows sorted by (m, piece)."""
+        """Collections of whole keys, from rows sorted by (key, m, piece, skip)."""
         held, last = None, None
         for batch in rebatch(batches, 1024):
             if not batch.num_rows:
@@ -454,12 +475,14 @@ def repeated_windows(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame
         if held is not None:
             yield from held.runs(min_tokens, block)
 
-    runs = written(fetched.mapInArrow(ship, _SEQ.format(kind)).repartition("m").sortWithinPartitions("m", "piece").mapInArrow(build, _RUN.format(kind)), "runs")
+    ordered = written(fetched.mapInArrow(ship, _SEQ.format(kind)).repartition("key").sortWithinPartitions("key", "m", "piece", "skip").mapInArrow(build, _RUN.format(kind)), "ordered")
+    plain = whole.select("m", "piece", F.lit(0).alias("at"), "n", F.col("o.none").alias("f_none"), F.col("o.id").alias("f_id"), F.col("o.th").alias("f_th"), F.col("o.start").alias("f_start"))
+    runs = written(ordered.unionByName(plain), "runs")
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")) & (F.col("start") == F.col("f_start"))
     # a piece may stand in very many documents: its rows are joined where they are, or in several tasks
     some = found.select("m", "piece", "doc_id", "th", F.col("start").alias("begin")).join(small(runs, runs.count(), 72), ["m", "piece"]).withColumn("start", F.col("begin") + F.col("at"))
     out = written(some.select("doc_id", "th", "start", "n", same.alias("is_first")), "windows")
-    discard(found, wanted, lists, runs)
+    discard(found, distinct, lists, ordered, runs)
     return out
 
 

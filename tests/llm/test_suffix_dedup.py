@@ -62,7 +62,7 @@ def tokens(rows):
     return out
 
 
-@pytest.mark.parametrize("m, block, collection", [(3, 50, 10), (5, sd.BLOCK, sd.COLLECTION), (12, 50, 1)])
+@pytest.mark.parametrize("m, block, collection", [(3, 50, 10), (5, sd.BLOCK, sd.COLLECTION), (12, 50, 1), (5, sd.BLOCK, 1)])
 def test_like_brute_force(spark, m, block, collection, monkeypatch):
     for name, value in {"PIECE": 7, "BLOCK": block, "COLLECTION": collection}.items():
         monkeypatch.setattr(sd, name, value)
