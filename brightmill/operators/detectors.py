@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,16 +59,29 @@ def sites(facts: DataFrame) -> DataFrame:
     return rows.withColumn("resolved", dotted(F.col("full"), F.col("head"), F.col("tail"))).withColumn("owner", dotted(F.col("owner_full"), F.col("recv_head"), F.col("recv_tail")))
 
 
+def quoted(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# Conditions over long lists are written as SQL: one expression is parsed instead of hundreds of calls to the JVM.
+
+
 def _any(tests) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+    return F.expr("(" + " OR ".join(tests) + ")")
+
+
+def _starts(column: str, prefixes) -> Column:
+    return _any(f"startswith({column}, {quoted(p)})" for p in prefixes)
 
 
-def _starts(c: Column, prefixes) -> Column:
-    return _any([c.startswith(p) for p in prefixes])
+def _ends(column: str, suffixes) -> Column:
+    return _any(f"endswith({column}, {quoted(s)})" for s in suffixes)
 
 
-def _ends(c: Column, suffixes) -> Column:
-    return _any([c.endswith(s) for s in suffixes])
+def _first(cases) -> Column:
+    """The value of the first condition that holds, of (condition, value) as SQL."""
+    return F.expr("CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in cases) + " END")
 
 
 @dataclass(frozen=True)
@@ -98,8 +110,8 @@ def network(rules=R.NETWORK_CALLS) -> list[Rule]:
     """SEND: known calls by dotted prefix and suffix, socket-like calls, imported HTTP names, calls on tracked
     clients, and literal URLs."""
     r, full = F.col("resolved"), F.col("full")
-    label = F.coalesce(*[F.when(r.startswith(m) & r.endswith(n), f"{m}.{n}") for m, n in rules])
-    known = _any([full.endswith(f"{m}.{n}") | full.startswith(f"{m}.{n}") for m, n in rules])
+    label = _first((f"startswith(resolved, {quoted(m)}) AND endswith(resolved, {quoted(n)})", quoted(f"{m}.{n}")) for m, n in rules)
+    known = _any(f"{f}(full, {quoted(f'{m}.{n}')})" for m, n in rules for f in ("endswith", "startswith"))
     http = full.contains("urllib.request") | (
         full.contains("http") & ~full.contains("urllib.parse") & ~full.contains("qdrant_client.http.models") & ~F.element_at(F.split(full, r"\."), -1).isin(R.HTTP_SETTINGS) & ~full.startswith("mcp.server")
     )
@@ -108,7 +120,7 @@ def network(rules=R.NETWORK_CALLS) -> list[Rule]:
     target = F.when(_is("attr"), F.coalesce(r, "name")).otherwise(F.coalesce(full, "name"))
     return [
         Rule(_is("attr") & label.isNotNull(), "SEND", label, 0.95),
-        Rule(_is("attr") & label.isNull() & _ends(r, R.SOCKET_ENDS) & ~_starts(r, R.LOCAL_DATABASES), "SEND", r, 0.85),
+        Rule(_is("attr") & label.isNull() & _ends("resolved", R.SOCKET_ENDS) & ~_starts("resolved", R.LOCAL_DATABASES), "SEND", r, 0.85),
         Rule(bare & (known | http), "SEND", full, F.when(known, 0.9).otherwise(0.8)),
         Rule(F.col("client").isNotNull() & F.col("name").isin(R.CLIENT_VERBS), "SEND", F.concat_ws(".", "client", "name"), 0.95, 2),
         Rule((_is("attr") | _is("name")) & F.col("name").isin(R.URL_VERBS) & (F.size(urls) > 0), "SEND", F.concat(target, F.lit(" -> "), F.get(urls, F.lit(0))), 0.9, 3),
@@ -128,8 +140,8 @@ def file_access() -> list[Rule]:
         Rule(_is("attr") & name.isin("load", "loads") & F.col("arg0_open"), "READ", F.concat(owner, F.lit("."), name, F.lit("(<open(...)>)")), 0.9, 4),
         Rule(_is("attr") & F.col("owner").startswith("shutil") & name.isin(R.SHUTIL_WRITES), "WRITE", call_text, 0.9, 5),
         Rule(_is("attr") & F.col("owner").startswith("os") & name.isin(R.OS_WRITES), "WRITE", call_text, 0.9, 6),
-        Rule(_is("name") & full.startswith("os.") & _ends(full, ["." + x for x in R.OS_WRITES]), "WRITE", full, 0.9, 7),
-        Rule(_is("name") & full.startswith("shutil.") & _ends(full, ["." + x for x in R.SHUTIL_WRITES]), "WRITE", full, 0.9, 8),
+        Rule(_is("name") & full.startswith("os.") & _ends("full", ["." + x for x in R.OS_WRITES]), "WRITE", full, 0.9, 7),
+        Rule(_is("name") & full.startswith("shutil.") & _ends("full", ["." + x for x in R.SHUTIL_WRITES]), "WRITE", full, 0.9, 8),
         Rule(_is("name") & (full.contains("pathlib") | full.contains("Path")) & (full.contains("read_text") | full.contains("read_bytes")), "READ", full, 0.9, 9),
         Rule(_is("with"), way, F.concat(F.lit("with open(..., mode="), "mode_repr", F.lit(")")), sure, 10),
     ]
@@ -138,7 +150,7 @@ def file_access() -> list[Rule]:
 def secrets(rules=R.SECRET_CALLS, methods=R.SECRET_METHODS) -> list[Rule]:
     """SECRETS (own design): environment, keyring, dotenv and vault reads; os.environ subscripts."""
     r, key = F.col("resolved"), F.col("arg0")
-    sure = F.coalesce(*[F.when(r == name, p) for name, p in rules], *[F.when(_is("attr") & (F.col("name") == name), p) for name, p in methods])
+    sure = _first([*((f"resolved = {quoted(name)}", f"{p}D") for name, p in rules), *((f"kind = 'attr' AND name = {quoted(name)}", f"{p}D") for name, p in methods)])
     shown = F.when(key.isNotNull(), F.concat(r, F.lit("('"), key, F.lit("')"))).otherwise(F.concat(r, F.lit("()")))
     subscript = F.when(key.isNotNull(), F.concat(F.lit("os.environ['"), key, F.lit("']"))).otherwise("os.environ[...]")
     return [Rule((_is("attr") | _is("name")) & sure.isNotNull(), "SECRETS", shown, sure), Rule(_is("subscript") & (r == "os.environ"), "SECRETS", subscript, 0.9)]
@@ -147,7 +159,7 @@ def secrets(rules=R.SECRET_CALLS, methods=R.SECRET_METHODS) -> list[Rule]:
 def dynamic_exec() -> list[Rule]:
     """DYNAMIC: evaluation and import by name; an import of a literal name does not count."""
     name, full = F.col("name"), F.col("full")
-    listed = name.isin(R.DYNAMIC_NAMES) | F.coalesce(_ends(full, ["." + x for x in R.DYNAMIC_NAMES]), F.lit(False))
+    listed = name.isin(R.DYNAMIC_NAMES) | F.coalesce(_ends("full", ["." + x for x in R.DYNAMIC_NAMES]), F.lit(False))
     bare = _is("name") & listed & ~((name == "__import__") & F.col("arg0_str"))
     return [
         Rule(bare, "DYNAMIC", F.coalesce(F.nullif(full, F.lit("")), name), F.when(name.isin("eval", "exec"), 0.95).otherwise(0.9)),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from .detectors import last_of
+from .detectors import last_of, quoted
 from .findings import union_all
 
 KEYS = ["project", "path", "rel"]
@@ -29,9 +29,9 @@ def origins(imports: Column) -> Column:
     )
 
 
-def framework_of(module: Column, frameworks=R.FRAMEWORKS) -> Column:
-    """Framework of a module: the first entry that equals it or is a dotted prefix of it."""
-    return F.coalesce(*[F.when((module == p) | module.startswith(p + "."), name) for p, name in frameworks])
+def framework_of(module: str, frameworks=R.FRAMEWORKS) -> Column:
+    """Framework of a module (a column's name): the first entry that equals it or is a dotted prefix of it."""
+    return F.expr("CASE " + " ".join(f"WHEN {module} = {quoted(p)} OR startswith({module}, {quoted(p + '.')}) THEN {quoted(name)}" for p, name in frameworks) + " END")
 
 
 def _within(module: Column, prefixes: Column) -> Column:
@@ -58,9 +58,9 @@ def _decorated(d: DataFrame, table) -> DataFrame:
     hint = lambda c: F.lower(c).isin(R.MCP_NAMES)
     default = F.coalesce(*[F.when(F.col("key") == k, v) for k, v in table.items()])
     pick = F.coalesce(
-        F.when(framework_of(F.col("of_receiver")).isNotNull(), F.struct(framework_of(F.col("of_receiver")).alias("framework"), F.lit(0.95).alias("confidence"))),
-        F.when(framework_of(F.col("of_key")).isNotNull(), F.struct(framework_of(F.col("of_key")).alias("framework"), F.lit(0.95).alias("confidence"))),
-        F.when(framework_of(F.col("made_of")).isNotNull(), F.struct(framework_of(F.col("made_of")).alias("framework"), F.lit(0.8).alias("confidence"))),
+        F.when(framework_of("of_receiver").isNotNull(), F.struct(framework_of("of_receiver").alias("framework"), F.lit(0.95).alias("confidence"))),
+        F.when(framework_of("of_key").isNotNull(), F.struct(framework_of("of_key").alias("framework"), F.lit(0.95).alias("confidence"))),
+        F.when(framework_of("made_of").isNotNull(), F.struct(framework_of("made_of").alias("framework"), F.lit(0.8).alias("confidence"))),
         F.when(F.col("of_receiver").isNotNull(), F.struct(F.when(hint(F.col("receiver")), "mcp").otherwise(R.UNKNOWN_FRAMEWORK).alias("framework"), F.lit(0.7).alias("confidence"))),
         F.when(F.col("of_key").isNotNull(), F.struct(F.when(hint(F.col("key")), "mcp").otherwise(R.UNKNOWN_FRAMEWORK).alias("framework"), F.lit(0.7).alias("confidence"))),
         F.when(hint(F.col("receiver")), F.struct(F.lit("mcp").alias("framework"), F.lit(0.6).alias("confidence"))),
@@ -75,7 +75,7 @@ def _classes(d: DataFrame, table, decorators) -> DataFrame:
     rows = d.select(*KEYS, F.explode(one).alias("x")).select(*KEYS, "x.b.*", "x.module")
     first = Window.partitionBy("project", "path", "ord").orderBy("nth")
     rows = rows.withColumn("n", F.row_number().over(first)).filter("n = 1 and label is not null")
-    known = framework_of(F.col("module"))
+    known = framework_of("module")
     default = F.coalesce(*[F.when(F.col("base") == k, v) for k, v in table.items()])
     sure = F.when(known.isNotNull(), 0.95).when(F.col("module").isNull(), 0.6).otherwise(0.7)
     return rows.select(*KEYS, F.col("label").alias("name"), F.col("line").alias("lineno"), F.coalesce(known, default).alias("framework"), F.lit("class_attribute").alias("pattern_type"), sure.alias("confidence"), F.lit(2).alias("step"), "ord", F.lit(0).alias("sub"))
@@ -102,9 +102,9 @@ def _factories(d: DataFrame, table) -> DataFrame:
     rows = rows.withColumn("made", F.when(F.col("shape") == "single", single).otherwise(listed)).select("*", F.posexplode("made").alias("sub", "m")).filter("m.name is not null")
     line = F.coalesce(F.try_element_at(F.filter("functions", lambda f: f["name"] == F.col("m.ref")), F.lit(1))["line"], F.col("line"))
     candidates = [last_of(F.col("origins"), "local", F.col("needs"), "module"), F.col("of_called"), F.col("of_receiver")]
-    module = F.coalesce(*candidates)
-    sure = F.when(framework_of(module).isNotNull(), 0.95).when(module.isNotNull(), 0.7).otherwise(0.6)
-    return rows.select(*KEYS, F.col("m.name").alias("name"), line.alias("lineno"), F.coalesce(framework_of(module), F.col("label")).alias("framework"), F.lit("registration_call").alias("pattern_type"), sure.alias("confidence"), F.lit(1).alias("step"), "ord", "sub")
+    rows = rows.withColumn("module", F.coalesce(*candidates))
+    sure = F.when(framework_of("module").isNotNull(), 0.95).when(F.col("module").isNotNull(), 0.7).otherwise(0.6)
+    return rows.select(*KEYS, F.col("m.name").alias("name"), line.alias("lineno"), F.coalesce(framework_of("module"), F.col("label")).alias("framework"), F.lit("registration_call").alias("pattern_type"), sure.alias("confidence"), F.lit(1).alias("step"), "ord", "sub")
 
 
 def python_entry_points(facts: DataFrame, decorators=R.DECORATORS, bases=R.BASE_CLASSES, factories=R.FACTORIES) -> DataFrame:

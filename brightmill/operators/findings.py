@@ -73,14 +73,14 @@ def exit_code(found: DataFrame, severity: str = "high") -> DataFrame:
 def languages(paths: DataFrame) -> DataFrame:
     """Files per other language and project, from paths(project, path), most first."""
     extension = F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1))
-    pairs = [x for k, v in R.LANGUAGES.items() for x in (F.lit(k), F.lit(v))]
-    kept = paths.filter(~excluded(F.col("path"), R.LANGUAGE_SKIPS)).withColumn("language", F.try_element_at(F.create_map(*pairs), extension)).filter("language is not null")
+    names = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in R.LANGUAGES.items()) + ")")
+    kept = paths.filter(~excluded(F.col("path"), R.LANGUAGE_SKIPS)).withColumn("language", F.try_element_at(names, extension)).filter("language is not null")
     return kept.groupBy("project", "language").agg(F.count(F.lit(1)).alias("count"))
 
 
 def excluded(path: Column, parts) -> Column:
     """Whether some component of the path, in any letter case, is one of ``parts``."""
-    return F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*[F.lit(p) for p in parts]))
+    return F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*map(F.lit, parts)))
 
 
 def state_counts(found: DataFrame) -> DataFrame:

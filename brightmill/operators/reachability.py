@@ -56,7 +56,7 @@ def closure(begin: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame
     levels = [seen]
     links = edges.select("project", F.col("src_rel").alias("rel"), F.col("src").alias("qual"), "dst_rel", "dst")
     for level in range(1, depth + 1):
-        now = seen.filter(F.col("hops") == level - 1).join(links, node)
+        now = levels[-1].join(links, node)
         now = now.select("project", F.col("dst_rel").alias("rel"), F.col("dst").alias("qual"), "ep", "ep_ord", F.concat("path", F.array("dst")).alias("path"), F.concat("files", F.array("dst_rel")).alias("files"))
         new = now.join(seen.select(node), node, "left_anti").groupBy(node).agg(F.min(step).alias("b")).select(*node, "b.*", F.lit(level).alias("hops"))
         new = stored(new, "closure")

@@ -17,7 +17,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def lines_of(rows: DataFrame, keys: list[str], order: str, line: str) -> DataFrame:
-    """One row per key with ``text``: the lines of its rows in order, one below the other."""
+    """One row per key with ``text``: the lines of its rows in order, one below the other. Partitions are not merged by
+    their few bytes, as what follows (parsing) costs time by the line."""
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     in_order = F.array_sort(F.collect_list(F.struct(order, line)))
     return rows.groupBy(*keys).agg(F.array_join(F.transform(in_order, lambda x: x[line]), "\n").alias("text"))
 

@@ -478,5 +478,5 @@ def ts_context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def framework_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every framework prefix resolves to its framework, with and without a submodule."""
     names = R.table(spark, [(p,) for p, _ in R.FRAMEWORKS], "prefix string")
-    deeper = names.select("prefix", entry_points.framework_of(F.concat("prefix", F.lit(".tools"))).alias("framework"))
-    return names.select("prefix", entry_points.framework_of(F.col("prefix")).alias("framework")).union(deeper).distinct()
+    deeper = names.withColumn("module", F.concat("prefix", F.lit(".tools"))).select("prefix", entry_points.framework_of("module").alias("framework"))
+    return names.select("prefix", entry_points.framework_of("prefix").alias("framework")).union(deeper).distinct()

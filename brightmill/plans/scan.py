@@ -106,7 +106,7 @@ def scan_path(spark: SparkSession, path: str | Path, more_skips: tuple[str, ...]
     """Scan a directory or file and return its report (on the driver, for one project). ``upload``: the path is the
     driver's own, so its files are sent to the shared folder first."""
     path = Path(path)
-    files = sources.upload_tree(spark, path) if upload and path.is_dir() else stored(sources.list_tree(spark, path), "listing")
+    files = sources.upload_tree(spark, path) if upload and path.is_dir() else stored(sources.list_tree(spark, path).repartition(4 * spark.sparkContext.defaultParallelism, "path"), "listing")
     scan = Scan(files, more_skips, path.is_file())
     return report_of(scan, str(path), path, tell)
 
