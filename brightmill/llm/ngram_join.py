@@ -187,9 +187,8 @@ def _split(members: DataFrame, k: int, runs: int | None) -> DataFrame:
 
 
 def _sized(members: DataFrame) -> DataFrame:
-    """Members of buckets of two or more, with the bucket's size n. Sizes are counted before they are shuffled, and a
+    """Members (a stored table) of buckets of two or more, with the bucket's size n. Sizes are counted before they are shuffled, and a
     bucket that holds much of the table may be joined in several tasks."""
-    members = written(members, "members")
     sizes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return members.join(sizes.hint("merge"), "path")
 
@@ -200,7 +199,9 @@ def _buckets(distinct: DataFrame, threshold: float, recall: float) -> tuple[Data
     full = distinct.select("f1", "f2", "sig")
     level, leaves, tables = _split(full, k, runs_needed(threshold, recall)), [], []
     for depth in range(1, DEPTH + 1):
-        level = written(_sized(level), "level")
+        members = written(level, "members")
+        level = written(_sized(members), "level")
+        discard(members)
         tables.append(level)
         big = level.filter(F.col("n") > LIMIT)
         if depth == DEPTH or not big.head(1):
