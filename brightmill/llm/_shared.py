@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, scratch
-from ..session import stored as written
+from ..session import discard, scratch, stored
 
 __all__ = ["BROADCAST_BYTES", "add_columns", "discard", "fresh", "scratch", "small", "written"]
 
+#: Rows of the batches that Spark hands to Python, where the session has Spark's default of 10,000: so many long texts
+#: would take much memory beside the heap.
+BATCH_ROWS = 2048
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Most bytes (estimated) that a join may broadcast; larger sides are shuffled.
 BROADCAST_BYTES = 48 << 20
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` stored in the shared folder and read back. Lowers the session's Arrow batches to BATCH_ROWS."""
+    if df.sparkSession.conf.get(_SETTING, "10000") == "10000":
+        df.sparkSession.conf.set(_SETTING, str(BATCH_ROWS))
+    return stored(df, label)
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df``, marked for broadcast if its counted ``rows`` stay below BROADCAST_BYTES."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")

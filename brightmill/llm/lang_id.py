@@ -167,7 +167,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", max_distan
 
     def run(batches):
         model = given.value
-        for batch in rebatch(batches, 1024, 4 << 20):
+        for batch in rebatch(batches, 1024, 1 << 20):  # n-grams take about 80 times the text
             found, distance, letters = model.score(batch.column(batch.schema.get_field_index(text)))
             kept = letters & (distance <= max_distance) if model.names else letters
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(distance), pa.array(kept)], names=[*batch.schema.names, *names])
