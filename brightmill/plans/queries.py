@@ -206,6 +206,29 @@ def file_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("part", sources.scanned(F.col("path")).alias("scanned"), sources.searched(F.col("path")).alias("searched"), sources.is_script(F.col("path")).alias("script"))
 
 
+@query("""SELECT p_partkey AS part, p_size % 6 IN (0, 1, 2, 3) AS scanned, p_size % 6 IN (0, 3) AS packaged FROM part""")
+def package_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files of a folder, and which of them count in a package of the index."""
+    shapes = ["src/{}.py", "Docs/{}.py", "scripts/a/{}.py", "scripted/{}.py", "benchmark/{}.py", "src/{}.pyi"]
+    path = F.coalesce(*[F.when(F.col("p_size") % 6 == n, F.replace(F.lit(s), F.lit("{}"), F.col("p_partkey").cast("string"))) for n, s in enumerate(shapes)])
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), path.alias("path"))
+    return rows.select("part", sources.scanned(F.col("path")).alias("scanned"), sources.scanned(F.col("path"), tuple(R.PACKAGE_SKIPS)).alias("packaged"))
+
+
+@query("""SELECT 'p' || p_partkey AS project, p_size % 3 <> 1 AS strict, p_size % 3 <> 2 AS parsed, CAST(CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS findings,
+  CAST(CASE WHEN p_size % 3 = 2 THEN 0 ELSE 1 END AS BIGINT) AS entry_points FROM part""")
+def text_strictness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are valid, that have bytes which are no UTF-8 (capability detectors skip those), and that do not parse."""
+    code = "@tool\ndef f(): eval('1')\n# "
+    files = corpus.project_files(read(spark, sf_dir, "part"), "p_partkey", F.col("p_size") % 3, [{"a.py": code}, {"a.py": code}, {"a.py": "def f(:"}])
+    odd = files.join(read(spark, sf_dir, "part").filter("p_size % 3 = 1").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("project"), F.lit(True).alias("odd")), "project", "left")
+    scan = Scan(odd.withColumn("content", F.when(F.col("odd"), F.concat("content", F.unhex(F.lit("FF")))).otherwise(F.col("content"))).drop("odd"))
+    one = F.count(F.lit(1))
+    found = scan.raw_findings.filter("detector = 'shell_exec'").groupBy("project").agg(one.alias("findings"))
+    eps = scan.python_entry_points.groupBy("project").agg(one.alias("entry_points"))
+    return scan.all_facts.select("project", "strict", "parsed").join(found, "project", "left").join(eps, "project", "left").fillna(0, ["findings", "entry_points"])
+
+
 # ---- call graph ------------------------------------------------------------------------------------------------
 
 _CALLS_CTE = """n AS (SELECT count(*) AS n FROM customer),

@@ -21,7 +21,8 @@ _FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 def landing(spark: SparkSession, folder: str | Path, project: str = "", per_batch: int = 10_000) -> DataFrame:
     """Streaming files(project, path, rel, content) of a folder; folders that do not change are listed again for
-    each batch, of at most ``per_batch`` files."""
+    each batch, of at most ``per_batch`` files. Names that begin with ``_`` or ``.`` are hidden to the streaming file
+    source; batch scans read them."""
     rows = spark.readStream.format("binaryFile").schema(_FILE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(str(folder))
     path = F.regexp_replace("path", "^file:/+", "/")
     return rows.select(F.lit(project).alias("project"), path.alias("path"), path.alias("rel"), "content").filter(is_python(F.col("path")))

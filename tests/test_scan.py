@@ -88,6 +88,7 @@ def test_trees_of_the_driver_are_uploaded(spark, tmp_path):
     assert sorted(upload_tree(spark, tmp_path, batch_bytes=10).collect(), key=key) == sorted(read_tree(spark, tmp_path).collect(), key=key)
     assert upload_tree(spark, tmp_path / "sub" / ".venv").count() == 1
     (tmp_path / "empty").mkdir()
+    assert read_tree(spark, tmp_path / "empty").count() == 0
     assert upload_tree(spark, tmp_path / "empty").count() == 0
 
 
