@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .findings import union_all
 from ..functions.parser import view
+from ..session import sized
 
 MODULE = "<module>"
 
@@ -40,12 +41,12 @@ def resolve_modules(wanted: DataFrame, every: DataFrame) -> DataFrame:
     near = keys.select("*", _join(base, module).alias("stem"), F.lit("").alias("beside"), F.lit(0).alias("far"), base.alias("base")).filter("base is not null").drop("base")
     packages = every.filter(F.col("rel").rlike(r"(^|/)__init__\.py$")).select("project", _folder(F.col("rel")).alias("folder")).filter(F.col("folder").contains("/"))
     packages = packages.select("project", F.element_at(F.split("folder", "/"), -1).alias("top"), _folder(F.col("folder")).alias("beside"))
-    far = keys.filter("level = 0").withColumn("top", F.substring_index("module", ".", 1)).join(packages, ["project", "top"])
+    far = keys.filter("level = 0").withColumn("top", F.substring_index("module", ".", 1)).join(sized(packages), ["project", "top"])
     far = far.select("project", "rel", "module", "level", _join(F.col("beside"), module).alias("stem"), "beside", F.lit(1).alias("far"))
     tries = near.unionByName(far).select("*", F.posexplode(F.array(F.concat("stem", F.lit(".py")), F.concat("stem", F.lit("/__init__.py")))).alias("form", "candidate"))
-    hits = tries.join(every.select("project", F.col("rel").alias("candidate")), ["project", "candidate"])
+    hits = tries.join(sized(every.select("project", F.col("rel").alias("candidate"))), ["project", "candidate"])
     best = hits.groupBy("project", "rel", "module", "level").agg(F.min(F.struct("far", "beside", "form", "candidate")).alias("b")).select("project", "rel", "module", "level", F.col("b.candidate").alias("source"))
-    return wanted.join(best, ["project", "rel", "module", "level"], "left")
+    return wanted.join(sized(best), ["project", "rel", "module", "level"], "left")
 
 
 def _aliases(facts: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def file_imports(facts: DataFrame, every: DataFrame) -> DataFrame:
     bare = (F.col("kind") == "from") & (F.col("level") > 0) & (F.col("given") == "")
     rows = rows.select("project", "rel", "ord", "local", "kind", bare.alias("bare"), F.when(bare, F.col("symbol")).otherwise(F.col("given")).alias("module"), "level")
     passed = reexports(facts, every).withColumnRenamed("source", "passed")
-    found = resolve_modules(rows, every).join(passed, ["project", "local"], "left")
+    found = resolve_modules(rows, every).join(sized(passed), ["project", "local"], "left")
     source = F.when((F.col("kind") == "from") & ~F.col("bare"), F.coalesce("passed", "source")).otherwise(F.col("source"))
     found = found.withColumn("to", source).filter("to is not null")
     return found.groupBy("project", "rel", "local").agg(F.max_by("to", "ord").alias("source"))
@@ -92,11 +93,11 @@ def edges(facts: DataFrame, every: DataFrame) -> DataFrame:
     the file it was imported from; ``self.m`` in the innermost class; ``x.m`` in the file that x names."""
     exports = facts.filter("parsed").select("project", F.col("rel").alias("dst_rel"), F.explode("exports").alias("dst"))
     links = view(facts.filter("parsed"), "links").select("project", F.col("rel").alias("src_rel"), F.col("caller").alias("src"), "kind", "obj", F.col("attr").alias("dst"))
-    own = links.filter("kind in ('name', 'method')").withColumn("dst_rel", F.col("src_rel")).join(exports, ["project", "dst_rel", "dst"])
+    own = links.filter("kind in ('name', 'method')").withColumn("dst_rel", F.col("src_rel")).join(sized(exports), ["project", "dst_rel", "dst"])
     imports = file_imports(facts, every).select("project", F.col("rel").alias("src_rel"), F.col("local"), F.col("source").alias("dst_rel"))
-    outside = links.filter("kind in ('name', 'module')").withColumn("local", F.coalesce("obj", "dst")).join(imports, ["project", "src_rel", "local"]).join(exports, ["project", "dst_rel", "dst"])
+    outside = links.filter("kind in ('name', 'module')").withColumn("local", F.coalesce("obj", "dst")).join(sized(imports), ["project", "src_rel", "local"]).join(sized(exports), ["project", "dst_rel", "dst"])
     here = own.filter("kind = 'name'").select("project", "src_rel", "src", "dst")
     # a name of the own file hides an imported one
-    outside = outside.join(here.withColumn("kind", F.lit("name")), ["project", "src_rel", "src", "dst", "kind"], "left_anti")
+    outside = outside.join(sized(here.withColumn("kind", F.lit("name"))), ["project", "src_rel", "src", "dst", "kind"], "left_anti")
     cols = ["project", "src_rel", "src", "dst_rel", "dst"]
     return union_all([own.select(cols), outside.select(cols)]).distinct()

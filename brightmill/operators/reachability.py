@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import discard, stored
+from ..session import discard, sized, stored
 from .call_graph import MODULE
 
 DEPTH, SHOWN = 8, 5
@@ -32,8 +32,8 @@ def starts(entry_points: DataFrame, spans: DataFrame) -> DataFrame:
     after it, if no plain function comes before.
     """
     at = spans.filter(F.col("qual") != MODULE)
-    exact = entry_points.join(at.select("project", "rel", F.col("line").alias("lineno"), "qual"), ["project", "rel", "lineno"], "left")
-    late = exact.filter("qual is null and pattern_type = 'class_attribute'").drop("qual").join(at.select("project", "rel", "line", F.col("qual").alias("q")), ["project", "rel"]).filter("line > lineno")
+    exact = entry_points.join(sized(at.select("project", "rel", F.col("line").alias("lineno"), "qual")), ["project", "rel", "lineno"], "left")
+    late = exact.filter("qual is null and pattern_type = 'class_attribute'").drop("qual").join(sized(at.select("project", "rel", "line", F.col("qual").alias("q"))), ["project", "rel"]).filter("line > lineno")
     runs = F.col("q").rlike(r"\.(_run|_arun|__call__)$")
     ends = runs | ~F.col("q").contains(".")
     late = late.groupBy("project", "rel", "lineno", "name", "ep_ord").agg(F.min(F.when(ends, F.struct("line", F.when(runs, F.col("q")).alias("q")))).alias("m")).select("project", "rel", F.col("m.q").alias("qual"), F.col("name").alias("ep"), "ep_ord").filter("qual is not null")
@@ -56,9 +56,9 @@ def closure(begin: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame
     levels = [seen]
     links = edges.select("project", F.col("src_rel").alias("rel"), F.col("src").alias("qual"), "dst_rel", "dst")
     for level in range(1, depth + 1):
-        now = levels[-1].join(links, node)
+        now = levels[-1].join(sized(links), node)
         now = now.select("project", F.col("dst_rel").alias("rel"), F.col("dst").alias("qual"), "ep", "ep_ord", F.concat("path", F.array("dst")).alias("path"), F.concat("files", F.array("dst_rel")).alias("files"))
-        new = now.join(seen.select(node), node, "left_anti").groupBy(node).agg(F.min(step).alias("b")).select(*node, "b.*", F.lit(level).alias("hops"))
+        new = now.join(sized(seen.select(node)), node, "left_anti").groupBy(node).agg(F.min(step).alias("b")).select(*node, "b.*", F.lit(level).alias("hops"))
         new = stored(new, "closure")
         levels.append(new)
         if not new.head(1):
@@ -74,9 +74,9 @@ def warnings(reach: DataFrame, edges: DataFrame, found: DataFrame, spans: DataFr
     ``depth`` calls (``depth``), and files with findings but without facts (``no_facts``)."""
     node = ["project", "rel", "qual"]
     links = edges.select("project", F.col("src_rel").alias("rel"), F.col("src").alias("qual"), "dst_rel", "dst")
-    last = reach.filter(F.col("hops") == depth).join(links, node).select("project", F.col("dst_rel").alias("rel"), F.col("dst").alias("qual")).distinct()
-    beyond = last.join(reach.select(node), node, "left_anti").groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit("depth").alias("warning"), "n")
-    lost = found.select("project", "rel").distinct().join(spans.select("project", "rel").distinct(), ["project", "rel"], "left_anti")
+    last = reach.filter(F.col("hops") == depth).join(sized(links), node).select("project", F.col("dst_rel").alias("rel"), F.col("dst").alias("qual")).distinct()
+    beyond = last.join(sized(reach.select(node)), node, "left_anti").groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit("depth").alias("warning"), "n")
+    lost = found.select("project", "rel").distinct().join(sized(spans.select("project", "rel").distinct()), ["project", "rel"], "left_anti")
     return beyond.unionByName(lost.groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit("no_facts").alias("warning"), "n"))
 
 
@@ -85,7 +85,7 @@ def tag(found: DataFrame, entry_points: DataFrame, facts_spans: DataFrame, graph
     reachability_path_truncated; ``reach`` is the closure of the entry points."""
     any_ep = entry_points.select("project").distinct().withColumn("has_ep", F.lit(True))
     reach = reach.withColumnRenamed("path", "chain")
-    rows = enclosing(found, facts_spans).join(any_ep, "project", "left").join(reach, ["project", "rel", "qual"], "left").join(graph_nodes.withColumn("is_node", F.lit(True)), ["project", "rel", "qual"], "left")
+    rows = enclosing(found, facts_spans).join(sized(any_ep), "project", "left").join(sized(reach), ["project", "rel", "qual"], "left").join(sized(graph_nodes.withColumn("is_node", F.lit(True))), ["project", "rel", "qual"], "left")
     state = (
         F.when(F.col("has_ep").isNull(), "no_entry_points").when(F.col("qual").isNull(), "unknown").when(F.col("qual") == MODULE, "module_level")
         .when(F.col("chain").isNotNull(), "reachable").when(F.col("is_node").isNull(), "unknown").otherwise("unreachable")
@@ -106,4 +106,4 @@ def tag(found: DataFrame, entry_points: DataFrame, facts_spans: DataFrame, graph
 def reachable_findings(found: DataFrame, entry_points: DataFrame) -> DataFrame:
     """Entry points (with ``ep_ord``) and the ids of the findings that they reach best."""
     ids = found.filter("ep_ord is not null").groupBy("project", "ep_ord").agg(F.sort_array(F.collect_list("finding_id")).alias("reachable_findings"))
-    return entry_points.join(ids, ["project", "ep_ord"], "left").withColumn("reachable_findings", F.coalesce("reachable_findings", F.array().cast("array<string>")))
+    return entry_points.join(sized(ids), ["project", "ep_ord"], "left").withColumn("reachable_findings", F.coalesce("reachable_findings", F.array().cast("array<string>")))

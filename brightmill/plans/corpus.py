@@ -90,7 +90,9 @@ def nation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_files(rows: DataFrame, key: str, case: Column, trees: list[dict[str, str]]) -> DataFrame:
-    """One project ``p<key>`` per row, with the files of the tree of its case (``{k}`` stands for the key)."""
+    """One project ``p<key>`` per row, with the files of the tree of its case (``{k}`` stands for the key). Rows are spread
+    before they become files: a small table is one partition, and parsing its files would be one task."""
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     name = F.col(key).cast("string")
     tree = lambda t: F.array(*[F.struct(F.lit(path).alias("path"), F.replace(F.lit(text), F.lit("{k}"), name).alias("text")) for path, text in t.items()])
     chosen = F.coalesce(*[F.when(case == n, tree(t)) for n, t in enumerate(trees)])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.parser import parse
 from ..operators import call_graph, detectors, entry_points, findings, reachability, ts_entry_points
-from ..session import stored
+from ..session import sized, stored
 from ..sources import files as sources
 from . import corpus
 from .corpus import read
@@ -226,7 +226,7 @@ def text_strictness(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.count(F.lit(1))
     found = scan.raw_findings.filter("detector = 'shell_exec'").groupBy("project").agg(one.alias("findings"))
     eps = scan.python_entry_points.groupBy("project").agg(one.alias("entry_points"))
-    return scan.all_facts.select("project", "strict", "parsed").join(found, "project", "left").join(eps, "project", "left").fillna(0, ["findings", "entry_points"])
+    return scan.all_facts.select("project", "strict", "parsed").join(sized(found), "project", "left").join(sized(eps), "project", "left").fillna(0, ["findings", "entry_points"])
 
 
 # ---- call graph ------------------------------------------------------------------------------------------------
@@ -380,7 +380,7 @@ def v1_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = scan.files.filter(sources.scanned(F.col("path"))).groupBy("project").agg(one.alias("files"))
     found = scan.tagged.groupBy("project").agg(one.alias("findings"), F.count_if(F.col("reachability") == "reachable").alias("reachable"))
     eps = scan.python_entry_points.groupBy("project").agg(one.alias("entry_points"))
-    return files.join(found, "project", "left").join(eps, "project", "left").fillna(0, ["findings", "reachable", "entry_points"])
+    return files.join(sized(found), "project", "left").join(sized(eps), "project", "left").fillna(0, ["findings", "reachable", "entry_points"])
 
 
 @query(f"""WITH {_CHAIN_CTE}, u AS (SELECT project, count(*) FILTER (WHERE is_ep) AS eps FROM e GROUP BY ALL),

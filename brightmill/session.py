@@ -41,6 +41,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that sorts and merges. Without a hint a plan goes by the bytes of files: facts and stored tables
+    are a hundred times larger as rows (names repeat), and millions of them would be sent to the driver and to every task."""
+    return df.hint("merge")
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by ``stored`` that nothing reads any more."""
     for df in frames:

@@ -1,6 +1,9 @@
 """Call graph, imports and reachability on small projects."""
 
+from pyspark.sql import functions as F
+
 from brightmill.operators import call_graph, reachability
+from brightmill.plans import corpus
 from brightmill.plans.queries import QUERIES
 from brightmill.plans.scan import Scan
 from helpers import files
@@ -82,3 +85,17 @@ def test_reach_over_all_orders_like_breadth_first_search(spark, data):
             seen |= now
     got = {r.node: (r.hops, r.entry_point) for r in QUERIES["bounded_reach"](spark, data).collect()}
     assert got == {f"c{node}": b for node, b in best.items()} and len(got) > 100
+
+
+def test_files_of_a_small_table_are_parsed_by_many_tasks(spark):
+    rows = spark.range(100).coalesce(1)
+    made = corpus.project_files(rows, "id", F.col("id") % 2, [{"a.py": ""}, {"a.py": "", "b.py": ""}])
+    assert made.select(F.spark_partition_id().alias("n")).distinct().count() > 1 and made.count() == 150
+
+
+def test_stored_tables_are_not_broadcast_by_their_bytes(spark):
+    """A million equal names are a file of a few kB, and a broadcast of them fails."""
+    scan = Scan(files(spark, CODE))
+    reach = scan.reach
+    for df in (call_graph.edges(scan.facts, scan.every), reachability.warnings(reach, scan.edges, scan.raw_findings, scan.spans), scan.tagged):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
