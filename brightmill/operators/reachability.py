@@ -18,11 +18,23 @@ DEPTH, SHOWN = 8, 5
 
 def enclosing(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """``rows`` (project, rel, lineno, ...) with ``qual``: the innermost function around the line, the module,
-    or NULL where the file has no facts or the line is NULL."""
-    keys = rows.select("project", "rel", "lineno").distinct()
-    inside = (F.col("line") <= F.col("lineno")) & (F.col("stop").isNull() | (F.col("lineno") <= F.col("stop")))
-    best = keys.join(spans, ["project", "rel"]).filter(inside).groupBy("project", "rel", "lineno").agg(F.max_by("qual", "line").alias("qual"))
-    return rows.join(best, ["project", "rel", "lineno"], "left")
+    or NULL where the file has no facts or the line is NULL.
+
+    Spans nest, so a file is swept once, in order of lines: the number of open spans is a running sum, and the innermost
+    of them is the last one that was opened at that depth. No line meets all spans of its file.
+    """
+    file = ["project", "rel"]
+    shape = dict(spans.dtypes)["qual"]
+    event = lambda at, kind, delta, qual: [F.col(at).cast("long").alias("at"), F.lit(kind).alias("kind"), F.lit(delta).alias("delta"), qual.cast(shape).alias("qual")]
+    none = F.lit(None)
+    asked = rows.select(*file, F.struct("*").alias("row"), *event("lineno", 2, 0, none))
+    # what ends on the line before is closed first, then what begins on a line is opened, then the line is looked up
+    ends = spans.filter("stop is not null").withColumn("after", F.col("stop") + 1).select(*file, *event("after", 0, -1, none))
+    sweep = asked.unionByName(spans.select(*file, *event("line", 1, 1, F.col("qual"))), allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    running = lambda *keys: Window.partitionBy(*file, *keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    sweep = sweep.withColumn("open", F.sum("delta").over(running()))
+    sweep = sweep.withColumn("qual", F.last("qual", ignorenulls=True).over(running("open")))
+    return sweep.filter("kind = 2").select("row.*", F.when(F.col("at").isNotNull() & (F.col("open") > 0), F.col("qual")).alias("qual"))
 
 
 def starts(entry_points: DataFrame, spans: DataFrame) -> DataFrame:

@@ -99,3 +99,11 @@ def test_stored_tables_are_not_broadcast_by_their_bytes(spark):
     reach = scan.reach
     for df in (call_graph.edges(scan.facts, scan.every), reachability.warnings(reach, scan.edges, scan.raw_findings, scan.spans), scan.tagged):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_do_not_meet_all_functions_of_their_file(spark):
+    spans = spark.range(1, 20001).selectExpr("'p' project", "'a' rel", "cast(3 * id as int) line", "cast(3 * id + 1 as int) stop", "'f' || id qual")
+    rows = spark.range(1, 60001).selectExpr("'p' project", "'a' rel", "cast(id as int) lineno")
+    out = reachability.enclosing(rows, spans)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("qual is not null").count() == 39999 and out.filter("qual = 'f' || cast(floor(lineno / 3) as int)").count() == 39999
