@@ -45,10 +45,13 @@ def starts(entry_points: DataFrame, spans: DataFrame) -> DataFrame:
     """
     at = spans.filter(F.col("qual") != MODULE)
     exact = entry_points.join(sized(at.select("project", "rel", F.col("line").alias("lineno"), "qual")), ["project", "rel", "lineno"], "left")
-    late = exact.filter("qual is null and pattern_type = 'class_attribute'").drop("qual").join(sized(at.select("project", "rel", "line", F.col("qual").alias("q"))), ["project", "rel"]).filter("line > lineno")
-    runs = F.col("q").rlike(r"\.(_run|_arun|__call__)$")
-    ends = runs | ~F.col("q").contains(".")
-    late = late.groupBy("project", "rel", "lineno", "name", "ep_ord").agg(F.min(F.when(ends, F.struct("line", F.when(runs, F.col("q")).alias("q")))).alias("m")).select("project", "rel", F.col("m.q").alias("qual"), F.col("name").alias("ep"), "ep_ord").filter("qual is not null")
+    # from the last line of a file to its first, the function that ends the search is the last one met: no class meets all spans of its file
+    runs = F.col("qual").rlike(r"\.(_run|_arun|__call__)$")
+    ends = at.filter(runs | ~F.col("qual").contains(".")).select("project", "rel", F.col("line").alias("at"), F.lit(1).alias("kind"), F.struct(F.when(runs, F.col("qual")).alias("q")).alias("m"))
+    asked = exact.filter("qual is null and pattern_type = 'class_attribute'").select("project", "rel", F.col("lineno").alias("at"), F.lit(0).alias("kind"), F.col("name").alias("ep"), "ep_ord")
+    back = Window.partitionBy("project", "rel").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    late = asked.unionByName(ends, allowMissingColumns=True).withColumn("m", F.last("m", ignorenulls=True).over(back))
+    late = late.filter("kind = 0 and m.q is not null").select("project", "rel", F.col("m.q").alias("qual"), "ep", "ep_ord")
     return exact.filter("qual is not null").select("project", "rel", "qual", F.col("name").alias("ep"), "ep_ord").unionByName(late)
 
 

@@ -107,3 +107,12 @@ def test_lines_do_not_meet_all_functions_of_their_file(spark):
     out = reachability.enclosing(rows, spans)
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.filter("qual is not null").count() == 39999 and out.filter("qual = 'f' || cast(floor(lineno / 3) as int)").count() == 39999
+
+
+def test_classes_of_a_file_do_not_meet_all_its_functions(spark):
+    """The run method after a class is found in one sweep: the only join is by line."""
+    code = "".join(f"class T{n}(BaseTool):\n    name = 't{n}'\n" + ("    def help(self): pass\n    def _run(self): pass\n" if n % 3 == 0 else "") for n in range(30)) + "def f(): pass\nclass T(BaseTool):\n    name = 't'\n"
+    scan = Scan(files(spark, {"p": code, "q": "class T(BaseTool):\n    name = 't'\n"}))
+    begin = reachability.starts(scan.numbered_entry_points, scan.spans)
+    assert sorted((r.project, r.ep, r.qual) for r in begin.collect()) == sorted(("p", f"t{n}", f"T{-(-n // 3) * 3}._run") for n in range(28))
+    assert begin._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # one by line, for both parts of the union
