@@ -81,19 +81,22 @@ def _classes(d: DataFrame, table, decorators) -> DataFrame:
     return rows.select(*KEYS, F.col("label").alias("name"), F.col("line").alias("lineno"), F.coalesce(known, default).alias("framework"), F.lit("class_attribute").alias("pattern_type"), sure.alias("confidence"), F.lit(2).alias("step"), "ord", F.lit(0).alias("sub"))
 
 
-_FACTORY = "nth int, call string, needs string, prefixes array<string>, shape string, fn_key string, list_key string, name_key string, label string"
+_FACTORY = "call string, rules array<struct<needs: string, prefixes: array<string>, shape: string, fn_key: string, list_key: string, name_key: string, label: string>>"
 
 
 def _factories(d: DataFrame, table) -> DataFrame:
-    rules = R.table(d.sparkSession, [(n, *r) for n, r in enumerate(table)], _FACTORY)
+    by_call: dict[str, list] = {}
+    for call, *rule in table:
+        by_call.setdefault(call, []).append(tuple(rule))
+    rules = R.table(d.sparkSession, by_call.items(), _FACTORY)
     one = F.transform("factories", lambda x: F.struct(x.alias("f"), _look("origins", x["receiver"]).alias("of_receiver"), _look("origins", x["called"]).alias("of_called")))
     rows = d.select(*KEYS, "functions", "origins", F.explode(one).alias("x")).select(*KEYS, "functions", "origins", "x.f.*", "x.of_receiver", "x.of_called")
     rows = rows.join(F.broadcast(rules), F.col("called") == F.col("call"))  # a fixed table of a few rows
     module = F.coalesce("of_receiver", "of_called")
-    right = F.when(F.col("needs").isNotNull(), F.col("receiver") == F.col("needs")).otherwise(F.col("receiver").isNull() | _within(F.coalesce("of_receiver", F.lit("")), F.col("prefixes")))
-    rows = rows.filter(F.coalesce(right, F.lit(False)) & (F.size("prefixes") == 0) | (F.coalesce(right, F.lit(False)) & F.coalesce(_within(module, F.col("prefixes")), F.lit(False))))
-    first = Window.partitionBy("project", "path", "ord").orderBy("nth")
-    rows = rows.withColumn("n", F.row_number().over(first)).filter("n = 1")
+    right = lambda r: F.when(r["needs"].isNotNull(), F.col("receiver") == r["needs"]).otherwise(F.col("receiver").isNull() | _within(F.coalesce("of_receiver", F.lit("")), r["prefixes"]))
+    fits = lambda r: F.coalesce(right(r) & ((F.size(r["prefixes"]) == 0) | _within(module, r["prefixes"])), F.lit(False))
+    # the first rule that fits is found in place: a shuffle of calls would carry the imports and functions of their file with each
+    rows = rows.withColumn("rule", F.get(F.filter("rules", fits), F.lit(0))).filter("rule is not null").select(*rows.columns, "rule.*")
     keyword = lambda key: F.try_element_at(F.filter("keywords", lambda k: k["key"] == F.col(key)), F.lit(1))
     ref = F.coalesce(F.get(keyword("fn_key")["refs"], F.lit(0)), F.get("first", F.lit(0)))
     label = F.try_element_at(F.filter("keywords", lambda k: (k["key"] == F.col("name_key")) & k["text"].isNotNull()), F.lit(1))["text"]

@@ -2,7 +2,9 @@
 
 import pytest
 
+from brightmill.functions import rules as R
 from brightmill.functions.parser import parse
+from brightmill.operators import entry_points
 from brightmill.operators.entry_points import python_entry_points
 from brightmill.operators.ts_entry_points import ts_entry_points
 from helpers import files
@@ -64,3 +66,12 @@ def test_rules_can_be_extended(spark, table):
     more = {"decorators": {"mine": "own"}, "bases": {"MyTool": "own"}, "factories": [("register", None, [], "single", None, None, None, "own")]}
     rows = python_entry_points(parse(files(spark, {"p": code})), **{table: more[table]}).collect()
     assert [(r.name, r.framework) for r in rows] == [{"decorators": ("f", "own"), "bases": ("n", "own"), "factories": ("g", "own")}[table]]
+
+
+def test_rules_of_factory_calls_are_chosen_in_place(spark):
+    """Nothing is shuffled by call (with the imports and functions of the call's file); of several rules that fit the first counts."""
+    table = [("go", "x", [], "single", None, None, None, "a"), ("go", None, [], "single", None, None, None, "b"), ("go", None, [], "single", None, None, None, "c")]
+    rows = entry_points._factories(entry_points._with_origins(parse(files(spark, {"p": "x.go(f)\ngo(g)\ny.go(h)\nno(i)"}))), table)
+    assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.name, r.framework) for r in rows.collect()) == [("f", "a"), ("g", "b")]
+    assert "hashpartitioning" not in entry_points._factories(entry_points._with_origins(parse(files(spark, {"p": "go(g)"}))), R.FACTORIES)._jdf.queryExecution().executedPlan().toString()
